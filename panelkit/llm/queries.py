@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import decontamination, line_dedup, packing, quality_rules, sharding, simhash
+from panelkit.llm import decontamination, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, toxicity
 from panelkit.session import table
 
 
@@ -38,6 +38,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,16 +64,22 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("n_stop_words", "n_word_lines")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"), 8)
 
 
 QUERIES = {
     "op2_line_dedup": op2_line_dedup,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_simhash": op4_simhash,
     "op5_packing": op5_packing,
     "op6_decontamination": op6_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL}

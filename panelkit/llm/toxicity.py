@@ -194,33 +194,33 @@ def fit_machine(toxic: dict[str, int], clean: list[str], marks: list[str], penal
     return Machine(letters, ((root @ w) @ mapped).astype(np.float32), bias)
 
 
-def witnesses(found: list[tuple[int, str]], least: int = 3) -> dict[str, int]:
-    """Words that explain toxic documents, with their numbers of documents, from (document, word) pairs.
+def witnesses(found: list[tuple[int, str, str]], least: int = 3) -> dict[str, int]:
+    """Words that explain toxic documents, with their numbers of documents, from (document, word, key) rows.
 
-    Beginnings are taken one after another, always the one found in most documents that none yet explains, until
+    A key stands for the forms of a word: its beginning, or itself where others begin like it. Keys are taken one after another, always the one found in most documents that none yet explains, until
     it explains fewer than `least` of them; so words that merely accompany an insult are passed over. A frequent
     one whose documents have been explained by different others, none of them by most, is an insult too.
     """
-    by_begin: dict[str, set[int]] = {}
-    for doc, word in found:
-        by_begin.setdefault(word[:BEGIN], set()).add(doc)
-    open_docs = {doc for doc, _ in found}
+    by_key: dict[str, set[int]] = {}
+    for doc, _, key in found:
+        by_key.setdefault(key, set()).add(doc)
+    open_docs = {doc for doc, *_ in found}
     chosen, taken = set(), {}
-    while by_begin:
-        best = max(sorted(by_begin), key=lambda b: (len(by_begin[b] & open_docs), len(by_begin[b])))
-        docs = by_begin.pop(best)
+    while by_key:
+        best = max(sorted(by_key), key=lambda b: (len(by_key[b] & open_docs), len(by_key[b])))
+        docs = by_key.pop(best)
         if len(docs & open_docs) < least:
-            by_begin[best] = docs
+            by_key[best] = docs
             break
         chosen.add(best)
         open_docs -= docs
         taken[best] = docs
-    for begin, docs in by_begin.items():
+    for key, docs in by_key.items():
         if len(docs) >= 4 * least and max((len(docs & x) for x in taken.values()), default=0) <= 0.7 * len(docs):
-            chosen.add(begin)
+            chosen.add(key)
     out: dict[str, int] = {}
-    for _, word in found:
-        if word[:BEGIN] in chosen:
+    for _, word, key in found:
+        if key in chosen:
             out[word] = out.get(word, 0) + 1
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
@@ -251,8 +251,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, boun
     pairs = checkpointed(rows.mapInArrow(words, "doc_id long, word string, label int"))
     begin = F.substring("word", 1, BEGIN)
     clean_docs, toxic_docs = (F.count_distinct(F.when(F.col("label") == y, F.col("doc_id"))) for y in (0, 1))
-    telling = pairs.groupBy(begin.alias("begin")).agg(toxic_docs.alias("t"), clean_docs.alias("c")).where("t >= 3 and c <= 0.02 * t").select("begin")
-    found = pairs.where("label = 1").join(telling, begin == F.col("begin"), "left_semi").select("doc_id", "word")
+    telling = "t >= 3 and c <= 0.02 * t"
+    begins = pairs.groupBy(begin.alias("begin")).agg(toxic_docs.alias("t"), clean_docs.alias("c")).where(telling).select("begin")
+    alone = pairs.groupBy(F.col("word").alias("alone")).agg(toxic_docs.alias("t"), clean_docs.alias("c")).where(telling).select("alone")
+    keyed = pairs.where("label = 1").join(begins, begin == F.col("begin"), "left").join(alone, F.col("word") == F.col("alone"), "left")
+    found = keyed.select("doc_id", "word", F.coalesce("begin", "alone").alias("key")).where("key is not null")
     toxic = witnesses([tuple(r) for r in found.collect()])
     toxic = dict(list(toxic.items())[:WORDS])
     counter = pairs.groupBy("word").agg(F.sum(1 - F.col("label")).alias("c"), F.sum("label").alias("t")).where("c > 0 and c >= 2 * t")

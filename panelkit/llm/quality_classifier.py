@@ -2,7 +2,7 @@
 
 Trusted positives are labelled documents of good quality, unlabelled ones are documents whose labels
 are not looked at, and the class prior is estimated by the share of good ones among the labelled, less a
-twentieth: where the estimate is above the true share, even a perfect model seems to have a negative risk
+tenth: where the estimate is above the true share, even a perfect model seems to have a negative risk
 on the other side, and is pushed off. The risk
 prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]) of a logistic model over shares
 of characters, words and lines is minimised; where the second part turns negative, the step goes
@@ -29,7 +29,7 @@ THRESHOLD = 0.3
 #: Most documents of either kind that the model is fitted on.
 SAMPLE = 10_000
 #: The part of the estimated prior that is taken off.
-MARGIN = 0.05
+MARGIN = 0.1
 _MARKS = [ord(c) for c in "!|#*$%&<>.,;:?@_=/\\()[]{}\"'"]
 
 

@@ -7,7 +7,9 @@ length form a bucket from which batches are drawn.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,45 +19,64 @@ from panelkit.llm.text import documents_of
 
 MAX_TOKENS, END_ID = 2048, 1
 #: Words that a worker remembers the ids of; beyond that it starts anew, which bounds its memory.
-REMEMBERED = 800_000
+REMEMBERED = 1_200_000
 #: Bytes of ids that are sent on at once.
 SENT = 8_000_000
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: itself if it is printable Latin-1, else one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = (b for b in range(256) if b not in printable)
+    return {b: chr(b) for b in printable} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class WordTokenizer:
     """Ids of whole texts from a tokenizer that drops white space, by way of the ids of their words.
 
     As no token crosses white space, a text has the ids of its words one after another; each different word
-    is tokenized once. A word of ASCII letters has the ids of its small letters, and a full stop or comma
-    at the end of a word of letters is a token by itself, so such words are remembered once only.
-    Texts are cut at blanks and line ends; other white space goes to the tokenizer with its word.
+    is tokenized once. A full stop or comma at the end of a word of letters is a token by itself, so such
+    words are remembered once only. Words of letters that are normalised as they stand (ASCII ones after
+    lower-casing) go to the merges directly, and all others through the whole tokenizer. Texts are cut at
+    blanks and line ends; other white space goes to the tokenizer with its word.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.letters = byte_letters()
         self.memory: dict[str, bytes] = {}
         self.marks = {m: self._encode([m])[0] for m in ".,"}
 
     def _encode(self, words: list[str]) -> list[bytes]:
-        import numpy as np
+        return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _merge(self, word: str) -> bytes:
+        if not word.isascii():
+            word = word.encode().decode("latin-1").translate(self.letters)
+        return _packed([x.id for x in self.model.tokenize(word)])
 
     def _learn(self, words: set[str]) -> None:
         memory, marks = self.memory, self.marks
-        core = {}
-        for w in words:
-            stem, mark = (w[:-1], w[-1]) if w[-1:] in (".", ",") and w[:-1].isalpha() else (w, "")
-            core[w] = (stem.lower() if stem.isascii() and stem.isalpha() else stem, mark)
-        new = list({c for c, _ in core.values() if c not in memory})
         if len(memory) > REMEMBERED:
             memory.clear()
-            new = list({c for c, _ in core.values()})
-        memory.update(zip(new, self._encode(new)))
-        for w, (c, mark) in core.items():
-            memory[w] = memory[c] + marks[mark] if mark else memory[c]
+        rest = []
+        for w in words:
+            stem, mark = (w[:-1], marks[w[-1]]) if w[-1:] in (".", ",") else (w, b"")
+            if stem.isascii():
+                stem = stem.lower()
+            elif stem != stem.lower() or not is_normalized("NFC", stem):
+                stem = ""
+            if not stem.isalpha():
+                rest.append(w)
+                continue
+            if (ids := memory.get(stem)) is None:
+                ids = memory[stem] = self._merge(stem)
+            if stem is not w:
+                memory[w] = ids + mark
+        memory.update(zip(rest, self._encode(rest)))
 
     def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null has none."""
@@ -72,6 +93,10 @@ class WordTokenizer:
                 yield b"".join(ids)
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 _loaded: dict[str, WordTokenizer] = {}
 
 

@@ -63,7 +63,7 @@ def read_export_csv(spark: SparkSession, paths: str | Sequence[str], markers: Se
     """
 
     def read() -> DataFrame:
-        return spark.read.option("wholetext", True).text(paths).select("value", F.regexp_replace(_path_part(1), r"\.csv$", "").alias("market"))
+        return spark.read.text(paths, wholetext=True).select("value", F.regexp_replace(_path_part(1), r"\.csv$", "").alias("market"))
 
     whole = read_or_empty(spark, "value string, market string", read)
     header = "^\"?(" + "|".join(markers) + ")\"?,"

@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return documents_of(docs, id_col, text_col).mapInArrow(batches, "doc_id long, fp long")
 
 
-def blocks_for(n: int, distance: int = DISTANCE, per_cell: int = 128) -> int:
+def blocks_for(n: int, distance: int = DISTANCE, per_cell: int = CELL // 2) -> int:
     """The fewest blocks with which the fullest cell of n unrelated fingerprints has about per_cell of them.
 
     The likeliest cell has one bit set in each of its segments, which has probability 1/2 a segment.

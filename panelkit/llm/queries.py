@@ -72,6 +72,34 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def _passes(r: quality_rules.Rule) -> str:
+    """A rule as SQL over the columns of `counted`."""
+    bounds = [f"{r.numerator} / {r.denominator} {sign} {x!r}" for sign, x in ((">=", r.low), ("<=", r.high)) if abs(x) != float("inf")]
+    return f"({r.denominator} < {r.least} OR {r.denominator} = 0 OR ({' AND '.join(bounds)}))"
+
+
+_STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
+OP7_SQL = rf"""
+WITH split AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(ws[i:i + 7], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM split WHERE len(ws) >= 8)
+), covered AS (
+  SELECT doc_id, count(DISTINCT p) AS n FROM (
+    SELECT doc_id, unnest(range(i, i + 8)) AS p FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1) GROUP BY 1
+), counted AS (
+  SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_word_lines,
+         len(list_filter(ws, lambda x: rtrim(x, '.,') IN ({_STOP}))) AS n_stop_words
+  FROM split LEFT JOIN covered USING (doc_id)
+), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_passes, quality_rules.THRESHOLDS))} AS kept
+FROM judged
+"""
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -92,4 +120,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL}

@@ -49,12 +49,12 @@ def query(sql: str | None = None, name: str | None = None):
 # --- flagship -----------------------------------------------------------------------------------------------------
 
 
-def _signal_panel(spark: SparkSession, sf: str) -> DataFrame:
+def _signal_panel(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """The assembled panel with lag-shifted monthly signals."""
-    monthly = signals.pivot_signals(signals.monthly_mean(I.weekly(spark, sf).withColumn("value", F.col("value"))), I.KEYWORDS)
+    monthly = signals.pivot_signals(signals.monthly_mean(I.weekly(spark, sf)), I.KEYWORDS)
     dims = I.population(spark, sf)
     income = dims.select(C.normalize_key(F.col("entity")).alias("key"), "income")
-    return panels.assemble_panel(I.counts(spark, sf), I.markets(spark, sf), monthly, dims.select("entity", "population"), income)
+    return panels.assemble_panel(I.counts(spark, sf) if counts is None else counts, I.markets(spark, sf), monthly, dims.select("entity", "population"), income)
 
 
 PANEL_SQL = I.SQL.rstrip() + """,
@@ -76,17 +76,18 @@ def panel_query(sql: str, name: str | None = None):
 
 
 @panel_query("""
-, featured AS (SELECT *, "signal_A" AS a_lag1, lag("signal_A") OVER w AS a_lag2, lag(rate) OVER w AS predicted,
+, whole AS (SELECT a.* REPLACE (o.n_orders::DOUBLE AS apps, o.n_orders / a.population AS rate) FROM assembled a JOIN order_counts o USING (entity, date)), featured AS (SELECT *, "signal_A" AS a_lag1, lag("signal_A") OVER w AS a_lag2, lag(rate) OVER w AS predicted,
   CASE WHEN count("signal_A") OVER r >= 2 THEN avg("signal_A") OVER r END AS a_roll3
-  FROM assembled WINDOW w AS (PARTITION BY entity ORDER BY date), r AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
+  FROM whole WINDOW w AS (PARTITION BY entity ORDER BY date), r AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT date, count(*) AS n, round(avg(abs(rate - predicted)), 6) AS mae, round(sqrt(avg((rate - predicted) ** 2)), 6) AS rmse,
   round(avg(a_lag1 - a_lag2), 6) AS mean_momentum, round(avg(a_roll3), 6) AS mean_roll3
 FROM featured WHERE rate IS NOT NULL AND predicted IS NOT NULL GROUP BY 1
 """)
 def persistence_backtest(spark, sf):
-    rows = features.add_momentum(features.add_rolling(features.add_lags(_signal_panel(spark, sf), ["signal_A"]), ["signal_A"]), ["signal_A"])
     from pyspark.sql import Window
 
+    whole = I.order_counts(spark, sf).select("entity", "date", F.col("n_orders").cast("double").alias("apps"))
+    rows = features.add_momentum(features.add_rolling(features.add_lags(_signal_panel(spark, sf, whole), ["signal_A"]), ["signal_A"]), ["signal_A"])
     rows = rows.withColumn("predicted", F.lag("rate", 1).over(Window.partitionBy("entity").orderBy("date"))).dropna(subset=["rate", "predicted"])
     error = F.col("rate") - F.col("predicted")
     return rows.groupBy("date").agg(
@@ -570,7 +571,7 @@ iqr AS (SELECT c.entity, c.date, c.apps AS value, round_even(q.m, 1) AS median,
 """
 
 
-@query("""SELECT 'apps' AS "column", count(*) FILTER (WHERE apps IS NULL) AS n_null, round_even(100.0 * count(*) FILTER (WHERE apps IS NULL) / count(*), 2) AS pct, CASE WHEN count(*) FILTER (WHERE apps IS NULL) > 0 THEN 'WARNING' ELSE 'OK' END AS severity FROM panel
+@query("""SELECT 'apps' AS "column", count(*) FILTER (WHERE apps IS NULL) AS n_null, round_even(100.0 * count(*) FILTER (WHERE apps IS NULL) / count(*), 2) AS pct, CASE WHEN 100.0 * count(*) FILTER (WHERE apps IS NULL) / count(*) > 20 THEN 'ERROR' WHEN count(*) FILTER (WHERE apps IS NULL) > 0 THEN 'WARNING' ELSE 'OK' END AS severity FROM panel
 UNION ALL SELECT 'market', count(*) FILTER (WHERE market IS NULL), round_even(100.0 * count(*) FILTER (WHERE market IS NULL) / count(*), 2), 'OK' FROM panel""")
 def audit_missing(spark, sf):
     return audit.audit_missing(I.panel(spark, sf), ["apps", "market"])
@@ -650,7 +651,7 @@ def latest_n(spark, sf):
 ISSUES = """, q AS (SELECT entity, quantile_cont(apps, 0.25) AS q1, quantile_cont(apps, 0.75) AS q3, count(apps) AS n FROM panel GROUP BY 1), z AS (SELECT avg(rate) AS m, stddev_samp(rate) AS s FROM panel),
 e AS (SELECT datediff('month', min(date), max(date)) + 1 AS e FROM panel),
 found AS (
-  SELECT 'WARNING' AS severity, 'missing' AS category, 'null_share' AS "check", c AS entity, round_even(100.0 * n / t, 2)::VARCHAR || ' % null' AS detail, n::DOUBLE AS value FROM (SELECT unnest(['apps', 'rate']) AS c, count(*) FILTER (WHERE apps IS NULL) AS n, count(*) AS t FROM panel) WHERE n > 0
+  SELECT CASE WHEN round_even(100.0 * n / t, 2) > 20 THEN 'ERROR' ELSE 'WARNING' END AS severity, 'missing' AS category, 'null_share' AS "check", c AS entity, round_even(100.0 * n / t, 2)::VARCHAR || ' % null' AS detail, n::DOUBLE AS value FROM (SELECT unnest(['apps', 'rate']) AS c, count(*) FILTER (WHERE apps IS NULL) AS n, count(*) AS t FROM panel) WHERE n > 0
   UNION ALL SELECT 'WARNING', 'coverage', 'missing_months', entity, (e - count(DISTINCT date))::VARCHAR || ' months missing', (e - count(DISTINCT date))::DOUBLE FROM panel, e GROUP BY entity, e HAVING e > count(DISTINCT date)
   UNION ALL SELECT 'WARNING', 'coverage', 'date_gap', entity, (date - p)::VARCHAR || ' days before ' || strftime(date, '%Y-%m-%d'), (date - p)::DOUBLE FROM (SELECT entity, date, lag(date) OVER (PARTITION BY entity ORDER BY date) AS p FROM panel) WHERE date - p NOT BETWEEN 28 AND 32
   UNION ALL SELECT 'WARNING', 'outliers', 'applications_iqr', entity, strftime(date, '%Y-%m-%d'), apps FROM panel JOIN q USING (entity) WHERE n >= 4 AND (apps < q1 - 3 * (q3 - q1) OR apps > q3 + 3 * (q3 - q1))

@@ -3,8 +3,8 @@
 A paragraph is a line of MIN_PARAGRAPH words or more. Its shingles of five words are sketched by
 ROWS * BANDS minima, cut into bands; paragraphs that collide in a band are joined, their Jaccard similarity is
 worked out from all their shingles, and those at SIMILARITY or more are linked. Of a component of links,
-the paragraphs of the smallest doc_id stay and the others are removed. With 8 bands of 3 rows a pair at
-0.8 collides with probability 0.997.
+the paragraphs of the smallest doc_id stay and the others are removed. With 6 bands of 3 rows a pair at
+0.8 collides with probability 0.986, one at 0.9 with probability 0.9996.
 
 A passage may also stand in the middle of a paragraph. So the words of a document are cut a second time, where a
 hash of two neighbouring words is the smallest within REACH words to both sides; these places depend on
@@ -12,7 +12,8 @@ nothing but the words around them, so that a repeated passage has the same piece
 Equal pieces are compared as wholes. What is removed from a document is merged, and runs of fewer than
 MIN_RUN words stay.
 
-Equal paragraphs and pieces are reduced to one row on the map side before anything is joined, and in a
+Equal paragraphs and pieces are reduced to one row on the map side before anything is joined, filters of fixed
+size keep rows without a partner out of the joins, and in a
 bucket of a band all members are compared with the first one; only those that are not similar to it are
 compared with the rest.
 """
@@ -28,13 +29,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.components import connected_components
+from panelkit.llm.prefilter import likely_in
 from panelkit.llm.text import LAST, documents_of
-from panelkit.session import checkpointed
+from panelkit.session import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 8, 3
-MIN_PARAGRAPH, MIN_RUN = 12, 20
+BANDS, ROWS = 6, 3
+MIN_PARAGRAPH, MIN_RUN = 25, 14
 REACH, MIN_PIECE = 5, 6
+#: Words of the documents that are worked on at once.
+BATCH_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(8)
 _A = (_RNG.integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -75,51 +79,74 @@ def bands(found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def pieces(words: np.ndarray) -> list[tuple[int, int]]:
-    """(start, end) of the pieces between the places where a text is cut."""
-    n = len(words) - 1
-    if n < 2 * REACH + 1:
-        return []
+def pieces(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, end) of the pieces between the places where texts are cut; [begin, end) are the texts' words."""
+    none = np.zeros(0, np.int64)
+    if len(words) < 2 * REACH + 2:
+        return none, none, none
     marks = _mix(words[:-1] * _ODD + words[1:])
-    around = np.lib.stride_tricks.sliding_window_view(marks, 2 * REACH + 1)
-    middle = around[:, REACH]
-    cut = np.flatnonzero((middle < around[:, :REACH].min(1)) & (middle <= around[:, REACH + 1 :].min(1))) + REACH
-    return [(a, b) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()) if b - a >= MIN_PIECE]
+    n = len(marks) - 2 * REACH
+    least_before = np.minimum.reduce([marks[k : k + n] for k in range(REACH)])
+    least_after = np.minimum.reduce([marks[k : k + n] for k in range(REACH + 1, 2 * REACH + 1)])
+    middle = marks[REACH : REACH + n]
+    cut = np.flatnonzero((middle < least_before) & (middle <= least_after)) + REACH
+    doc = np.searchsorted(begins, cut, "right") - 1
+    inside = (cut - REACH >= begins[doc]) & (cut + REACH + 1 < ends[doc])
+    cut, doc = cut[inside], doc[inside]
+    good = (doc[:-1] == doc[1:]) & (np.diff(cut) >= MIN_PIECE)
+    return doc[:-1][good], cut[:-1][good], cut[1:][good]
+
+
+UNIT_SCHEMA = "doc long, start long, length long, key long, bands array<long>"
+
+
+def _batch(docs: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """The paragraphs and the pieces of a few documents, each as one batch."""
+    words = np.concatenate([w for w, _ in texts])
+    ends = np.cumsum([len(w) for w, _ in texts])
+    begins = ends - [len(w) for w, _ in texts]
+    data, names = words.tobytes(), np.array(docs, np.int64)
+    filled = np.flatnonzero(ends > begins)  # so that the begins are all different
+    lines = [(np.full(len(b) - 1, k), b[:-1] + begins[k], b[1:] + begins[k]) for k, (_, b) in enumerate(texts)]
+    doc, start, end = (np.concatenate(x) for x in zip(*lines))
+    long = end - start >= MIN_PARAGRAPH
+    doc, start, end = doc[long], start[long], end[long]
+    cut_doc, cut_start, cut_end = pieces(words, begins[filled], ends[filled])
+    found = bands(shingles(words), start, end - SHINGLE + 1).view(np.int64) if len(start) else None
+    for d, a, b, sketch in ((doc, start, end, found), (filled[cut_doc] if len(filled) else cut_doc, cut_start, cut_end, None)):
+        if not len(d):
+            continue
+        keys = [xxhash.xxh64_intdigest(data[8 * x : 8 * y]) - 2**63 for x, y in zip(a.tolist(), b.tolist())]
+        column = pa.nulls(len(d), pa.list_(pa.int64())) if sketch is None else pa.ListArray.from_arrays(np.arange(0, len(d) * BANDS + 1, BANDS, dtype=np.int32), sketch.ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(names[d]), pa.array(a - begins[d]), pa.array(b - a), pa.array(keys, pa.int64()), column], names=["doc", "start", "length", "key", "bands"])
 
 
 def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        doc, start, length, key, band = [], [], [], [], []
+        docs, texts, size = [], [], 0
         for d, text in zip(part.column("doc").to_pylist(), part.column("text")):
-            words, bounds = paragraphs(text.as_py())
-            data = words.tobytes()
-            long = np.flatnonzero(np.diff(bounds) >= MIN_PARAGRAPH)
-            if len(long):
-                a, b = bounds[long], bounds[long + 1]
-                band += bands(shingles(words), a, b - SHINGLE + 1).view(np.int64).tolist()
-                spans = list(zip(a.tolist(), b.tolist()))
-            else:
-                spans = []
-            cut = pieces(words)
-            band += [None] * len(cut)
-            for x, y in spans + cut:
-                doc.append(d)
-                start.append(x)
-                length.append(y - x)
-                key.append(xxhash.xxh64_intdigest(data[8 * x : 8 * y]) - 2**63)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(doc, pa.int64()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(key, pa.int64()), pa.array(band, pa.list_(pa.int64()))],
-            names=["doc", "start", "length", "key", "bands"],
-        )
-
-
-def _links(kinds: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v): keys of different paragraphs that collide in a band and are similar enough. kinds: key, doc, start, length, bands."""
-    placed = kinds.select("key", F.posexplode("bands").alias("band", "bucket"))
-    firsts = placed.groupBy("band", "bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("band", "bucket", "first")
-    placed = checkpointed(placed.join(firsts, ["band", "bucket"]))
-    wanted = placed.select("key").distinct().join(kinds.select("key", "doc", "start", "length"), "key")
-    by_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "length")).alias("spans"))
+            docs.append(d)
+            texts.append(paragraphs(text.as_py()))
+            size += len(texts[-1][0])
+            if size > BATCH_WORDS:
+                yield from _batch(docs, texts)
+                docs, texts, size = [], [], 0
+        if docs:
+            yield from _batch(docs, texts)
+
+
+def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+    """(u, v): keys of different paragraphs that collide in a band and are similar enough.
+
+    kinds: key, bands of every paragraph; classes: key, at (where one of its paragraphs is); docs: doc, text.
+    """
+    placed = kinds.select("key", F.explode("bands").alias("bucket"))
+    firsts = written(placed.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("bucket", "first"))
+    shared = placed.where(likely_in(firsts, "bucket")(F.col("bucket"))).distinct()
+    placed = written(shared.join(firsts, "bucket"))
+    wanted = placed.select("key").distinct().join(classes.select("key", "at.doc", "at.start", "at.length"), "key")
+    by_doc = written(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "length")).alias("spans")))
+    needed = docs.where(likely_in(by_doc, "doc")(F.col("doc")))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -131,8 +158,8 @@ def _links(kinds: DataFrame, docs: DataFrame) -> DataFrame:
                     found.append(np.unique(shingles(words[s["start"] : s["start"] + s["length"]])).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "found"])
 
-    texts = docs.join(by_doc, "doc").select("text", "spans").mapInArrow(sets, "key long, found array<long>")
-    texts = checkpointed(texts.groupBy("key").agg(F.first("found").alias("found")))
+    texts = needed.join(by_doc, "doc").select("text", "spans").mapInArrow(sets, "key long, found array<long>")
+    texts = written(texts.groupBy("key").agg(F.first("found").alias("found")))
 
     def similar(pairs: DataFrame) -> DataFrame:
         a, b = (texts.select(F.col("key").alias(x), F.col("found").alias(f"{x}_found")) for x in "uv")
@@ -142,9 +169,9 @@ def _links(kinds: DataFrame, docs: DataFrame) -> DataFrame:
         return both.where((F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (common >= SIMILARITY * (n + m - common))).select("u", "v")
 
     to_first = placed.where("key > first").select(F.col("key").alias("u"), F.col("first").alias("v")).distinct()
-    linked = checkpointed(similar(to_first))
+    linked = written(similar(to_first))
     alone = placed.where("key > first").join(linked.select(F.col("u").alias("key"), F.col("v").alias("first")), ["key", "first"], "left_anti")
-    rest = alone.select("band", "bucket", F.col("key").alias("u")).join(placed.where("key > first").select("band", "bucket", F.col("key").alias("v")), ["band", "bucket"])
+    rest = alone.select("bucket", F.col("key").alias("u")).join(placed.where("key > first").select("bucket", F.col("key").alias("v")), "bucket")
     rest = rest.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     return linked.unionByName(similar(rest))
 
@@ -157,21 +184,19 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     without one (which sort last), count as one document. Null and empty texts and tables give no rows.
     """
     rows = documents_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
-    units = checkpointed(rows.mapInArrow(_units, "doc long, start long, length long, key long, bands array<long>"))
+    units = written(rows.mapInArrow(_units, UNIT_SCHEMA))
     is_paragraph = F.col("bands").isNotNull()
-    kinds = units.groupBy("key", is_paragraph.alias("paragraph")).agg(
-        F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"), F.min(F.when(is_paragraph, F.struct("doc", "start", "length", "bands"))).alias("at")
-    )
-    kinds = checkpointed(kinds.where("paragraph or first_doc < last_doc"))
-    of_paragraphs = kinds.where("paragraph").select("key", "at.doc", "at.start", "at.length", "at.bands")
-    roots = connected_components(_links(of_paragraphs, rows))
-    rooted = kinds.join(roots.select(F.col("node").alias("key"), "root", F.lit(True).alias("paragraph")), ["key", "paragraph"], "left")
-    rooted = rooted.withColumn("root", F.coalesce("root", "key"))
-    kept = rooted.groupBy("paragraph", "root").agg(F.min("first_doc").alias("kept"), F.max("last_doc").alias("last")).where("kept < last").drop("last")
-    classes = rooted.join(kept, ["paragraph", "root"]).select("key", "paragraph", F.col("root").alias("component"), "kept")
+    classes = written(units.where(is_paragraph).groupBy("key").agg(F.min(F.struct("doc", "start", "length")).alias("at"), F.max("doc").alias("last_doc")))
+    roots = connected_components(_links(units.where(is_paragraph).select("key", "bands"), classes, rows))
+    rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    kept = rooted.groupBy("root").agg(F.min("at.doc").alias("kept"), F.max("last_doc").alias("last")).where("kept < last").drop("last")
+    of_paragraphs = rooted.join(kept, "root").select("key", F.lit(True).alias("paragraph"), F.col("root").alias("component"), "kept")
+    of_pieces = units.where(~is_paragraph).groupBy("key").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last")
+    repeated = written(of_paragraphs.unionByName(of_pieces.select("key", F.lit(False).alias("paragraph"), F.col("key").alias("component"), "kept")))
     removed = (
-        units.select("doc", "start", (F.col("start") + F.col("length")).alias("end"), "key", is_paragraph.alias("paragraph"))
-        .join(classes, ["key", "paragraph"])
+        units.where(likely_in(repeated, "key")(F.col("key")))
+        .select("doc", "start", (F.col("start") + F.col("length")).alias("end"), "key", is_paragraph.alias("paragraph"))
+        .join(repeated, ["key", "paragraph"])
         .where("doc > kept")
         .select("doc", "start", "end", "component", "kept")
         .distinct()

@@ -14,8 +14,8 @@ MIN_RUN words stay.
 
 Equal paragraphs and pieces are reduced to one row on the map side before anything is joined, filters of fixed
 size keep rows without a partner out of the joins, and in a
-bucket of a band all members are compared with the first one; only those that are not similar to it are
-compared with the rest.
+bucket of a band all members are compared with two of them; only those that are not similar to the first are
+compared with the rest, as far as that is not in their component already.
 """
 
 from __future__ import annotations
@@ -141,7 +141,9 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     kinds: key, bands of every paragraph; classes: key, at (where one of its paragraphs is); docs: doc, text.
     """
     placed = kinds.select("key", F.explode("bands").alias("bucket"))
-    firsts = written(placed.groupBy("bucket").agg(F.min("key").alias("first"), F.max("key").alias("last")).where("first < last").select("bucket", "first"))
+    by = F.xxhash64("key", "bucket")  # so that the buckets of one large group have different members to compare with
+    ends = placed.groupBy("bucket").agg(F.min_by("key", by).alias("first"), F.max_by("key", by).alias("second"))
+    firsts = written(ends.where("first <> second"))
     shared = placed.where(likely_in(firsts, "bucket")(F.col("bucket"))).distinct()
     placed = written(shared.join(firsts, "bucket"))
     wanted = placed.select("key").distinct().join(classes.select("key", "at.doc", "at.start", "at.length"), "key")
@@ -168,11 +170,16 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         common = F.size(F.array_intersect("u_found", "v_found"))
         return both.where((F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (common >= SIMILARITY * (n + m - common))).select("u", "v")
 
-    to_first = placed.where("key > first").select(F.col("key").alias("u"), F.col("first").alias("v")).distinct()
-    linked = written(similar(to_first))
-    alone = placed.where("key > first").join(linked.select(F.col("u").alias("key"), F.col("v").alias("first")), ["key", "first"], "left_anti")
-    rest = alone.select("bucket", F.col("key").alias("u")).join(placed.where("key > first").select("bucket", F.col("key").alias("v")), "bucket")
-    rest = rest.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
+    chosen = placed.select(*pair("key", "first")).unionByName(placed.select(*pair("key", "second"))).where("u <> v").distinct()
+    linked = written(similar(chosen))
+    # what is in one component by now need not be compared again: copies of one paragraph have met by way of some first one
+    roots = connected_components(linked).withColumnRenamed("node", "key")
+    known = written(placed.where("key <> first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
+    either = linked.select(F.col("u").alias("key"), F.col("v").alias("first")).unionByName(linked.select(F.col("v").alias("key"), F.col("u").alias("first")))
+    alone = known.join(either, ["key", "first"], "left_anti")
+    rest = alone.select("bucket", F.col("key").alias("u"), F.col("root").alias("u_root")).join(known.select("bucket", F.col("key").alias("v"), F.col("root").alias("v_root")), "bucket")
+    rest = rest.where("u_root <> v_root").select(*pair("u", "v")).distinct()
     return linked.unionByName(similar(rest))
 
 

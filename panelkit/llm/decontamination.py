@@ -12,12 +12,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.text import documents_of
+from panelkit.llm.text import documents_of, keep_where
 from panelkit.session import checkpointed
 
 WINDOW = 10
@@ -214,16 +213,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """docs without the rows that hold a window of a test item; the decision is made row by row, with no shuffle."""
     kept = docs
     for block in _blocks(benchmark, item_col, "text", window):
-        kept = kept.where(~_holds(block)(F.col(text_col).cast("string")))
+        kept = keep_where(kept, text_col, _clean(block))
     return kept
 
 
-def _holds(block: Block):
-    @F.pandas_udf("boolean")
-    def holds(texts: pd.Series) -> pd.Series:
-        hit = np.zeros(len(texts), bool)
-        for doc, *_ in shard_matches(block, [words_of(t) for t in texts]):
-            hit[doc] = True
-        return pd.Series(hit)
+def _clean(block: Block):
+    def clean(texts: list) -> list[bool]:
+        hit = {doc for doc, *_ in shard_matches(block, [words_of(t) for t in texts])}
+        return [k not in hit for k in range(len(texts))]
 
-    return holds
+    return clean

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from panelkit.llm.text import let
+from panelkit.llm.text import let, with_small_batches
 from panelkit.session import checkpointed
 
 BUCKETS = 1 << 15
@@ -145,7 +145,7 @@ def identify(pages: DataFrame, docs: DataFrame, url_col: str = "url", html_col:
                 names=["page_id", "url", "declared", "n_letters", "means"],
             )
 
-    slim = pages.select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    slim = with_small_batches(pages).select(F.col(page_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     seen = slim.mapInArrow(read, "page_id long, url string, declared string, n_letters long, means array<double>")
     host = F.lower(F.coalesce(F.try_parse_url("url", F.lit("HOST")), F.lit("")))
     tempered = F.transform("means", lambda x: x * F.least(F.col("n_letters"), F.lit(EVIDENCE)))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.sampling import labelled_ids, unlabelled_ids
-from panelkit.llm.text import documents_of, held_out
+from panelkit.llm.text import documents_of, held_out, keep_where
 
 FOLD = (5, 0)
 THRESHOLD = 0.3
@@ -147,4 +147,9 @@ def classify(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, t
 
 def keep_good(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs with a score of `threshold` or more."""
-    return docs.where(score(train(docs, labels, fold), F.col("text")) >= threshold)
+    model = train(docs, labels, fold)
+
+    def good(texts: list) -> list[bool]:
+        return (model.scores(np.array([features(t) for t in texts]).reshape(-1, N_FEATURES)) >= threshold).tolist()
+
+    return keep_where(docs, "text", good)

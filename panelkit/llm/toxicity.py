@@ -42,9 +42,8 @@ ALPHABET = 64
 #: Words longer than this are cut into overlapping pieces.
 LONGEST = 32
 #: Words whose values a worker remembers.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 _LETTERS = re.compile(r"[^\W\d_]+")
-_APART = re.compile(r"(?<!\S)(?:\S[ \t]){2,}\S(?!\S)")
 
 
 def words_in(chunk: str) -> list[str]:
@@ -56,10 +55,18 @@ def words_in(chunk: str) -> list[str]:
 
 
 def chunks_of(text: str | None) -> set[str]:
-    """The pieces between blanks, in small letters, and the joined runs of single characters."""
-    text = (text or "").lower()
-    found = set(text.split())
-    found.update("".join(m.split()) for m in _APART.findall(text))
+    """The pieces between blanks, in small letters and without a full stop or comma at the end, and the joined runs of single characters."""
+    text = (text or "").lower().replace(". ", " ").replace(", ", " ").replace(".\n", " ")
+    words = text.split()
+    found = set(words)
+    single = [i for i, w in enumerate(words) if len(w) == 1]
+    if len(single) > 2:
+        start = 0
+        for k in range(1, len(single) + 1):
+            if k == len(single) or single[k] != single[k - 1] + 1:
+                if k - start > 2:
+                    found.add("".join(words[single[start] : single[k - 1] + 1]))
+                start = k
     return found
 
 
@@ -76,6 +83,8 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
 
 
+#: Bits that number the subsequences of a word of up to LONGEST letters.
+_SHIFT = 9
 _PLACES = {n: _places(n) for n in range(ORDER, LONGEST + 1)}
 
 
@@ -98,23 +107,31 @@ def triples(words: list[str], letters: dict[str, int]) -> Iterator[tuple[np.ndar
         at, weights = _PLACES[n]
         for s in range(0, len(where), 4096):
             part = where[s : s + 4096]
-            codes = np.array([[letters.get(c, 0) for c in words[k]] for k in part], np.int64)
+            codes = np.array([[letters.get(c, 0) for c in words[k]] for k in part], np.int32)
             ids = (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]]
-            packed = np.sort(ids * len(weights) + np.arange(len(weights)), axis=1)
-            ordered, w = packed // len(weights), weights[packed % len(weights)]
-            norms = (w * w).sum(1)
-            for r in np.flatnonzero((ordered[:, 1:] == ordered[:, :-1]).any(1)):
-                norms[r] = (np.bincount(np.unique(ordered[r], return_inverse=True)[1], w[r]) ** 2).sum()
+            packed = np.sort((ids << _SHIFT) | np.arange(len(weights), dtype=np.int32), axis=1)  # 18 bits of triple, 9 of place
+            ordered, w = packed >> _SHIFT, weights[packed & ((1 << _SHIFT) - 1)]
+            first = np.ones(ordered.shape, bool)
+            first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
+            starts = np.flatnonzero(first)  # of equal triples of a word, whose weights add up
+            norms = np.bincount(starts // len(weights), np.add.reduceat(w.ravel(), starts) ** 2, len(part))
             yield np.array(part), ids, weights, norms
 
 
-def feature_map(words: list[str], letters: dict[str, int]) -> np.ndarray:
-    """The normalised map of a few words, one row each."""
-    out = np.zeros((len(words), ALPHABET**ORDER), np.float32)
-    for where, ids, weights, norms in triples(words, letters):
+def feature_map(words: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
+    """(place, map): the normalised map of a few words, one row each, over the triples that occur in them.
+
+    place gives the column of each triple; column 0 is for those that do not occur, and is empty.
+    """
+    found = list(triples(words, letters))
+    present = np.unique(np.concatenate([ids.ravel() for _, ids, _, _ in found])) if found else np.zeros(0, np.int64)
+    place = np.zeros(ALPHABET**ORDER, np.int32)
+    place[present] = np.arange(1, len(present) + 1)
+    out = np.zeros((len(words), len(present) + 1))
+    for where, ids, weights, norms in found:
         for k, x, norm in zip(where, ids, norms):
-            np.add.at(out[k], x, weights / np.sqrt(norm))
-    return out
+            np.add.at(out[k], place[x], weights / np.sqrt(norm))
+    return place, out
 
 
 @dataclass(frozen=True)
@@ -183,15 +200,14 @@ def fit_machine(toxic: dict[str, int], clean: list[str], marks: list[str], penal
     letters = alphabet_of([*toxic, *clean])
     if not toxic or not clean:
         return Machine(letters, np.zeros(ALPHABET**ORDER, np.float32), -1.0)
-    mapped = feature_map(marks, letters)
-    among = mapped.astype(float) @ mapped.T.astype(float)
-    values, vectors = np.linalg.eigh(among)
+    place, mapped = feature_map(marks, letters)
+    values, vectors = np.linalg.eigh(mapped @ mapped.T)
     root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])  # K^(-1/2) up to a rotation
-    near = np.concatenate([_kernel(list(part), mapped, letters) for part in (toxic, clean)]) @ root
+    near = np.concatenate([_kernel(list(part), place, mapped, letters) for part in (toxic, clean)]) @ root
     y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
     cost = np.sqrt(np.array(list(toxic.values()), float))
     w, bias = _hinge(near, y, np.r_[cost / cost.sum(), np.full(len(clean), 1 / len(clean))], penalty)
-    return Machine(letters, ((root @ w) @ mapped).astype(np.float32), bias)
+    return Machine(letters, ((root @ w) @ mapped)[place].astype(np.float32), bias)
 
 
 def witnesses(found: list[tuple[int, str, str]], least: int = 3) -> dict[str, int]:
@@ -225,11 +241,13 @@ def witnesses(found: list[tuple[int, str, str]], least: int = 3) -> dict[str, in
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
-def _kernel(words: list[str], mapped: np.ndarray, letters: dict[str, int]) -> np.ndarray:
+def _kernel(words: list[str], place: np.ndarray, mapped: np.ndarray, letters: dict[str, int]) -> np.ndarray:
+    """Kernel values of words and landmarks."""
     out = np.zeros((len(words), len(mapped)))
     for where, ids, weights, norms in triples(words, letters):
+        at = place[ids]
         for j, m in enumerate(mapped):
-            out[where, j] = (m[ids] * weights).sum(1) / np.sqrt(norms)
+            out[where, j] = (m[at] * weights).sum(1) / np.sqrt(norms)
     return out
 
 

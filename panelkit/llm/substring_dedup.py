@@ -1,10 +1,11 @@
 """Repeated passages: MinHash banding of paragraphs, exact verification, and components of what is removed.
 
-A paragraph is a line of MIN_PARAGRAPH words or more. Its shingles of five words are sketched by
+A paragraph is a line of MIN_PARAGRAPH words or more, and also a block of consecutive lines of fewer than WRAPPED words
+each that makes up as many words (an empty line or a longer one ends it), as in hard-wrapped text. Its shingles of five words are sketched by
 ROWS * BANDS minima, cut into bands; paragraphs that collide in a band are joined, their Jaccard similarity is
 worked out from all their shingles, and those at SIMILARITY or more are linked. Of a component of links,
-the paragraphs of the smallest doc_id stay and the others are removed. With 6 bands of 3 rows a pair at
-0.8 collides with probability 0.986, one at 0.9 with probability 0.9996.
+the paragraphs of the smallest doc_id stay and the others are removed. With 8 bands of 3 rows a pair at
+0.8 collides with probability 0.997, one at 0.9 with probability 0.99997.
 
 A passage may also stand in the middle of a paragraph. So the words of a document are cut a second time, where a
 hash of two neighbouring words is the smallest within REACH words to both sides; these places depend on
@@ -34,8 +35,10 @@ from panelkit.llm.text import LAST, documents_of
 from panelkit.session import written
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 6, 3
-MIN_PARAGRAPH, MIN_RUN = 25, 14
+BANDS, ROWS = 8, 3
+MIN_PARAGRAPH, MIN_RUN = 12, 14
+#: Lines of fewer words may be parts of a wrapped paragraph.
+WRAPPED = 25
 REACH, MIN_PIECE = 5, 6
 #: Words of the documents that are worked on at once.
 BATCH_WORDS = 200_000
@@ -57,6 +60,17 @@ def paragraphs(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)), np.cumsum([0, *map(len, lines)])
 
 
+def blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, ends) in words of the text's paragraphs, from the bounds of its lines."""
+    size = np.diff(bounds)
+    short = np.concatenate([[0], (size > 0) & (size < WRAPPED), [0]]).astype(np.int8)
+    first, last = np.flatnonzero(np.diff(short) == 1), np.flatnonzero(np.diff(short) == -1)
+    several = last - first > 1
+    start, end = np.append(bounds[:-1], bounds[first[several]]), np.append(bounds[1:], bounds[last[several]])
+    long = end - start >= MIN_PARAGRAPH
+    return start[long], end[long]
+
+
 def shingles(words: np.ndarray) -> np.ndarray:
     """A hash for every five consecutive words."""
     n = len(words) - SHINGLE + 1
@@ -107,10 +121,9 @@ def _batch(docs: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[p
     begins = ends - [len(w) for w, _ in texts]
     data, names = words.tobytes(), np.array(docs, np.int64)
     filled = np.flatnonzero(ends > begins)  # so that the begins are all different
-    lines = [(np.full(len(b) - 1, k), b[:-1] + begins[k], b[1:] + begins[k]) for k, (_, b) in enumerate(texts)]
-    doc, start, end = (np.concatenate(x) for x in zip(*lines))
-    long = end - start >= MIN_PARAGRAPH
-    doc, start, end = doc[long], start[long], end[long]
+    found = [blocks(b) for _, b in texts]
+    doc = np.repeat(np.arange(len(texts)), [len(a) for a, _ in found])
+    start, end = (np.concatenate(x) + begins[doc] for x in zip(*found))
     cut_doc, cut_start, cut_end = pieces(words, begins[filled], ends[filled])
     found = bands(shingles(words), start, end - SHINGLE + 1).view(np.int64) if len(start) else None
     for d, a, b, sketch in ((doc, start, end, found), (filled[cut_doc] if len(filled) else cut_doc, cut_start, cut_end, None)):

@@ -211,6 +211,27 @@ def test_near_paragraphs_form_components(spark):
     assert got == {(10, 7), (11, 7), (12, 7)}
 
 
+def test_edited_copies_of_short_and_wrapped_lines(spark):
+    rng = random.Random(5)
+    text = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 60, 3):
+        line, wrapped = text(24), text(90)
+        rewrapped = [*wrapped[:44], "changed", *wrapped[45:]]
+        lay = lambda w, n: "\n".join(" ".join(w[i : i + n]) for i in range(0, len(w), n))
+        rows += [(k, f"{' '.join(line)}\n\n{lay(wrapped, 9)}"), (k + 1, " ".join(["changed", *line[1:]])), (k + 2, lay(rewrapped, 7))]
+        want |= {(k + 1, 24), (k + 2, 90)}
+    got = {(r.doc_id, r.n_words) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert len(want - got) <= 1
+
+
+def test_paragraphs_are_lines_and_blocks_of_short_lines():
+    lines = lambda *n: list(zip(*(x.tolist() for x in substring_dedup.blocks(np.cumsum([0, *n])))))
+    assert lines(12, 30, 5) == [(0, 12), (12, 42)]
+    assert lines(5, 6, 7, 0, 5, 4, 30, 11) == [(27, 57), (0, 18)]
+    assert lines(13, 9) == [(0, 13), (0, 22)] and lines(0) == lines() == []
+
+
 def test_passages_with_nulls_and_repeats(spark):
     line = " ".join(f"word{k}" for k in range(60))
     df = frame(spark, [(None, line), (4, line), (4, line), (5, None), (6, "")]).withColumns({"key": F.lit(1), "doc": F.lit(2)})

@@ -7,13 +7,13 @@ worked out from all their shingles, and those at SIMILARITY or more are linked.
 the paragraphs of the smallest doc_id stay and the others are removed. With 8 bands of 3 rows a pair at
 0.8 collides with probability 0.997, one at 0.9 with probability 0.99997.
 
-A passage may also stand in the middle of a paragraph. So the words of a document are cut a second time, where a
-hash of two neighbouring words is the smallest within REACH words to both sides; these places depend on
-nothing but the words around them, so that a repeated passage has the same pieces wherever it stands.
-Equal pieces are compared as wholes. What is removed from a document is merged, and runs of fewer than
-MIN_RUN words stay.
+A passage may also stand in the middle of a paragraph. So of every CERTAIN - SEED + 1 runs of SEED words that follow one
+another, the one with the smallest hash is a seed (winnowing): each passage of CERTAIN words holds a seed, and as the choice depends on
+nothing but these words, the same one wherever the passage stands. A seed that an earlier document has too is extended
+word by word to both sides as far as the smallest such document agrees, by up to REACH words: what agrees beyond
+holds a further seed. What is removed from a document is merged, and runs of fewer than MIN_RUN words stay.
 
-Equal paragraphs and pieces are reduced to one row on the map side before anything is joined, filters of fixed
+Equal paragraphs and seeds are reduced to one row on the map side before anything is joined, filters of fixed
 size keep rows without a partner out of the joins, and in a
 bucket of a band all members are compared with two of them; only those that are not similar to the first are
 compared with the rest, as far as that is not in their component already.
@@ -39,7 +39,9 @@ BANDS, ROWS = 8, 3
 MIN_PARAGRAPH, MIN_RUN = 12, 14
 #: Lines of fewer words may be parts of a wrapped paragraph.
 WRAPPED = 25
-REACH, MIN_PIECE = 5, 6
+#: Words of a seed; a repeated passage of CERTAIN words or more holds one; words to each side of it that are compared.
+SEED, CERTAIN = 14, 50
+REACH = CERTAIN - SEED + 1
 #: Words of the documents that are worked on at once.
 BATCH_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -93,45 +95,93 @@ def bands(found: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
     return out
 
 
-def pieces(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(document, start, end) of the pieces between the places where texts are cut; [begin, end) are the texts' words."""
-    none = np.zeros(0, np.int64)
-    if len(words) < 2 * REACH + 2:
-        return none, none, none
-    marks = _mix(words[:-1] * _ODD + words[1:])
-    n = len(marks) - 2 * REACH
-    least_before = np.minimum.reduce([marks[k : k + n] for k in range(REACH)])
-    least_after = np.minimum.reduce([marks[k : k + n] for k in range(REACH + 1, 2 * REACH + 1)])
-    middle = marks[REACH : REACH + n]
-    cut = np.flatnonzero((middle < least_before) & (middle <= least_after)) + REACH
-    doc = np.searchsorted(begins, cut, "right") - 1
-    inside = (cut - REACH >= begins[doc]) & (cut + REACH + 1 < ends[doc])
-    cut, doc = cut[inside], doc[inside]
-    good = (doc[:-1] == doc[1:]) & (np.diff(cut) >= MIN_PIECE)
-    return doc[:-1][good], cut[:-1][good], cut[1:][good]
+def grams(words: np.ndarray) -> np.ndarray:
+    """A hash above 0 for every SEED consecutive words."""
+    n = len(words) - SEED + 1
+    out = words[: max(n, 0)].copy()
+    for k in range(1, SEED if n > 0 else 0):
+        out = out * _ODD + words[k : n + k]
+    return _mix(out) | np.uint64(1)
+
+
+def _sliding(best: np.ufunc, x: np.ndarray, width: int) -> np.ndarray:
+    """The best of every `width` consecutive values."""
+    have = 1
+    while have < width:
+        step = min(have, width - have)
+        x = best(x[:-step], x[step:])
+        have += step
+    return x
+
+
+def seeds(words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, hash) of the seeds; [begin, end) are the texts' words, one text after another.
+
+    All of equal smallest hashes are seeds, but of words that repeat over and over only some within CERTAIN words.
+    """
+    hashes, width = grams(words), REACH
+    chosen = np.zeros(len(hashes), bool)
+    if len(hashes) >= width:
+        least = _sliding(np.minimum, hashes, width)
+        at = np.arange(len(least))
+        doc = np.searchsorted(begins, at, "right") - 1
+        least[at + width - 1 + SEED > ends[doc]] = 0
+        none = np.zeros(width - 1, np.uint64)
+        chosen = _sliding(np.maximum, np.concatenate([none, least, none]), width) == hashes
+    counts = ends - begins - SEED + 1
+    brief = (counts > 0) & (counts < width)  # a text with less than one full choice has its smallest
+    if brief.any():
+        least = np.minimum.reduceat(np.append(hashes, np.uint64(2**64 - 1)), np.stack([begins, begins + counts], 1)[brief].ravel())[::2]
+        at = np.concatenate([np.arange(a, a + n) for a, n in zip(begins[brief], counts[brief])])
+        chosen[at] = hashes[at] == np.repeat(least, counts[brief])
+    start = np.flatnonzero(chosen)
+    doc = np.searchsorted(begins, start, "right") - 1
+    found = hashes[start]
+    new = np.append(True, (found[1:] != found[:-1]) | (doc[1:] != doc[:-1]))[: len(start)]
+    first = np.maximum.accumulate(np.where(new, start, 0))
+    part = (start - first) // width
+    keep = new | np.append(new[1:], True)[: len(start)] | np.append(True, part[1:] != part[:-1])[: len(start)]
+    return doc[keep], start[keep], found[keep]
+
+
+def around(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """32-bit hashes of the words of each seed and of REACH words to both sides, 0 beyond the text; a row for each seed."""
+    short = (words ^ (words >> np.uint64(32))).astype(np.uint32)
+    padded = np.pad(np.where(short == 0, np.uint32(1), short), REACH)
+    return padded[starts[:, None] + np.arange(SEED + 2 * REACH)]
+
+
+def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(whether the seeds agree, words that agree before, words that agree after) of rows of around()."""
+    same = (a == b) & (a != 0)
+    run = lambda x: np.cumprod(x, 1, np.int64).sum(1)
+    return same[:, REACH : REACH + SEED].all(1), run(same[:, :REACH][:, ::-1]), run(same[:, REACH + SEED :])
 
 
 UNIT_SCHEMA = "doc long, start long, length long, key long, bands array<long>"
 
 
 def _batch(docs: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-    """The paragraphs and the pieces of a few documents, each as one batch."""
+    """The paragraphs and the seeds of a few documents, each as one batch."""
     words = np.concatenate([w for w, _ in texts])
     ends = np.cumsum([len(w) for w, _ in texts])
     begins = ends - [len(w) for w, _ in texts]
     data, names = words.tobytes(), np.array(docs, np.int64)
-    filled = np.flatnonzero(ends > begins)  # so that the begins are all different
     found = [blocks(b) for _, b in texts]
     doc = np.repeat(np.arange(len(texts)), [len(a) for a, _ in found])
     start, end = (np.concatenate(x) + begins[doc] for x in zip(*found))
-    cut_doc, cut_start, cut_end = pieces(words, begins[filled], ends[filled])
-    found = bands(shingles(words), start, end - SHINGLE + 1).view(np.int64) if len(start) else None
-    for d, a, b, sketch in ((doc, start, end, found), (filled[cut_doc] if len(filled) else cut_doc, cut_start, cut_end, None)):
-        if not len(d):
-            continue
-        keys = [xxhash.xxh64_intdigest(data[8 * x : 8 * y]) - 2**63 for x, y in zip(a.tolist(), b.tolist())]
-        column = pa.nulls(len(d), pa.list_(pa.int64())) if sketch is None else pa.ListArray.from_arrays(np.arange(0, len(d) * BANDS + 1, BANDS, dtype=np.int32), sketch.ravel())
-        yield pa.RecordBatch.from_arrays([pa.array(names[d]), pa.array(a - begins[d]), pa.array(b - a), pa.array(keys, pa.int64()), column], names=["doc", "start", "length", "key", "bands"])
+
+    def rows(d: np.ndarray, a: np.ndarray, n: np.ndarray, keys: pa.Array, sketch: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(names[d]), pa.array(a - begins[d]), pa.array(n), keys, sketch], names=["doc", "start", "length", "key", "bands"])
+
+    if len(doc):
+        sketch = bands(shingles(words), start, end - SHINGLE + 1).view(np.int64)
+        keys = [xxhash.xxh64_intdigest(data[8 * x : 8 * y]) - 2**63 for x, y in zip(start.tolist(), end.tolist())]
+        yield rows(doc, start, end - start, pa.array(keys, pa.int64()), pa.ListArray.from_arrays(np.arange(0, len(doc) * BANDS + 1, BANDS, dtype=np.int32), sketch.ravel()))
+    filled = np.flatnonzero(ends > begins)  # so that the begins are all different
+    doc, start, keys = seeds(words, begins[filled], ends[filled])
+    if len(doc):
+        yield rows(filled[doc], start, np.full(len(doc), SEED), pa.array(keys.view(np.int64)), pa.nulls(len(doc), pa.list_(pa.int64())))
 
 
 def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,11 +246,58 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     return linked.unionByName(similar(rest))
 
 
+def _extended(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """(doc, start, end, component, kept): the seeds with the words around them that the kept document has as well.
+
+    found: doc, start, key, kept, kept_start of repeated seeds; docs: doc, text.
+    """
+    of_kept = found.groupBy("key").agg(F.first("kept").alias("kept"), F.first("kept_start").alias("start")).select(F.col("kept").alias("doc"), "start", "key", "kept")
+    by_doc = written(found.select("doc", "start", "key", "kept").unionByName(of_kept).groupBy("doc").agg(F.collect_list(F.struct("start", "key", "kept")).alias("spans")))
+
+    def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            for doc, text, spans in zip(part.column("doc").to_pylist(), part.column("text"), part.column("spans")):
+                words, _ = paragraphs(text.as_py())
+                start, key, kept = (spans.values.field(k).to_numpy() for k in range(3))
+                hashes = grams(words).view(np.int64)
+                here = start < len(hashes)  # another row of the same doc_id may have it
+                here[here] = hashes[start[here]] == key[here]
+                start, key, kept = start[here], key[here], kept[here]
+                for i in range(0, len(start), 5000):
+                    at = start[i : i + 5000]
+                    cells = [x.tobytes() for x in around(words, at)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(at), doc)), *(pa.array(x[i : i + 5000]) for x in (start, key, kept)), pa.array(cells, pa.binary())], names=["doc", "start", "key", "kept", "words"]
+                    )
+
+    needed = docs.where(likely_in(by_doc, "doc")(F.col("doc"))).join(by_doc, "doc").select("doc", "text", "spans")
+    placed = written(needed.mapInArrow(contexts, "doc long, start long, key long, kept long, words binary"))
+
+    def extend(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, SEED + 2 * REACH) for c in ("words", "kept_words"))
+            doc, start, key, kept = (part.column(c).to_numpy() for c in ("doc", "start", "key", "kept"))
+            good, before, after = extended(a, b)
+            out = (doc, start - before, start + SEED + after, key, kept)
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in out], names=["doc", "start", "end", "component", "kept"])
+
+    kept_words = placed.where("doc = kept").groupBy("key").agg(F.min("words").alias("kept_words"))
+    both = placed.where("doc > kept").join(kept_words, "key").select("doc", "start", "key", "kept", "words", "kept_words")
+    return both.mapInArrow(extend, "doc long, start long, end long, component long, kept long")
+
+
+def _in_runs(parts: DataFrame) -> DataFrame:
+    """parts(doc, start, end, component) with `run`, the number of the run of touching parts within the document."""
+    order = Window.partitionBy("doc").orderBy("start", "end", "component")
+    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    return parts.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(order)).drop("new")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each run of words to be removed: doc_id, start_word, n_words, kept_doc_id, component.
 
     kept_doc_id is the smallest document that has the passage and keeps it; component names the group of the run's
-    first part. Repetition within one document is no ground for removal; rows of equal doc_id, and all rows
+    first part. Every document that shares CERTAIN words in a row with an earlier one has a row within them. Repetition within one document is no ground for removal; rows of equal doc_id, and all rows
     without one (which sort last), count as one document. Null and empty texts and tables give no rows.
     """
     rows = documents_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
@@ -210,20 +307,22 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     roots = connected_components(_links(units.where(is_paragraph).select("key", "bands"), classes, rows))
     rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = rooted.groupBy("root").agg(F.min("at.doc").alias("kept"), F.max("last_doc").alias("last")).where("kept < last").drop("last")
-    of_paragraphs = rooted.join(kept, "root").select("key", F.lit(True).alias("paragraph"), F.col("root").alias("component"), "kept")
-    of_pieces = units.where(~is_paragraph).groupBy("key").agg(F.min("doc").alias("kept"), F.max("doc").alias("last")).where("kept < last")
-    repeated = written(of_paragraphs.unionByName(of_pieces.select("key", F.lit(False).alias("paragraph"), F.col("key").alias("component"), "kept")))
-    removed = (
+    of_paragraphs = rooted.join(kept, "root").select("key", F.lit(True).alias("paragraph"), F.col("root").alias("component"), "kept", F.lit(None).cast("long").alias("kept_start"))
+    of_seeds = units.where(~is_paragraph).groupBy("key").agg(F.min(F.struct("doc", "start")).alias("at"), F.max("doc").alias("last")).where("at.doc < last")
+    repeated = written(of_paragraphs.unionByName(of_seeds.select("key", F.lit(False).alias("paragraph"), F.col("key").alias("component"), F.col("at.doc").alias("kept"), F.col("at.start").alias("kept_start"))))
+    found = (
         units.where(likely_in(repeated, "key")(F.col("key")))
         .select("doc", "start", (F.col("start") + F.col("length")).alias("end"), "key", is_paragraph.alias("paragraph"))
         .join(repeated, ["key", "paragraph"])
         .where("doc > kept")
-        .select("doc", "start", "end", "component", "kept")
         .distinct()
     )
-    order = Window.partitionBy("doc").orderBy("start", "end", "component")
-    before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    runs = removed.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(order))
+    run = Window.partitionBy("doc", "run")
+    found = written(_in_runs(found).withColumns({"run_start": F.min("start").over(run), "run_end": F.max("end").over(run)}))
+    # a seed deep within a run is only extended over words that are removed anyhow
+    outer = found.where(~F.col("paragraph") & ((F.col("start") < F.col("run_start") + REACH) | (F.col("end") > F.col("run_end") - REACH)))
+    removed = found.select("doc", "start", "end", "component", "kept").unionByName(_extended(outer, rows)).distinct()
+    runs = _in_runs(removed)
     merged = runs.groupBy("doc", "run").agg(
         F.min("start").alias("start_word"), (F.max("end") - F.min("start")).alias("n_words"), F.min("kept").alias("kept_doc_id"), F.min_by("component", "start").alias("component")
     )

@@ -211,6 +211,28 @@ def test_near_paragraphs_form_components(spark):
     assert got == {(10, 7), (11, 7), (12, 7)}
 
 
+def test_each_passage_of_fifty_words_is_removed_to_its_ends(spark):
+    rng = random.Random(6)
+    text = lambda n: ["u%d" % rng.randrange(10**9) for _ in range(n)]
+    rows, want = [], set()
+    for k in range(0, 600, 2):
+        passage = text(rng.choice([50, 51, 60, 150]))
+        before, a, b, c = text(rng.randrange(100)), text(80), text(80), text(80)
+        rows += [(k, " ".join(a + passage + b)), (k + 1, " ".join(before + passage + c))]
+        want.add((k + 1, len(before), len(passage), k))
+    few = "one two three one two one four".split()
+    rows += [(1000, " ".join(text(40) + few * 9 + text(40))), (1001, " ".join(text(30) + few * 9 + text(50)))]
+    want.add((1001, 30, 63, 1000))
+    got = {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in substring_dedup.repeated_passages(frame(spark, rows)).collect()}
+    assert got == want
+
+
+def test_seeds_of_words_that_repeat_are_few():
+    words = np.full(20_000, 7, np.uint64)
+    doc, start, _ = substring_dedup.seeds(words, np.array([0, 40]), np.array([40, 20_000]))
+    assert len(start) < 700 and set(doc.tolist()) == {0, 1} and np.diff(start).max() < 100
+
+
 def test_edited_copies_of_short_and_wrapped_lines(spark):
     rng = random.Random(5)
     text = lambda n: ["v%d" % rng.randrange(10**6) for _ in range(n)]

@@ -15,7 +15,7 @@ from panelkit.functions import columns as C
 from panelkit.operators import alerts, audit, backtest, clean, features, forecast, metrics, signals, stattests
 from panelkit.operators import panel as panels
 from panelkit.plans import inputs as I
-from panelkit.session import table
+from panelkit.session import table, written
 from panelkit.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -771,8 +771,34 @@ def feature_importance(spark, sf):
 # --- forecast -----------------------------------------------------------------------------------------------------
 
 
-def _forecast_rows(spark, sf):
-    series = _monthly(spark, sf).withColumnRenamed("avg_value", "value").where("month <= date'2001-06-01'")
+TARGET_MONTH, LAST_MONTH = "2001-07-01", "2001-06-01"
+#: All features of forecast_rows().
+FEATURES = [
+    "population", "income", *[f"{k}_{x}" for k in I.KEYWORDS for x in ("lag1", "lag2", "roll3", "momentum")], "unemployment_rate", "unemployment_rate_lag1",
+    "month_sin", "month_cos", "quarter", "month", "log_population", "log_income",
+]
+
+
+def _training_rows(spark, sf):
+    """The panel before the target month with all features, complete rows only."""
+    rows = _signal_panel(spark, sf).withColumnsRenamed({f"signal_{k}": k for k in I.KEYWORDS})
+    rows = features.add_momentum(features.add_rolling(features.add_lags(rows, I.KEYWORDS), I.KEYWORDS), I.KEYWORDS)
+    rows = features.add_seasonality(panels.join_lagged_rate(rows, I.rates(spark, sf)))
+    rows = features.add_logs(rows, {"population": "log_population", "income": "log_income"})
+    return written(rows.where(F.col("date") < F.lit(TARGET_MONTH).cast("date")).dropna(subset=[*FEATURES, "rate"]).select("entity", "date", "rate", *FEATURES))
+
+
+def _recent_signals(spark, sf):
+    """History up to the last month, its latest twelve months rescaled to the average of those before."""
+    monthly = _monthly(spark, sf).where(F.col("month") <= F.lit(LAST_MONTH).cast("date"))
+    recent = F.col("month") > F.add_months(F.lit(LAST_MONTH).cast("date"), -12)
+    scaled = signals.scale_prediction(monthly.where(recent), signals.scaling_params(monthly.where(~recent))).withColumnRenamed("scaled", "value")
+    return signals.combine_history(monthly.withColumnRenamed("avg_value", "value"), scaled, LAST_MONTH)
+
+
+def _forecast_rows(spark, sf, series=None):
+    if series is None:
+        series = _monthly(spark, sf).withColumnRenamed("avg_value", "value").where("month <= date'2001-06-01'")
     dims = I.markets(spark, sf).join(I.population(spark, sf), "entity")
     return forecast.forecast_rows(dims, series, I.rates(spark, sf), I.panel(spark, sf), "2001-07-01", I.KEYWORDS)
 
@@ -790,7 +816,7 @@ def forecast_rows(spark, sf):
 
 @query(None)
 def forecast_next(spark, sf):
-    names = ["log_population", "log_income"]
-    rows = features.add_logs(I.panel(spark, sf), {"population": "log_population", "income": "log_income"})
-    model = backtest.train_regressor(rows, names, "rate", trees=3, depth=2)
-    return forecast.forecast_next(model, _forecast_rows(spark, sf), names, 0.001)
+    rows = _training_rows(spark, sf)
+    mae = metrics.interval_mae(backtest.walk_forward(rows, FEATURES, "rate")).first()["mae"]
+    model = backtest.train_regressor(rows, FEATURES, "rate")
+    return forecast.forecast_next(model, _forecast_rows(spark, sf, _recent_signals(spark, sf)), FEATURES, mae)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions import columns, numeric
 from panelkit.operators import alerts, audit, backtest, clean, features, metrics, panel, signals, stattests
+from panelkit.plans import registry
 
 
 def month(k):
@@ -226,3 +227,15 @@ def test_tuning_and_trees(spark):
     assert best.mae < 0.01
     model = backtest.train_regressor(df, ["x"], "y", trees=3, depth=3)
     assert backtest.predict(model, df, ["x"]).count() == len(rows) and backtest.feature_importance(model, ["x"], spark).first().importance == 1
+
+
+def test_forecast_uses_the_whole_model(spark, monkeypatch):
+    fitted, used = [], {}
+    train, score = backtest.train_regressor, registry.forecast.forecast_next
+    monkeypatch.setattr(backtest, "train_regressor", lambda rows, names, target, **size: fitted.append((names, size)) or train(rows, names, target, trees=2, depth=2))
+    monkeypatch.setattr(registry.forecast, "forecast_next", lambda model, rows, names, mae: used.update(rows=rows, mae=mae) or score(model, rows, names, mae))
+    sf = "/root/testdata/sf0.01"
+    assert registry.QUERIES["forecast_next"](spark, sf).count() > 0
+    made = set(used["rows"].columns) - {"entity", "market", "date"}
+    assert [(set(names), size) for names, size in fitted] == [(made, {})]
+    assert used["mae"] != 0.001 and used["mae"] > 0

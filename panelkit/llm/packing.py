@@ -58,11 +58,8 @@ class WordTokenizer:
             word = word.encode().decode("latin-1").translate(self.letters)
         return _packed([x.id for x in self.model.tokenize(word)])
 
-    def _learn(self, words: set[str]) -> None:
-        memory, marks = self.memory, self.marks
-        if len(memory) > REMEMBERED:
-            memory.clear()
-        rest = []
+    def _learn(self, words: set[str]) -> dict[str, bytes]:
+        memory, marks, new, rest = self.memory, self.marks, {}, []
         for w in words:
             stem, mark = (w[:-1], marks[w[-1]]) if w[-1:] in (".", ",") else (w, b"")
             if stem.isascii():
@@ -72,11 +69,19 @@ class WordTokenizer:
             if not stem.isalpha():
                 rest.append(w)
                 continue
-            if (ids := memory.get(stem)) is None:
-                ids = memory[stem] = self._merge(stem)
+            if (ids := memory.get(stem) or new.get(stem)) is None:
+                ids = new[stem] = self._merge(stem)
             if stem is not w:
-                memory[w] = ids + mark
-        memory.update(zip(rest, self._encode(rest)))
+                new[w] = ids + mark
+        new.update(zip(rest, self._encode(rest)))
+        return new
+
+    def _remember(self, new: dict[str, bytes]) -> None:
+        """Keep the new words within the bound; the memory starts anew where they do not fit."""
+        if len(self.memory) + len(new) > REMEMBERED:
+            self.memory.clear()
+        if len(new) <= REMEMBERED:
+            self.memory.update(new)
 
     def ids_of(self, texts: list[str | None]) -> Iterator[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; null has none."""
@@ -84,11 +89,9 @@ class WordTokenizer:
             cut = [(t or "").replace("\n", " ").split(" ") for t in texts[i : i + 200]]
             found = [list(map(self.memory.get, words)) for words in cut]
             if missing := {w for words, ids in zip(cut, found) if None in ids for w, x in zip(words, ids) if x is None}:
-                size = len(self.memory)
-                self._learn(missing)
-                if len(self.memory) < size:  # it has started anew: learn what these texts need of the rest
-                    self._learn({w for words in cut for w in words if w not in self.memory})
-                found = [list(map(self.memory.__getitem__, words)) for words in cut]
+                new = self._learn(missing)
+                found = [[new[w] if x is None else x for w, x in zip(words, ids)] for words, ids in zip(cut, found)]
+                self._remember(new)
             for ids in found:
                 yield b"".join(ids)
 

@@ -179,6 +179,15 @@ def test_word_memory_is_bounded(monkeypatch):
     assert list(t.ids_of(texts)) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
 
 
+def test_slices_with_more_new_words_than_are_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    t = packing.WordTokenizer(queries.tokenizer_path())
+    new = lambda slice_, n: " ".join(f"Word{chr(97 + slice_)}{chr(97 + k % 26)}{chr(97 + k // 26)}, x{slice_}{k}" for k in range(n))
+    texts = [f"known words, {new(i // 200, 30 * (1 + i // 200)) if i % 200 < 2 else ''}" for i in range(1000)]
+    assert list(t.ids_of(texts)) == [np.array(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+    assert len(t.memory) <= 50
+
+
 def test_sharding(spark, rows):
     given = [*rows, (100_001, None), (100_002, "")]
     report = sharding.shard_report(frame(spark, given), 8).collect()

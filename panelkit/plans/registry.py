@@ -758,14 +758,14 @@ def pick_candidate(spark, sf):
 
 @query(None)
 def train_and_predict(spark, sf):
-    rows = _regression_panel(spark, sf)
-    model = backtest.train_regressor(rows, WITH, "actual", trees=5, depth=3)
-    return backtest.predict(model, rows, WITH).select("entity", "date", "actual", "predicted")
+    rows = _training_rows(spark, sf)
+    model = backtest.train_regressor(rows, FEATURES, "rate")
+    return backtest.predict(model, rows, FEATURES).select("entity", "date", F.col("rate").alias("actual"), "predicted")
 
 
 @query(None)
 def feature_importance(spark, sf):
-    return backtest.feature_importance(backtest.train_regressor(_regression_panel(spark, sf), WITH, "actual", trees=5, depth=3), WITH, spark)
+    return backtest.feature_importance(backtest.train_regressor(_training_rows(spark, sf), FEATURES, "rate"), FEATURES, spark)
 
 
 # --- forecast -----------------------------------------------------------------------------------------------------

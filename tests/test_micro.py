@@ -239,3 +239,12 @@ def test_forecast_uses_the_whole_model(spark, monkeypatch):
     made = set(used["rows"].columns) - {"entity", "market", "date"}
     assert [(set(names), size) for names, size in fitted] == [(made, {})]
     assert used["mae"] != 0.001 and used["mae"] > 0
+
+
+@pytest.mark.parametrize("name", ["train_and_predict", "feature_importance"])
+def test_queries_fit_the_production_model(spark, monkeypatch, name):
+    fitted = []
+    train = backtest.train_regressor
+    monkeypatch.setattr(backtest, "train_regressor", lambda rows, names, target, **size: fitted.append((names, size)) or train(rows, names, target, trees=2, depth=2))
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
+    assert fitted == [(registry.FEATURES, {})]

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.session import written
+
 SMAPE_MODES = ("zero", "drop", "eps")
 
 
@@ -63,20 +65,27 @@ def residual_histogram(rows: DataFrame, residual: str = "residual", bins: int =
     return rows.dropna(subset=[residual]).crossJoin(F.broadcast(edges)).groupBy(inside.cast("int").alias("bin"), "overall_mean").agg(F.count("*").alias("n"))
 
 
-def qq_fit(rows: DataFrame, residual: str = "residual", points: int = 1000) -> DataFrame:
-    """One row: slope, intercept and correlation of the residuals' quantiles against the normal ones, at `points` even places.
+def qq_fit(rows: DataFrame, residual: str = "residual") -> DataFrame:
+    """One row: slope, intercept and correlation of all residuals in order against the normal quantiles of their places.
 
-    The places are the plotting positions of order statistics; the quantiles are approximate to a ten-thousandth,
-    so that no sort of all residuals is needed.
+    The places are Filliben's medians of order statistics. Residuals are dealt by ranges and numbered within each;
+    equal ones have different numbers, so that they need not be in one range.
     """
-    places = [(k + 0.5) / points for k in range(points)]
-    quantiles = rows.agg(F.percentile_approx(residual, places, 10_000).alias("q")).select(F.posexplode("q").alias("k", "q"))
+    numbered = written(rows.where(F.col(residual).isNotNull()).select(F.col(residual).cast("double").alias("q"), F.monotonically_increasing_id().alias("id")))
+    dealt = written(numbered.repartitionByRange("q", "id").withColumn("part", F.spark_partition_id()))
+    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
+    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.withColumn("before", before).crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("n")))).select("part", "before", "n")
+    ranked = dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("q", "id"))).join(F.broadcast(starts), "part").withColumn("i", F.col("i") + F.col("before"))
+    i, n = F.col("i"), F.col("n")
+    last = F.pow(F.lit(0.5), 1 / n)
+    place = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
 
     @F.pandas_udf("double")
-    def normal(k: pd.Series) -> pd.Series:
-        return k.map(lambda i: NormalDist().inv_cdf(places[i]))
+    def normal(p: pd.Series) -> pd.Series:
+        return p.map(NormalDist().inv_cdf)
 
-    paired = quantiles.withColumn("z", normal("k"))
+    paired = ranked.select("q", normal(place).alias("z"))
     return paired.agg(F.regr_slope("q", "z").alias("slope"), F.regr_intercept("q", "z").alias("intercept"), F.corr("q", "z").alias("r"))
 
 

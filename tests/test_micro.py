@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import statistics
 
 import numpy as np
 import pytest
@@ -248,3 +249,15 @@ def test_queries_fit_the_production_model(spark, monkeypatch, name):
     monkeypatch.setattr(backtest, "train_regressor", lambda rows, names, target, **size: fitted.append((names, size)) or train(rows, names, target, trees=2, depth=2))
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.01").count() > 0
     assert fitted == [(registry.FEATURES, {})]
+
+
+def test_qq_fit_uses_every_residual(spark):
+    rng = np.random.default_rng(1)
+    for x in ([1.0, 2.0, 2.0, 7.0, -3.0], [*rng.standard_t(2, 6000), *[0.0] * 500, 900.0, -1500.0]):
+        n = len(x)
+        place = (np.arange(1, n + 1) - 0.3175) / (n + 0.365)
+        place[0], place[-1] = 1 - 0.5 ** (1 / n), 0.5 ** (1 / n)
+        z, q = np.array([statistics.NormalDist().inv_cdf(p) for p in place]), np.sort(x)
+        slope = np.cov(z, q)[0, 1] / np.var(z, ddof=1)
+        got = metrics.qq_fit(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "residual double").repartition(5)).first()
+        assert (got.slope, got.intercept, got.r) == pytest.approx((slope, q.mean() - slope * z.mean(), np.corrcoef(z, q)[0, 1]), rel=1e-9)

@@ -7,16 +7,17 @@ worked out from all their shingles, and those at SIMILARITY or more are linked.
 the paragraphs of the smallest doc_id stay and the others are removed. With 8 bands of 3 rows a pair at
 0.8 collides with probability 0.997, one at 0.9 with probability 0.99997.
 
-A passage may also stand in the middle of a paragraph. So of every CERTAIN - SEED + 1 runs of SEED words that follow one
-another, the one with the smallest hash is a seed (winnowing): each passage of CERTAIN words holds a seed, and as the choice depends on
-nothing but these words, the same one wherever the passage stands. A seed that an earlier document has too is extended
+A passage may also stand in the middle of a paragraph, so sliding windows of CERTAIN words are banded too: the sketch of
+a window is the one minimum of the hashes of its runs of SEED words, and the run that has it is a seed. As it depends on
+nothing but these words, the same run is the seed wherever the window stands. A seed that an earlier document has too is extended
 word by word to both sides as far as the smallest such document agrees, by up to REACH words: what agrees beyond
 holds a further seed. What is removed from a document is merged, and runs of fewer than MIN_RUN words stay.
 
-Equal paragraphs and seeds are reduced to one row on the map side before anything is joined, filters of fixed
-size keep rows without a partner out of the joins, and in a
-bucket of a band all members are compared with two of them; only those that are not similar to the first are
-compared with the rest, as far as that is not in their component already.
+No bucket emits its pairs. Equal paragraphs are one row from the start. Each paragraph's shingles are drawn into
+a map of MAP_BITS bits: bits that only one of two paragraphs has set are shingles that the other one lacks, which bounds their common ones from above.
+In every bucket all members are first compared with one leader, the one that shares most buckets with others. What is
+in one component by then, by way of leaders, need not be compared again; of the rest, the pairs that
+pass the bound are compared exactly. The bound loses no pair, so that the components are those of all pairs that collide.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.llm.components import connected_components
@@ -42,6 +43,8 @@ WRAPPED = 25
 #: Words of a seed; a repeated passage of CERTAIN words or more holds one; words to each side of it that are compared.
 SEED, CERTAIN = 14, 50
 REACH = CERTAIN - SEED + 1
+#: Bits of the map that a paragraph's shingles are drawn into.
+MAP_BITS = 512
 #: Words of the documents that are worked on at once.
 BATCH_WORDS = 200_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -158,21 +161,23 @@ def extended(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
     return same[:, REACH : REACH + SEED].all(1), run(same[:, :REACH][:, ::-1]), run(same[:, REACH + SEED :])
 
 
-UNIT_SCHEMA = "doc long, start long, length long, key long, bands array<long>"
+UNIT_SCHEMA = "doc long, text_id long, start long, length long, key long, bands array<long>"
 
 
-def _batch(docs: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _batch(docs: list, text_ids: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
     """The paragraphs and the seeds of a few documents, each as one batch."""
     words = np.concatenate([w for w, _ in texts])
     ends = np.cumsum([len(w) for w, _ in texts])
     begins = ends - [len(w) for w, _ in texts]
-    data, names = words.tobytes(), np.array(docs, np.int64)
+    data, names, ids = words.tobytes(), np.array(docs, np.int64), np.array(text_ids, np.int64)
     found = [blocks(b) for _, b in texts]
     doc = np.repeat(np.arange(len(texts)), [len(a) for a, _ in found])
     start, end = (np.concatenate(x) + begins[doc] for x in zip(*found))
 
     def rows(d: np.ndarray, a: np.ndarray, n: np.ndarray, keys: pa.Array, sketch: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(names[d]), pa.array(a - begins[d]), pa.array(n), keys, sketch], names=["doc", "start", "length", "key", "bands"])
+        return pa.RecordBatch.from_arrays(
+            [pa.array(names[d]), pa.array(ids[d]), pa.array(a - begins[d]), pa.array(n), keys, sketch], names=["doc", "text_id", "start", "length", "key", "bands"]
+        )
 
     if len(doc):
         sketch = bands(shingles(words), start, end - SHINGLE + 1).view(np.int64)
@@ -186,154 +191,189 @@ def _batch(docs: list, texts: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[p
 
 def _units(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in parts:
-        docs, texts, size = [], [], 0
-        for d, text in zip(part.column("doc").to_pylist(), part.column("text")):
+        docs, ids, texts, size = [], [], [], 0
+        for d, i, text in zip(part.column("doc").to_pylist(), part.column("text_id").to_pylist(), part.column("text")):
             docs.append(d)
+            ids.append(i)
             texts.append(paragraphs(text.as_py()))
             size += len(texts[-1][0])
             if size > BATCH_WORDS:
-                yield from _batch(docs, texts)
-                docs, texts, size = [], [], 0
+                yield from _batch(docs, ids, texts)
+                docs, ids, texts, size = [], [], [], 0
         if docs:
-            yield from _batch(docs, texts)
+            yield from _batch(docs, ids, texts)
+
+
+def drawn(found: np.ndarray) -> np.ndarray:
+    """The map of a set of shingles, as longs."""
+    marked = np.zeros(MAP_BITS, np.uint8)
+    marked[found & np.uint64(MAP_BITS - 1)] = 1
+    return np.packbits(marked).view(np.int64)
+
+
+def _may_be_similar(a: str, b: str) -> Column:
+    """False only for paragraphs (structs n, map) whose Jaccard similarity cannot be SIMILARITY."""
+    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
+
+    def lacking(x: str, y: str) -> Column:
+        return sum((F.bit_count(F.col(f"{x}.map")[k].bitwiseAND(F.bitwise_not(F.col(f"{y}.map")[k]))) for k in range(1, MAP_BITS // 64)),
+                   F.bit_count(F.col(f"{x}.map")[0].bitwiseAND(F.bitwise_not(F.col(f"{y}.map")[0]))))
+
+    def enough(common: Column) -> Column:
+        return common >= SIMILARITY * (n + m - common)
+
+    return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough(n - lacking(a, b)) & enough(m - lacking(b, a))
 
 
 def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
-    """(u, v): keys of different paragraphs that collide in a band and are similar enough.
+    """(u, v): keys of different paragraphs that collide in a band and are similar enough, but for pairs that others link.
 
-    kinds: key, bands of every paragraph; classes: key, at (where one of its paragraphs is); docs: doc, text.
+    kinds: key, bands of every paragraph; classes: key, n_rows, at (where one of its paragraphs is); docs: doc, text_id, text.
     """
     placed = kinds.select("key", F.explode("bands").alias("bucket"))
-    by = F.xxhash64("key", "bucket")  # so that the buckets of one large group have different members to compare with
-    ends = placed.groupBy("bucket").agg(F.min_by("key", by).alias("first"), F.max_by("key", by).alias("second"))
-    firsts = written(ends.where("first <> second"))
-    shared = placed.where(likely_in(firsts, "bucket")(F.col("bucket"))).distinct()
-    placed = written(shared.join(firsts, "bucket"))
-    wanted = placed.select("key").distinct().join(classes.select("key", "at.doc", "at.start", "at.length"), "key")
-    by_doc = written(wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "start", "length")).alias("spans")))
-    needed = docs.where(likely_in(by_doc, "doc")(F.col("doc")))
+    buckets = written(placed.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size"))
+    shared = written(placed.where(likely_in(buckets, "bucket")(F.col("bucket"))).distinct().join(buckets, "bucket"))
+    wanted = shared.groupBy("key").agg(F.sum("size").alias("weight")).join(classes.select("key", "n_rows", "at.*"), "key")
+    span = F.struct("key", "start", "length", "weight", "n_rows")
+    by_doc = written(wanted.groupBy("doc", "text_id").agg(F.collect_list(span).alias("spans")))
+    needed = docs.where(likely_in(by_doc, "text_id")(F.col("text_id")))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            keys, found = [], []
+            rows = []
             for text, spans in zip(part.column("text"), part.column("spans").to_pylist()):
                 words, _ = paragraphs(text.as_py())
                 for s in spans:
-                    keys.append(s["key"])
-                    found.append(np.unique(shingles(words[s["start"] : s["start"] + s["length"]])).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["key", "found"])
+                    found = np.unique(shingles(words[s["start"] : s["start"] + s["length"]]))
+                    rows.append((s["key"], s["weight"], s["n_rows"], len(found), drawn(found), found.view(np.int64)))
+            columns = list(zip(*rows)) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names=["key", "weight", "n_rows", "n", "map", "found"])
 
-    texts = needed.join(by_doc, "doc").select("text", "spans").mapInArrow(sets, "key long, found array<long>")
-    texts = written(texts.groupBy("key").agg(F.first("found").alias("found")))
+    types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
+    sized = needed.join(by_doc, ["doc", "text_id"]).select("text", "spans").mapInArrow(sets, "key long, weight long, n_rows long, n long, map array<long>, found array<long>")
+    facts = written(sized.dropDuplicates(["key"]))
+    members = written(shared.drop("size").join(facts.drop("found"), "key").select("bucket", F.struct("key", "n", "map").alias("u"), F.struct("weight", "n_rows", F.xxhash64("key", "bucket")).alias("rank")))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("key").alias(x), F.col("found").alias(f"{x}_found")) for x in "uv")
-        both = pairs.join(a, "u").join(b, "v")
-        n, m = F.size("u_found"), F.size("v_found")
-        common = F.size(F.array_intersect("u_found", "v_found"))
-        return both.where((F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & (common >= SIMILARITY * (n + m - common))).select("u", "v")
+    def verified(pairs: DataFrame) -> DataFrame:
+        a, b = (facts.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("found").alias(f"found_{x}")) for x in "uv")
+        both = pairs.join(a, "u").join(b, "v").withColumn("common", F.size(F.array_intersect("found_u", "found_v")))
+        return both.where(F.col("common") >= SIMILARITY * (F.col("n_u") + F.col("n_v") - F.col("common"))).select("u", "v")
 
     pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    chosen = placed.select(*pair("key", "first")).unionByName(placed.select(*pair("key", "second"))).where("u <> v").distinct()
-    linked = written(similar(chosen))
-    # what is in one component by now need not be compared again: copies of one paragraph have met by way of some first one
+    leaders = members.groupBy("bucket").agg(F.max_by("u", "rank").alias("v"))
+    led = members.join(leaders, "bucket").where((F.col("u.key") != F.col("v.key")) & _may_be_similar("u", "v"))
+    linked = written(verified(led.select(*pair("u.key", "v.key")).distinct()))
+    # what is in one component by now need not be compared again: copies of one paragraph have met by way of their leaders
     roots = connected_components(linked).withColumnRenamed("node", "key")
-    known = written(placed.where("key <> first").join(roots, "key", "left").withColumn("root", F.coalesce("root", "key")))
-    either = linked.select(F.col("u").alias("key"), F.col("v").alias("first")).unionByName(linked.select(F.col("v").alias("key"), F.col("u").alias("first")))
-    alone = known.join(either, ["key", "first"], "left_anti")
-    rest = alone.select("bucket", F.col("key").alias("u"), F.col("root").alias("u_root")).join(known.select("bucket", F.col("key").alias("v"), F.col("root").alias("v_root")), "bucket")
-    rest = rest.where("u_root <> v_root").select(*pair("u", "v")).distinct()
-    return linked.unionByName(similar(rest))
+    known = written(members.join(roots, F.col("u.key") == F.col("key"), "left").select("bucket", "u", "rank", F.coalesce("root", "u.key").alias("u_root")))
+    open_ones = known.groupBy("bucket").agg(F.min("u_root").alias("least"), F.max("u_root").alias("most"), F.max_by("u_root", "rank").alias("main")).where("least < most").select("bucket", "main")
+    known = known.drop("rank").join(open_ones, "bucket")
+    others = known.where("u_root <> main").drop("main")
+    met = known.select("bucket", F.col("u").alias("v"), F.col("u_root").alias("v_root"), "main")
+    once = (F.col("v_root") == F.col("main")) | (F.col("u.key") < F.col("v.key"))
+    rest = others.join(met, (others["bucket"] == met["bucket"]) & (F.col("u_root") != F.col("v_root")) & once & _may_be_similar("u", "v"))
+    return linked.unionByName(verified(rest.select(*pair("u.key", "v.key")).distinct()))
 
 
 def _extended(found: DataFrame, docs: DataFrame) -> DataFrame:
-    """(doc, start, end, component, kept): the seeds with the words around them that the kept document has as well.
+    """(doc, text_id, start, end, component, kept): the seeds with the words around them that the kept document has as well.
 
-    found: doc, start, key, kept, kept_start of repeated seeds; docs: doc, text.
+    found: doc, text_id, start, key of repeated seeds, and kept_at (doc, text_id, start) of the one that stays; docs: doc, text_id, text.
     """
-    of_kept = found.groupBy("key").agg(F.first("kept").alias("kept"), F.first("kept_start").alias("start")).select(F.col("kept").alias("doc"), "start", "key", "kept")
-    by_doc = written(found.select("doc", "start", "key", "kept").unionByName(of_kept).groupBy("doc").agg(F.collect_list(F.struct("start", "key", "kept")).alias("spans")))
+    mine = found.select("doc", "text_id", "start", "key", F.lit(True).alias("mine"))
+    of_kept = found.groupBy("key").agg(F.min("kept_at").alias("at")).select("at.*", "key", F.lit(False).alias("mine"))
+    by_doc = written(mine.unionByName(of_kept).groupBy("doc", "text_id").agg(F.collect_list(F.struct("start", "key", "mine")).alias("spans")))
+    fields = ["doc", "text_id", "start", "key", "mine", "words"]
 
     def contexts(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for doc, text, spans in zip(part.column("doc").to_pylist(), part.column("text"), part.column("spans")):
+            for doc, text_id, text, spans in zip(part.column("doc").to_pylist(), part.column("text_id").to_pylist(), part.column("text"), part.column("spans")):
                 words, _ = paragraphs(text.as_py())
-                start, key, kept = (spans.values.field(k).to_numpy() for k in range(3))
-                hashes = grams(words).view(np.int64)
-                here = start < len(hashes)  # another row of the same doc_id may have it
-                here[here] = hashes[start[here]] == key[here]
-                start, key, kept = start[here], key[here], kept[here]
+                start, key, mine = (spans.values.field(k).to_numpy(zero_copy_only=False) for k in range(3))
                 for i in range(0, len(start), 5000):
                     at = start[i : i + 5000]
-                    cells = [x.tobytes() for x in around(words, at)]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(at), doc)), *(pa.array(x[i : i + 5000]) for x in (start, key, kept)), pa.array(cells, pa.binary())], names=["doc", "start", "key", "kept", "words"]
-                    )
+                    names = (np.full(len(at), doc), np.full(len(at), text_id))
+                    cells = pa.array([x.tobytes() for x in around(words, at)], pa.binary())
+                    yield pa.RecordBatch.from_arrays([*map(pa.array, (*names, at, key[i : i + 5000], mine[i : i + 5000])), cells], names=fields)
 
-    needed = docs.where(likely_in(by_doc, "doc")(F.col("doc"))).join(by_doc, "doc").select("doc", "text", "spans")
-    placed = written(needed.mapInArrow(contexts, "doc long, start long, key long, kept long, words binary"))
+    needed = docs.where(likely_in(by_doc, "text_id")(F.col("text_id"))).join(by_doc, ["doc", "text_id"]).select("doc", "text_id", "text", "spans")
+    placed = written(needed.mapInArrow(contexts, "doc long, text_id long, start long, key long, mine boolean, words binary"))
+    out = ["doc", "text_id", "start", "end", "component", "kept"]
 
     def extend(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint32).reshape(-1, SEED + 2 * REACH) for c in ("words", "kept_words"))
-            doc, start, key, kept = (part.column(c).to_numpy() for c in ("doc", "start", "key", "kept"))
+            doc, text_id, start, key, kept = (part.column(c).to_numpy() for c in ("doc", "text_id", "start", "key", "kept"))
             good, before, after = extended(a, b)
-            out = (doc, start - before, start + SEED + after, key, kept)
-            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in out], names=["doc", "start", "end", "component", "kept"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[good]) for x in (doc, text_id, start - before, start + SEED + after, key, kept)], names=out)
 
-    kept_words = placed.where("doc = kept").groupBy("key").agg(F.min("words").alias("kept_words"))
-    both = placed.where("doc > kept").join(kept_words, "key").select("doc", "start", "key", "kept", "words", "kept_words")
-    return both.mapInArrow(extend, "doc long, start long, end long, component long, kept long")
+    kept_words = placed.where("not mine").groupBy("key").agg(F.min(F.struct("doc", "words")).alias("x")).select("key", F.col("x.doc").alias("kept"), F.col("x.words").alias("kept_words"))
+    both = placed.where("mine").join(kept_words, "key").select("doc", "text_id", "start", "key", "kept", "words", "kept_words")
+    return both.mapInArrow(extend, "doc long, text_id long, start long, end long, component long, kept long")
 
 
 def _in_runs(parts: DataFrame) -> DataFrame:
-    """parts(doc, start, end, component) with `run`, the number of the run of touching parts within the document."""
-    order = Window.partitionBy("doc").orderBy("start", "end", "component")
+    """parts(doc, text_id, start, end, component) with `run`, the number of the run of touching parts within the text."""
+    order = Window.partitionBy("doc", "text_id").orderBy("start", "end", "component")
     before = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     return parts.withColumn("new", F.coalesce(F.col("start") > before, F.lit(True)).cast("long")).withColumn("run", F.sum("new").over(order)).drop("new")
 
 
+def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, text_id, text); rows without an id have the largest long, and text_id is a hash of the text."""
+    return documents_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("text").alias("text_id"), "text")
+
+
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each run of words to be removed: doc_id, start_word, n_words, kept_doc_id, component.
+    """One row for each run of words to be removed: doc_id, text_id, start_word, n_words, kept_doc_id, component.
 
     kept_doc_id is the smallest document that has the passage and keeps it; component names the group of the run's
-    first part. Every document that shares CERTAIN words in a row with an earlier one has a row within them. Repetition within one document is no ground for removal; rows of equal doc_id, and all rows
-    without one (which sort last), count as one document. Null and empty texts and tables give no rows.
+    first part; text_id is xxhash64 of the text that the words are counted in, as rows of one doc_id may have different texts.
+    Every document that shares CERTAIN words in a row with an earlier one has a row within them. Repetition within one document is
+    no ground for removal; rows of equal doc_id, and all rows without one (which sort last), count as one document, each text of which
+    has its own runs. Null and empty texts and tables give no rows; repeated rows give each run once.
     """
-    rows = documents_of(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(LAST)).alias("doc"), "text")
+    rows = _identified(docs, id_col, text_col)
     units = written(rows.mapInArrow(_units, UNIT_SCHEMA))
     is_paragraph = F.col("bands").isNotNull()
-    classes = written(units.where(is_paragraph).groupBy("key").agg(F.min(F.struct("doc", "start", "length")).alias("at"), F.max("doc").alias("last_doc")))
+    at = F.struct("doc", "text_id", "start", "length")
+    classes = written(units.where(is_paragraph).groupBy("key").agg(F.min(at).alias("at"), F.max("doc").alias("last_doc"), F.count("*").alias("n_rows")))
     roots = connected_components(_links(units.where(is_paragraph).select("key", "bands"), classes, rows))
     rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = rooted.groupBy("root").agg(F.min("at.doc").alias("kept"), F.max("last_doc").alias("last")).where("kept < last").drop("last")
-    of_paragraphs = rooted.join(kept, "root").select("key", F.lit(True).alias("paragraph"), F.col("root").alias("component"), "kept", F.lit(None).cast("long").alias("kept_start"))
-    of_seeds = units.where(~is_paragraph).groupBy("key").agg(F.min(F.struct("doc", "start")).alias("at"), F.max("doc").alias("last")).where("at.doc < last")
-    repeated = written(of_paragraphs.unionByName(of_seeds.select("key", F.lit(False).alias("paragraph"), F.col("key").alias("component"), F.col("at.doc").alias("kept"), F.col("at.start").alias("kept_start"))))
+    place = "struct<doc: long, text_id: long, start: long>"
+    of_paragraphs = rooted.join(kept, "root").select("key", F.lit(True).alias("paragraph"), F.col("root").alias("component"), "kept", F.lit(None).cast(place).alias("kept_at"))
+    of_seeds = units.where(~is_paragraph).groupBy("key").agg(F.min(F.struct("doc", "text_id", "start")).alias("kept_at"), F.max("doc").alias("last")).where("kept_at.doc < last")
+    of_seeds = of_seeds.select("key", F.lit(False).alias("paragraph"), F.col("key").alias("component"), F.col("kept_at.doc").alias("kept"), "kept_at")
+    repeated = written(of_paragraphs.unionByName(of_seeds))
     found = (
         units.where(likely_in(repeated, "key")(F.col("key")))
-        .select("doc", "start", (F.col("start") + F.col("length")).alias("end"), "key", is_paragraph.alias("paragraph"))
+        .select("doc", "text_id", "start", (F.col("start") + F.col("length")).alias("end"), "key", is_paragraph.alias("paragraph"))
         .join(repeated, ["key", "paragraph"])
         .where("doc > kept")
         .distinct()
     )
-    run = Window.partitionBy("doc", "run")
+    run = Window.partitionBy("doc", "text_id", "run")
     found = written(_in_runs(found).withColumns({"run_start": F.min("start").over(run), "run_end": F.max("end").over(run)}))
     # a seed deep within a run is only extended over words that are removed anyhow
     outer = found.where(~F.col("paragraph") & ((F.col("start") < F.col("run_start") + REACH) | (F.col("end") > F.col("run_end") - REACH)))
-    removed = found.select("doc", "start", "end", "component", "kept").unionByName(_extended(outer, rows)).distinct()
-    runs = _in_runs(removed)
-    merged = runs.groupBy("doc", "run").agg(
+    removed = found.select("doc", "text_id", "start", "end", "component", "kept").unionByName(_extended(outer, rows)).distinct()
+    merged = _in_runs(removed).groupBy("doc", "text_id", "run").agg(
         F.min("start").alias("start_word"), (F.max("end") - F.min("start")).alias("n_words"), F.min("kept").alias("kept_doc_id"), F.min_by("component", "start").alias("component")
     )
     doc_id = F.nullif(F.col("doc"), F.lit(LAST)).alias("doc_id")
-    return merged.where(F.col("n_words") >= MIN_RUN).select(doc_id, "start_word", "n_words", "kept_doc_id", "component")
+    return merged.where(F.col("n_words") >= MIN_RUN).select(doc_id, "text_id", "start_word", "n_words", "kept_doc_id", "component")
 
 
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed words of repeated_passages() taken out of the text; lines left without words go too."""
-    spans = repeated_passages(docs, id_col, text_col).groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("__doc")).agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
-    joined = docs.join(spans, F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__doc"), "left")
+    """docs with the removed words of repeated_passages() taken out of the text; lines left without words go too.
+
+    Only the text that a run was found in loses it: rows of one doc_id, or without one, that have other texts keep theirs.
+    """
+    spans = repeated_passages(docs, id_col, text_col).groupBy(F.coalesce("doc_id", F.lit(LAST)).alias("__doc"), F.col("text_id").alias("__text_id"))
+    spans = spans.agg(F.collect_list(F.struct("start_word", "n_words")).alias("__spans"))
+    same = (F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)) == F.col("__doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text_id"))
+    joined = docs.join(spans, same, "left")
 
     @F.pandas_udf("string")
     def cut(texts, spans):
@@ -341,7 +381,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series([t if s is None else without(t, [(x["start_word"], x["n_words"]) for x in s]) for t, s in zip(texts, spans)])
 
-    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))).drop("__doc", "__spans")
+    return joined.withColumn(text_col, F.when(F.col("__spans").isNull(), F.col(text_col)).otherwise(cut(F.col(text_col), F.col("__spans")))).drop("__doc", "__text_id", "__spans")
 
 
 def without(text: str, spans: list[tuple[int, int]]) -> str:

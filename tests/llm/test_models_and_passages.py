@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from panelkit.llm import language_id, packing, prefilter, quality_classifier, queries, simhash, substring_dedup, toxicity
+from panelkit.llm import components, language_id, packing, prefilter, quality_classifier, queries, simhash, substring_dedup, toxicity
 from tests.llm import brute
 
 SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
@@ -264,6 +264,54 @@ def test_passages_with_nulls_and_repeats(spark):
     assert cut == {(None, ""), (4, line), (5, None), (6, "")}
 
 
+def test_no_text_is_lost_where_ids_are_equal_or_missing(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(80)) for x in "ab")
+    df = frame(spark, [(4, a), (9, a), (9, b), (None, a), (None, b), (None, "only " + " ".join(f"c{k}" for k in range(60)))])
+    cut = sorted((str(r.doc_id), r.text) for r in substring_dedup.cut_passages(df).collect())
+    assert cut == sorted([("4", a), ("9", ""), ("9", b), ("None", ""), ("None", ""), ("None", "only " + " ".join(f"c{k}" for k in range(60)))])
+    spans = {(r.doc_id, r.start_word, r.n_words, r.kept_doc_id) for r in substring_dedup.repeated_passages(df).collect()}
+    assert spans == {(9, 0, 80, 4), (None, 0, 80, 4), (None, 0, 80, 9)}
+
+
+def test_paragraph_components_against_all_pairs(spark):
+    """Families of edited copies: of all links (Jaccard of five-word shingles from 0.8 on) at least 98 in 100 lie within one component, and no component holds more."""
+    rng = random.Random(11)
+    word = lambda: "x%d" % rng.randrange(10**9)
+    paragraphs = []
+    for _ in range(12):
+        base = [word() for _ in range(rng.choice([14, 40, 90, 700]))]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randrange(2 + len(copy) // 40)):
+                copy[rng.randrange(len(copy))] = rng.choice([word(), base[0]])
+            paragraphs.append(copy)
+    paragraphs = list({tuple(p) for p in paragraphs})
+    sets = [{tuple(p[i : i + 5]) for i in range(len(p) - 4)} for p in paragraphs]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    root = list(range(len(sets)))
+    for i, j in links:
+        root = [root[j] if r == root[i] else r for r in root] if root[i] != root[j] else root
+    rows = substring_dedup._identified(frame(spark, [(i, " ".join(p)) for i, p in enumerate(paragraphs)]), "doc_id", "text")
+    units = rows.mapInArrow(substring_dedup._units, substring_dedup.UNIT_SCHEMA).where("bands is not null")
+    key = {r.key: r.doc for r in units.collect()}
+    classes = units.groupBy("key").agg(F.min(F.struct("doc", "text_id", "start", "length")).alias("at"), F.count("*").alias("n_rows"))
+    found = components.connected_components(substring_dedup._links(units.select("key", "bands"), classes, rows)).collect()
+    got = {key[r.node]: key[r.root] for r in found}
+    together = sum(got.get(i, i) == got.get(j, j) for i, j in links)
+    assert len(links) > 500 and together >= 0.98 * len(links)
+    assert all(root[i] == root[r] for i, r in got.items())
+
+
+def test_the_bound_of_maps_loses_no_pair():
+    rng = np.random.default_rng(5)
+    for n in (10, 100, 1000):
+        for edits in range(0, n // 4, max(1, n // 40)):
+            x = rng.integers(0, 2**63, n, dtype=np.uint64)
+            y = np.r_[x[edits:], rng.integers(0, 2**63, edits, dtype=np.uint64)]
+            a, b = (substring_dedup.drawn(v).view(np.uint64) for v in (x, y))
+            assert n - np.bitwise_count(a & ~b).sum() >= n - edits and n - np.bitwise_count(b & ~a).sum() >= n - edits
+
+
 def test_prefilter_loses_nothing(spark):
     values = spark.range(0, 5000, 7).withColumnRenamed("id", "v")
     kept = {r.id for r in spark.range(5000).where(prefilter.likely_in(values, "v")(F.col("id"))).collect()}

@@ -64,6 +64,30 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.document_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+OP6_SQL = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), i AS (
+  SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+), windows AS (
+  SELECT item, k, q, array_to_string(w[q:q + k - 1], ' ') AS g
+  FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS q FROM i WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, p, array_to_string(w[p:p + k - 1], ' ') AS g
+  FROM (SELECT doc_id, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), hits AS (SELECT doc_id, item, k, p, q FROM places JOIN windows USING (k, g)),
+covered AS (SELECT doc_id, count(DISTINCT x) AS n FROM (SELECT doc_id, unnest(range(p, p + k)) AS x FROM (SELECT DISTINCT doc_id, k, p FROM hits)) GROUP BY 1),
+named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY 1),
+runs AS (SELECT doc_id, item, k, p - q AS diagonal, p - row_number() OVER (PARTITION BY doc_id, item, k, p - q ORDER BY p) AS run FROM hits),
+longest AS (SELECT doc_id, max(n) AS n FROM (SELECT doc_id, count(*) + k - 1 AS n FROM runs GROUP BY doc_id, item, k, diagonal, run) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c.n, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+       n_items IS NOT NULL AS contaminated, coalesce(l.n, 0)::BIGINT AS longest
+FROM d LEFT JOIN covered c USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN longest l USING (doc_id)
+"""
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents")).drop("n_stop_words", "n_word_lines")
 
@@ -120,4 +144,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_quality_rules": OP7_SQL}

@@ -1,3 +1,5 @@
+import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -139,7 +141,57 @@ def test_longest_matches(spark):
     item = " ".join(f"w{i}" for i in range(30))
     docs = [(1, "x " + " ".join(f"w{i}" for i in range(5, 25)) + " y"), (2, " ".join(f"w{i}" for i in range(9)))]
     found = decontamination.verbatim_matches(frame(spark, docs), frame(spark, [(1, item)], "item_id long, text string")).collect()
-    assert [tuple(r) for r in sorted(found, key=lambda r: r.doc_word)] == [(1, 1 + k, "1", 5 + k, 20 - k) for k in range(11)]
+    assert [tuple(r) for r in found] == [(1, 1, 20, "1", 5)]
+
+
+def longest_matches(docs, items, window=10):
+    """{(document, its word, words)} of the longest matches that no match before them holds, by trying all."""
+    words = lambda t: brute.ascii_lower(t or "").split()
+    runs = {tuple(w[p : p + n]) for _, t in items for w in [words(t)] for n in range(min(window, max(1, len(w))), len(w) + 1) for p in range(len(w) - n + 1)}
+    out = set()
+    for d, t in docs:
+        w, end = words(t), 0
+        for p in range(len(w)):
+            n = max((n for n in range(1, len(w) - p + 1) if tuple(w[p : p + n]) in runs), default=0)
+            if n and p + n > end:
+                out.add((d, p, n))
+                end = p + n
+    return out
+
+
+def test_longest_matches_against_all(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice("abc")
+    items = [(k, " ".join(word() for _ in range(rng.randint(10, 40)))) for k in range(8)] + [(90, "a " * 30), (91, None), (92, "")]
+    docs = [(k, " ".join(word() for _ in range(60)) + " " + items[k % 8][1][: rng.randint(0, 80)].strip() + " z a a") for k in range(20)] + [(50, "a " * 100), (51, items[0][1]), (52, items[1][1])]
+    found = decontamination.verbatim_matches(frame(spark, docs), frame(spark, items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.doc_word, r.n_words) for r in found} == longest_matches(docs, items)
+    text = {str(k): (t or "").split() for k, t in items}
+    whole = {d: t.split() for d, t in docs}
+    assert all(whole[r.doc_id][r.doc_word : r.doc_word + r.n_words] == text[r.item_id][r.item_word : r.item_word + r.n_words] for r in found)
+
+
+def test_words_that_repeat_cost_little():
+    item = decontamination.Block([("1", "same " * 1000)], 10)
+    start = time.perf_counter()
+    shard = decontamination.Shard(item, [decontamination.numbered(item, "same " * 20_000)])
+    assert shard.hit.sum() == 20_000 and shard.items == [{"1"}]
+    assert max(n for _, _, n, *_ in shard.matches()) == 1000
+    assert time.perf_counter() - start < 3  # about half a second; a walk over all pairs of places takes minutes
+
+
+def test_decontamination_with_nulls_long_texts_repeats_and_clashing_columns(spark, monkeypatch):
+    item = " ".join(f"w{i}" for i in range(20))
+    given = [(None, item), (None, item), (7, "x " * 300_000 + item), (7, "clean text"), (7, "clean text"), (8, None)]
+    items = frame(spark, [(1, item), (1, item), (2, " ".join(f"v{i}" for i in range(30)))], "item_id long, text string").withColumn("row", F.lit(1))
+    df = frame(spark, given).withColumns({"row": F.lit("r"), "item_id": F.lit(1), "items": F.lit(2), "spans": F.lit(3)})
+    for size in (decontamination.BLOCK_BYTES, 100):  # one block, and several
+        monkeypatch.setattr(decontamination, "BLOCK_BYTES", size)
+        report = sorted((str(r.doc_id), r.n_words, r.n_hit, r.longest) for r in decontamination.document_report(df, items).collect())
+        assert report == sorted([("None", 20, 20, 20)] * 2 + [("7", 300_020, 20, 20), ("7", 2, 0, 0), ("7", 2, 0, 0), ("8", 0, 0, 0)])
+        kept = decontamination.drop_contaminated(df, items)
+        assert kept.columns == df.columns and sorted((r.doc_id, r.text or "") for r in kept.collect()) == [(7, "clean text"), (7, "clean text"), (8, "")]
+        assert decontamination.drop_contaminated(df.limit(0), items).count() == 0
 
 
 def test_decontamination_of_empty_tables(spark):

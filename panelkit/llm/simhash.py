@@ -5,12 +5,11 @@ each) are its point. The Manhattan distance of two points is a lower bound of th
 the fingerprints. With the segments in `blocks` groups, two points at distance DISTANCE or less agree
 in at least blocks - DISTANCE groups; every choice of that many groups is a grid, and the counts in
 them are the cell. Pairs in a cell are checked by the lower bound and then exactly. The number of
-blocks follows from the number of different fingerprints, so that cells of unrelated ones stay small.
+blocks follows from the number of different fingerprints, so that each meets about PER_CELL unrelated ones in a cell.
 
-A cell with more than CELL fingerprints holds relatives of one another, in which nearly all pairs are
-links. Such a cell emits no pairs: each of its fingerprints is linked to every word within half the
-distance of it. Two fingerprints share such a word exactly if they are within the whole distance.
-Equal fingerprints are one node from the start.
+Equal fingerprints are one node from the start. A cell of relatives does not emit its pairs: first all of its fingerprints
+are compared with one leader, the one with most documents; then those that are not in one component by way of leaders
+are compared with one another. So components are those of all pairs within the distance.
 """
 
 from __future__ import annotations
@@ -25,13 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from panelkit.llm.components import connected_components
+from panelkit.llm.skew import join_facts
 from panelkit.llm.text import documents_of
-from panelkit.session import checkpointed
+from panelkit.session import written
 
 SHINGLE, DISTANCE, SEED = 4, 4, 42
 SEGMENTS, SEGMENT_BITS = 32, 2
-#: Most fingerprints in a cell whose pairs are compared one by one.
-CELL = 512
+#: Unrelated fingerprints that one of them may meet in a cell, on the average.
+PER_CELL = 256
 EVEN_BITS = 0x5555555555555555
 
 
@@ -56,23 +56,24 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp) of every row."""
+    """(doc_id, text_id, fp) of every row; text_id is a hash of the text."""
 
     def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             found = pa.array([fingerprint(t.as_py(), shingle) for t in part.column("text")], pa.int64())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), found], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_id"), found], ["doc_id", "text_id", "fp"])
 
-    return documents_of(docs, id_col, text_col).mapInArrow(batches, "doc_id long, fp long")
+    rows = documents_of(docs, id_col, text_col).select("doc_id", F.xxhash64("text").alias("text_id"), "text")
+    return rows.mapInArrow(batches, "doc_id long, text_id long, fp long")
 
 
-def blocks_for(n: int, distance: int = DISTANCE, per_cell: int = CELL // 2) -> int:
-    """The fewest blocks with which the fullest cell of n unrelated fingerprints has about per_cell of them.
+def blocks_for(n: int, distance: int = DISTANCE, per_cell: int = PER_CELL) -> int:
+    """The fewest blocks with which a fingerprint meets at most per_cell of n unrelated ones in a cell, on the average.
 
-    The likeliest cell has one bit set in each of its segments, which has probability 1/2 a segment.
+    The counts of two random segments are equal with probability 3/8.
     """
     blocks = distance + 2
-    while blocks < SEGMENTS and n / 2 ** (SEGMENTS * (blocks - distance) / blocks) > per_cell:
+    while blocks < SEGMENTS and n * 0.375 ** (SEGMENTS * (blocks - distance) / blocks) > per_cell:
         blocks += 1
     return blocks
 
@@ -105,39 +106,39 @@ def _cells(blocks: int, distance: int) -> list[int]:
     return [sum(chosen) for chosen in combinations(masks, blocks - distance)]
 
 
-def _balls(hot: DataFrame, radius: int) -> DataFrame:
-    """Links from each fingerprint to the smallest one that shares a word within the radius with it."""
-    flips = [sum(1 << b for b in bits) for r in range(radius + 1) for bits in combinations(range(64), r)]
-    words = hot.select("fp", F.explode(F.transform(F.array(*[_lit(x) for x in flips]), lambda x: x.bitwiseXOR(F.col("fp")))).alias("word"))
-    least = words.groupBy("word").agg(F.min("fp").alias("least"), F.max("fp").alias("most")).where("least < most")
-    return words.join(least.select("word", "least"), "word").select(F.col("fp").alias("u"), F.col("least").alias("v")).distinct()
+def fingerprint_links(nodes: DataFrame, distance: int = DISTANCE) -> DataFrame:
+    """Edges (u, v) between different fingerprints of nodes(fp, n), whose components are those of all pairs within the distance.
 
-
-def fingerprint_links(fps: DataFrame, distance: int = DISTANCE, cell: int = CELL) -> DataFrame:
-    """Edges (u, v) between different fingerprints of fps(fp), whose components are those of all pairs within the distance.
-
-    fps has one row for each fingerprint. Between fingerprints in small cells every such pair is an edge.
+    nodes has one row for each fingerprint, with the number of its documents. Every edge is a pair within the distance.
     """
-    if distance % 2:
-        raise ValueError("distance must be even")
-    masks = _cells(blocks_for(fps.count(), distance), distance)
-    point = segment_counts(F.col("fp"))
-    spread = F.transform(F.array(*[_lit(m) for m in masks]), lambda m, i: F.struct(i.alias("grid"), m.bitwiseAND(F.col("point")).alias("at")))
-    placed = fps.select("fp", point.alias("point")).select("fp", "point", F.inline(spread))
-    sizes = placed.groupBy("grid", "at").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = checkpointed(sizes.where(F.col("n") > cell))
-    small = placed.join(sizes.where(F.col("n") <= cell).select("grid", "at"), ["grid", "at"])
-    a, b = (small.select("grid", "at", F.col("fp").alias(f"{x}_fp"), F.col("point").alias(f"{x}_point")) for x in "ab")
-    near = (
-        (F.col("a_fp") < F.col("b_fp"))
-        & (manhattan(F.col("a_point"), F.col("b_point")) <= distance)
-        & (F.bit_count(F.col("a_fp").bitwiseXOR(F.col("b_fp"))) <= distance)
-    )
-    links = a.join(b, ["grid", "at"]).where(near).select(F.col("b_fp").alias("u"), F.col("a_fp").alias("v"))
-    if not crowded.isEmpty():
-        hot = placed.join(crowded.select("grid", "at"), ["grid", "at"], "left_semi").select("fp").distinct()
-        links = links.unionByName(_balls(hot, distance // 2))
-    return links.distinct()
+    masks = _cells(blocks_for(nodes.count(), distance), distance)
+
+    def placed(rows: DataFrame) -> DataFrame:
+        cells = F.transform(F.array(*[_lit(m) for m in masks]), lambda m, i: F.struct(i.alias("grid"), m.bitwiseAND(F.col("point")).alias("at")))
+        return rows.withColumn("point", segment_counts(F.col("fp"))).select("*", F.inline(cells)).drop("point")
+
+    def near(x: str, y: str) -> Column:
+        x, y = F.col(x), F.col(y)
+        return (manhattan(segment_counts(x), segment_counts(y)) <= distance) & (F.bit_count(x.bitwiseXOR(y)) <= distance)
+
+    members = placed(nodes)
+    leaders = members.groupBy("grid", "at").agg(F.max_by("fp", F.struct("n", F.xxhash64("fp", "grid"))).alias("leader"), F.count("*").alias("size")).where("size > 1")
+    led = members.join(leaders, ["grid", "at"]).where((F.col("fp") != F.col("leader")) & near("fp", "leader"))
+    linked = written(led.select(F.greatest("fp", "leader").alias("u"), F.least("fp", "leader").alias("v")).distinct())
+    roots = connected_components(linked).withColumnRenamed("node", "fp")
+    members = placed(nodes.select("fp").join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    a, b = (members.select("grid", "at", F.col("fp").alias(x), F.col("root").alias(f"{x}_root")) for x in "vu")
+    rest = a.join(b, ["grid", "at"]).where((F.col("v") < F.col("u")) & (F.col("v_root") != F.col("u_root")) & near("u", "v"))
+    return linked.unionByName(rest.select("u", "v").distinct())
+
+
+def _rooted(rows: DataFrame, distance: int) -> DataFrame:
+    """(fp, n, root, component_id) of every fingerprint of rows(doc_id, fp)."""
+    nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")))
+    roots = connected_components(fingerprint_links(nodes.select("fp", "n"), distance))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    of_root = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"), F.sum("n").alias("of_root"))
+    return written(join_facts(rooted, of_root, "root", "of_root").select("fp", "n", "root", "component_id"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
@@ -147,21 +148,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ids are never the smallest, and a component of nothing else has none. Null and empty texts have
     fingerprint zero and link like others. Repeated rows come out repeated. An empty table gives no rows.
     """
-    rows = checkpointed(fingerprints(docs, id_col, text_col, shingle))
-    nodes = checkpointed(rows.groupBy("fp").agg(F.min("doc_id").alias("first_doc")))
-    roots = connected_components(fingerprint_links(nodes.select("fp"), distance))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    of_root = rooted.groupBy("root").agg(F.min("first_doc").alias("component_id"))
-    named = rooted.join(of_root, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rows = written(fingerprints(docs, id_col, text_col, shingle))
+    named = join_facts(rows, _rooted(rows, distance).drop("root"), "fp", "n")
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs whose document is the smallest doc_id of its component; of rows with that id, one stays.
+    """The rows of docs that stay: of each component the one with the smallest doc_id.
 
-    Rows without an id cannot be named as anyone's copy and stay.
+    Where several rows of a component have that id, the one whose text has the smallest hash stays, and of rows with equal ids and texts one;
+    unlinked texts of one id stay all. Rows without an id cannot be named as anyone's copy and stay.
     """
-    found = near_duplicates(docs, id_col, text_col, shingle, distance)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept"), "left_semi").dropDuplicates([id_col])
+    rows = written(fingerprints(docs, id_col, text_col, shingle))
+    rooted = join_facts(rows.where("doc_id is not null"), _rooted(rows, distance).drop("component_id"), "fp", "n")
+    kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("__kept")).select("__kept.*").toDF("__doc", "__text_id")
+    same = (F.col(id_col).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text_id"))
+    named = docs.where(F.col(id_col).isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
     return named.unionByName(docs.where(F.col(id_col).isNull()))

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from panelkit.llm import components, decontamination, line_dedup, packing, quality_rules, queries, sharding, simhash
+from panelkit.llm import components, decontamination, line_dedup, packing, quality_rules, queries, sharding, simhash, skew
 from tests.llm import brute
 
 SF = "/root/testdata/sf0.001"
@@ -80,13 +80,15 @@ def test_simhash(spark, rows):
     assert got == {d: (f"{fps[d]:016x}", roots[d]) for d, _ in given}
 
 
-@pytest.mark.parametrize("cell", [512, 3])
-def test_links_of_crowded_cells(spark, cell):
+@pytest.mark.parametrize("per_cell", [256, 0.0001])
+def test_links_of_crowded_cells(spark, per_cell, monkeypatch):
+    monkeypatch.setattr(simhash, "blocks_for", lambda n, distance: blocks(n, distance, per_cell))
     rng = np.random.default_rng(1)
     base = [int(x) for x in rng.integers(0, 2**63, 30)]
     near = [b ^ sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 6), False)) for b in base[:6] for _ in range(20)]
     fps = dict(enumerate({*base, *near}))
-    edges = simhash.fingerprint_links(frame(spark, [(simhash._signed(x),) for x in fps.values()], "fp long"), cell=cell)
+    edges = simhash.fingerprint_links(frame(spark, [(simhash._signed(x), 1) for x in fps.values()], "fp long, n long"))
+    assert all(((r.u ^ r.v) % 2**64).bit_count() <= 4 for r in edges.collect())
     found = {r.node: r.root for r in components.connected_components(edges).collect()}
     want = brute.components(fps)
     groups, wanted = defaultdict(set), defaultdict(set)
@@ -96,6 +98,27 @@ def test_links_of_crowded_cells(spark, cell):
     assert sorted(map(sorted, groups.values())) == sorted(map(sorted, wanted.values()))
 
 
+blocks = simhash.blocks_for
+
+
+def test_copies_grow_slowly():
+    assert [len(simhash._cells(blocks(n, 4), 4)) for n in (10**6, 10**8, 10**10)] == [15, 35, 210]
+
+
+def test_unlinked_texts_of_one_id_stay(spark):
+    a, b, long = "a b c d e f g", "q r s t u v w", "one two three four five " * 20_000
+    df = frame(spark, [(5, a), (5, b), (5, b), (6, a), (7, long), (8, long), (9, None), (9, "")])
+    kept = sorted((r.doc_id, r.text or "") for r in simhash.keep_one_of_each(df).collect())
+    assert kept == [(5, a), (5, b), (7, long), (9, "")]
+
+
+def test_hot_keys_are_joined_whole(spark):
+    rows = frame(spark, [(k, "x" if k % 3 else f"k{k}") for k in range(3000)] + [(0, None), (1, "none")]).withColumnRenamed("text", "key")
+    facts = rows.where("key <> 'none'").groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("last"))
+    got = sorted((r.doc_id, r.key, r["last"]) for r in skew.join_facts(rows, facts, "key", "n").collect())
+    assert got == sorted((k, "x" if k % 3 else f"k{k}", 2999 if k % 3 else k) for k in range(3000))
+
+
 def test_manhattan_is_a_lower_bound(spark):
     rng = np.random.default_rng(2)
     pairs = [(int(a), int(a) ^ int(b)) for a, b in zip(rng.integers(-(2**63), 2**63, 500), rng.integers(-(2**63), 2**63, 500) & rng.integers(-(2**63), 2**63, 500))]

@@ -1,7 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again by the next.
 
 Every stage works on all that its predecessor kept. All but the last return the columns of documents; the
-last returns the packed pieces. Rows without an id stay where a stage names documents by id.
+last returns the packed pieces. Rows without an id stay where a stage names documents by id; a table without n_chars is fine.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document has (2) go; n_chars follows the text."""
     kept = line_dedup.dedup_lines(docs)
     text = F.col("kept_text")
-    changed = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
+    changed = {"text": text} | ({"n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
     return kept.select(*[changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns])
 
 

@@ -14,12 +14,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own, or a new one where none is named (tests)."""
+    """The shared folder for checkpoints that spark.checkpoint.dir names; with a local master a new temporary one will do.
+
+    On a cluster without the setting this raises: a temporary folder would be a different one on every machine.
+    """
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(named or tempfile.mkdtemp(prefix="panelkit-checkpoint-"))
     return context.getCheckpointDir()
 

@@ -1,5 +1,6 @@
 import random
 import re
+import time
 from collections import defaultdict
 
 import duckdb
@@ -144,7 +145,74 @@ def test_evidence_is_fused(spark):
     assert language_id.identify(frame(spark, [], "page_id long, url string, html string"), docs).count() == 0
 
 
+def plain_fusion(pages, models):
+    """{page_id: (language, probability)} by loops over pages."""
+    strength, evidence, rows = language_id.STRENGTH, language_id.EVIDENCE, []
+    n = len(models.languages)
+    for page_id, url, html in pages:
+        count, means = models.mean_log_likelihoods(language_id.visible_text(html))
+        logs = np.array(means) * min(count, evidence)
+        own = np.exp(logs - logs.max())
+        host = (re.match(r"\w+://([^/:]+)", url or "") or ["", ""])[1].lower()
+        parts = host.split(".")
+        said = language_id.declared_language(html)
+        kind = "-" if said is None else said if said in models.languages else "*"
+        rows.append((page_id, (parts[-1],), (parts[-1], ".".join(parts[-2:])), (parts[-1], ".".join(parts[-2:]), host), kind, logs, own / own.sum()))
+    kinds = [*models.languages, "-", "*"]
+    table = np.full((n + 2, n), 0.5)
+    table[np.arange(n), np.arange(n)] += 5
+    sums = defaultdict(lambda: np.zeros(n))
+    for _, suffix, domain, host, kind, _, own in rows:
+        table[kinds.index(kind)] += own
+        for level in {(), suffix, domain, ("host", *host)}:
+            sums[level] += own
+    log_said = np.log(table / table.sum(0))
+    out = {}
+    for page_id, suffix, domain, host, kind, logs, own in rows:
+        prior = (sums[()] + strength / n) / (sums[()].sum() + strength)
+        for level in (suffix, domain):
+            prior = (sums[level] + strength * prior) / (sums[level].sum() + strength)
+        of_host = sums[("host", *host)]
+        prior = (np.maximum(of_host - own, 0) + strength * prior) / (of_host.sum() - 1 + strength)
+        total = logs + log_said[kinds.index(kind)] + np.log(np.maximum(prior, 1e-9))
+        p = np.exp(total - total.max())
+        out[page_id] = max(zip(p / p.sum(), models.languages))
+    return out
+
+
+@pytest.mark.parametrize("languages", [64, 3])
+def test_fusion_against_loops(spark, monkeypatch, languages):
+    monkeypatch.setattr(language_id, "LANGUAGES", languages)  # with 3 the models go out in two passes
+    pages, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("pages", "documents"))
+    rows = [tuple(r) for r in pages.select("page_id", "url", "html").collect()] + [(10_001, None, None), (10_002, "http://x.example.org/", "<html lang=zz>"), (10_003, "nothing", "")]
+    want = plain_fusion(rows, language_id.train(docs))
+    got = language_id.identify(frame(spark, rows, "page_id long, url string, html string"), docs).collect()
+    assert len(got) == len(rows)
+    assert all(r.lang == want[r.page_id][1] and r.probability == pytest.approx(want[r.page_id][0], abs=1e-9) for r in got)
+
+
+def test_pages_with_repeats_long_texts_and_clashing_columns(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").withColumns({"hash": F.lit(1), "part": F.lit(2), "rank": F.lit("r")})
+    long = "<!-- <div class=ad> <script <nav> " * 30_000 + "the end"
+    rows = [(1, "http://a.example.com/", "<p>the same page"), (1, "http://a.example.com/", "<p>the same page"), (None, None, long)]
+    df = frame(spark, rows, "page_id long, url string, html string").withColumns({"host": F.lit(1), "row": F.lit(2), "up": F.lit(3), "n_pages": F.lit(4)})
+    got = language_id.identify(df, docs).collect()
+    assert len(got) == 3 and len({(r.lang, r.probability) for r in got if r.page_id == 1}) == 1
+    assert language_id.identify(df, docs.limit(0)).count() == 3
+
+
+@pytest.mark.parametrize("part", ["<!--", "<div", "<div class=ad>", "<script>", "<nav", "<article>", "<html ", "<meta content-language' "])
+def test_pages_of_unclosed_tags_are_read_in_linear_time(part):
+    page = part * (10_000_000 // len(part))
+    start = time.perf_counter()
+    language_id.visible_text(page), language_id.declared_language(page)
+    assert time.perf_counter() - start < 10  # about a second; a rescan at every opening takes hours
+
+
 def test_visible_text_and_declarations():
+    unclosed = "<nav>a <div class='ad'>b</div><!-- c --> d <script> e"
+    assert language_id.visible_text(unclosed).split() == ["a", "d", "e"]
+    assert language_id.declared_language("<html><meta name=content-language content=en-GB>") is None
     page = "<html><head><meta http-equiv='content-language' content='fr'></head><nav>menu</nav><article>a &amp; b<script>x</script></article><footer>f</footer>"
     assert language_id.visible_text(page).split() == ["a", "&", "b"] and language_id.declared_language(page) == "fr"
 

@@ -3,7 +3,8 @@
 The kernel of two words counts their common subsequences of three letters, each weighted by
 DECAY ** span; spans go up to SPAN, so that a subsequence may skip letters, and it is normalised. A
 sentence is the words in it and those that come of single letters set apart ("i d i o t") or of letters with
-marks between them; its decision value is the highest of its words, and a document's that of its sentences.
+marks between them. A document is the bag of these pieces: its score comes from its three highest decision values, from what all of them
+reach into the margin together and on the average, so that a long clean text is not judged by its one unlucky word.
 
 Labels are of documents, so training takes them as bags: of the beginnings found nearly only in toxic
 documents, the fewest that explain these witness for them; the words of clean ones are counterexamples. Landmarks
@@ -16,7 +17,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 from itertools import combinations
 
 import numpy as np
@@ -134,14 +135,18 @@ def feature_map(words: list[str], letters: dict[str, int]) -> tuple[np.ndarray,
     return place, out
 
 
+#: Highest decision values of a document that its score is made of.
+TOP = 3
+
+
 @dataclass(frozen=True)
 class Machine:
-    """The folded machine: a weight for each letter triple, and the line from decision values to scores."""
+    """The folded machine: a weight for each letter triple, and the logistic model from a document's measures to its score."""
 
     letters: dict[str, int]
     weights: np.ndarray
     bias: float
-    slope: float = 1.0
+    slopes: np.ndarray = field(default_factory=lambda: np.eye(1, TOP + 2)[0])
     offset: float = 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
@@ -151,17 +156,26 @@ class Machine:
             out[where] += (self.weights[ids] * weights).sum(1) / np.sqrt(norms)
         return out
 
-    def scores(self, values: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * values + self.offset, -30, 30)))
+    def measures(self, values: np.ndarray) -> np.ndarray:
+        """The measures of a document with these decision values: the highest ones, the sum of what reaches into the margin, and its mean."""
+        top = np.full(TOP, self.bias)
+        highest = np.sort(np.partition(values, -TOP)[-TOP:] if len(values) > TOP else values)[::-1]
+        top[: len(highest)] = highest
+        reach = np.maximum(0, values + 1).sum()
+        return np.r_[top, np.log1p(reach), np.sqrt(reach / max(1, len(values)))]
+
+    def scores(self, measures: np.ndarray) -> np.ndarray:
+        """Scores of rows of measures."""
+        return 1 / (1 + np.exp(-np.clip(measures @ self.slopes + self.offset, -30, 30)))
 
 
 class Scorer:
-    """Decision values of texts; the value of each different chunk is worked out once and remembered."""
+    """Measures of texts; the decision value of each different chunk is worked out once and remembered."""
 
     def __init__(self, machine: Machine) -> None:
         self.machine, self.memory = machine, {}
 
-    def values(self, texts: list[str | None]) -> np.ndarray:
+    def measures(self, texts: list[str | None]) -> np.ndarray:
         bags = [chunks_of(t) for t in texts]
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
@@ -176,11 +190,11 @@ class Scorer:
         np.maximum.at(best, np.array(owners, np.intp), self.machine.values(words))
         self.memory.update(zip(new, best.tolist()))
         get = self.memory.__getitem__
-        return np.array([max(map(get, bag), default=self.machine.bias) for bag in bags])
+        return np.array([self.machine.measures(np.fromiter(map(get, bag), float, len(bag))) for bag in bags]).reshape(-1, TOP + 2)
 
 
 def _in_batches(scorer: Scorer, texts: list[str | None], size: int = 200) -> np.ndarray:
-    return np.concatenate([scorer.values(texts[i : i + size]) for i in range(0, len(texts), size)] or [np.zeros(0)])
+    return np.concatenate([scorer.measures(texts[i : i + size]) for i in range(0, len(texts), size)] or [np.zeros((0, TOP + 2))])
 
 
 def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, float]:
@@ -297,28 +311,30 @@ def _value(machine: Machine, word: Column) -> Column:
 
 
 def calibrated(machine: Machine, rows: DataFrame) -> Machine:
-    """The machine with the line that turns decision values of rows(text, label) into probabilities."""
+    """The machine with the logistic model from the measures of the sampled rows(text, label) to probabilities."""
 
-    def valued(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measured(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(machine)
         for part in parts:
-            yield pa.RecordBatch.from_arrays([pa.array(_in_batches(scorer, part.column("text").to_pylist()), pa.float64()), part.column("label")], names=["v", "label"])
+            x = _in_batches(scorer, part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), part.column("label")], names=["x", "label"])
 
-    found = rows.select("text", "label").mapInArrow(valued, "v double, label int").toPandas()
-    v, y = found["v"].to_numpy(float), found["label"].to_numpy(float)
+    found = rows.select("text", "label").mapInArrow(measured, "x array<double>, label int").orderBy("label", "x").toPandas()
+    x, y = np.array(found["x"].tolist(), float).reshape(-1, TOP + 2), found["label"].to_numpy(float)
     if y.sum() == 0 or y.sum() == len(y):
-        return Machine(machine.letters, machine.weights, machine.bias, 0.0, -3.0)
+        return replace(machine, slopes=np.zeros(TOP + 2), offset=-3.0)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    z = np.c_[(x - mean) / scale, np.ones(len(x))]
     goal = np.where(y > 0, (y.sum() + 1) / (y.sum() + 2), 1 / (len(y) - y.sum() + 2))
-    slope, offset = 1.0, 0.0
+    w, penalty = np.zeros(z.shape[1]), np.r_[np.full(TOP + 2, 0.1), 1e-3]
     for _ in range(100):  # Newton's steps on the cross entropy
-        p = 1 / (1 + np.exp(-np.clip(slope * v + offset, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
         h = p * (1 - p) + 1e-6
-        x = np.c_[v, np.ones(len(v))]
-        step = np.linalg.solve((x * h[:, None]).T @ x + 1e-3 * np.eye(2), x.T @ (p - goal))
-        slope, offset = slope - step[0], offset - step[1]
+        step = np.linalg.solve((z * h[:, None]).T @ z + np.diag(penalty), z.T @ (p - goal) + penalty * w)
+        w = w - step
         if np.abs(step).max() < 1e-6:
             break
-    return Machine(machine.letters, machine.weights, machine.bias, float(slope), float(offset))
+    return replace(machine, slopes=w[:-1] / scale, offset=float(w[-1] - (w[:-1] * mean / scale).sum()))
 
 
 def classify(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, threshold: float = THRESHOLD) -> DataFrame:

@@ -12,7 +12,7 @@ import corpus_pipeline
 from panelkit.llm import components, language_id, packing, prefilter, quality_classifier, queries, simhash, substring_dedup, toxicity
 from tests.llm import brute
 
-SMALL, SF = "/root/testdata/sf0.001", "/root/testdata/sf0.01"
+SMALL, SF, LARGE = "/root/testdata/sf0.001", "/root/testdata/sf0.01", "/root/testdata/sf0.1"
 
 
 def frame(spark, rows, schema="doc_id long, text string"):
@@ -109,7 +109,7 @@ def toxic_corpus(seed=0, n=400):
 def test_gapped_and_inserted_letters_are_caught(spark):
     rows, labels = toxic_corpus()
     machine = toxicity.train(frame(spark, rows), frame(spark, labels, "doc_id long, toxic int"))
-    score = lambda *texts: machine.scores(toxicity.Scorer(machine).values(list(texts)))
+    score = lambda *texts: machine.scores(toxicity.Scorer(machine).measures(list(texts)))
     assert (score("there is an idiot here", "i d i o t", "id-iot ronti", "i*d*i*o*t", "the idxiot thon", "sstupid", "CLOWN!", "clo.wn") > 0.3).all()
     assert (score("theron shatin onre", "", "a b", "tionsh 555 ???") < 0.3).all()
 
@@ -122,6 +122,51 @@ def test_toxicity_on_held_out_documents(spark):
     assert (known.predicted == known.toxic).mean() > 0.9 and known[known.toxic == 0].predicted.sum() <= 2
 
 
+def test_toxicity_catches_held_out_documents_in_every_language(spark):
+    docs, labels = (spark.read.parquet(f"{LARGE}/{t}.parquet") for t in ("documents", "labels"))
+    known = toxicity.classify(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out").toPandas()
+    caught = known[(known.predicted == 1) & (known.toxic == 1)]
+    assert len(caught) >= 0.9 * known.toxic.sum() and len(caught) >= 0.95 * known.predicted.sum()
+    assert auc(known.score.to_numpy(), known.toxic.to_numpy()) > 0.98
+    for lang, rows in known.groupby("lang"):
+        assert (caught.lang == lang).sum() >= 0.8 * rows.toxic.sum(), lang
+        assert ((rows.predicted == 1) & (rows.toxic == 0)).sum() <= 0.02 * len(rows), lang
+
+
+def plain_score(machine, text):
+    """The score of a text by loops over its words' subsequences."""
+    value = {}
+    for chunk in toxicity.chunks_of(text):
+        values = [machine.bias]
+        for word in toxicity.words_in(chunk):
+            for piece in toxicity._pieces(word):
+                found = defaultdict(float)
+                for i in range(len(piece)):
+                    for j in range(i + 1, min(len(piece), i + toxicity.SPAN)):
+                        for k in range(j + 1, min(len(piece), i + toxicity.SPAN)):
+                            a, b, c = (machine.letters.get(piece[x], 0) for x in (i, j, k))
+                            found[(a * toxicity.ALPHABET + b) * toxicity.ALPHABET + c] += toxicity.DECAY ** (k - i + 1)
+                if found:
+                    norm = sum(x * x for x in found.values()) ** 0.5
+                    values.append(machine.bias + sum(x * float(machine.weights[t]) for t, x in found.items()) / norm)
+        value[chunk] = max(values)
+    found = sorted(value.values(), reverse=True)
+    top = (found + [machine.bias] * toxicity.TOP)[: toxicity.TOP]
+    reach = sum(max(0, v + 1) for v in found)
+    x = [*top, np.log1p(reach), (reach / max(1, len(found))) ** 0.5]
+    return 1 / (1 + np.exp(-(np.dot(x, machine.slopes) + machine.offset)))
+
+
+def test_toxicity_query_against_loops(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    machine = toxicity.train(docs, labels)
+    text = {r.doc_id: r.text for r in docs.collect()}
+    got = queries.QUERIES["op9_toxicity"](spark, SMALL).collect()
+    assert len(got) == len(text)
+    for r in got:
+        assert r.score == pytest.approx(plain_score(machine, text[r.doc_id]), abs=1e-5) and r.predicted == (r.score >= 0.3)
+
+
 # --- language ---
 
 

@@ -1,9 +1,10 @@
 """Quality classifier by positive-unlabelled learning with the non-negative risk estimator.
 
 Trusted positives are labelled documents of good quality, unlabelled ones are documents whose labels
-are not looked at, and the class prior is estimated by the share of good ones among the labelled, less a
-tenth: where the estimate is above the true share, even a perfect model seems to have a negative risk
-on the other side, and is pushed off. The risk
+are not looked at; labels of poor quality are never used. The class prior is estimated from both kinds: a model that tells positives from
+unlabelled ones is fitted on half of them, and the other half is scored. Where the unlabelled documents that reach
+a score are nearly all good, their share divided by the share of the positives that reach it is the prior; the score is chosen for which this
+quotient and its margin of error are smallest. The risk
 prior * E_pos[loss(+)] + max(0, E_unl[loss(-)] - prior * E_pos[loss(-)]) of a logistic model over shares
 of characters, words and lines is minimised; where the second part turns negative, the step goes
 back up on it.
@@ -28,8 +29,8 @@ FOLD = (5, 0)
 THRESHOLD = 0.3
 #: Most documents of either kind that the model is fitted on.
 SAMPLE = 10_000
-#: The part of the estimated prior that is taken off.
-MARGIN = 0.1
+#: The prior where too few positives or unlabelled documents are held back (fewer than LEAST) to estimate it.
+UNKNOWN, LEAST = 0.5, 20
 _MARKS = [ord(c) for c in "!|#*$%&<>.,;:?@_=/\\()[]{}\"'"]
 
 
@@ -100,11 +101,36 @@ def fit(positives: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int
     return Model(model.mean, model.scale, w, prior)
 
 
-def estimate_prior(labels: DataFrame, fold: tuple[int, int] = FOLD) -> float:
-    """The share of good documents among all labelled rows outside the held-out fold, less MARGIN of it, and kept off 0 and 1."""
-    rows = labels.where(F.col("quality").isNotNull() & ~held_out(F.col("doc_id"), *fold))
-    good, n = rows.agg(F.coalesce(F.sum(F.col("quality").cast("int")), F.lit(0)), F.count("*")).first()
-    return min(0.98, max(0.02, (1 - MARGIN) * (good + 1) / (n + 2)))
+def separator(positives: np.ndarray, unlabelled: np.ndarray, steps: int = 200, rate: float = 0.05, penalty: float = 1e-2) -> Model:
+    """A model that tells positives from unlabelled rows, both of equal weight."""
+    base = np.r_[positives, unlabelled]
+    model = Model(base.mean(0), base.std(0) + 1e-6, np.zeros(2 * base.shape[1] + 1), 0.5)
+    p, u = model.expand(positives), model.expand(unlabelled)
+    w = np.zeros(2 * base.shape[1] + 1)
+    first, second = np.zeros_like(w), np.zeros_like(w)
+    for k in range(1, steps + 1):
+        g = p.T @ (_sigmoid(p @ w) - 1) / len(p) + u.T @ _sigmoid(u @ w) / len(u) + penalty * w
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        w = w - rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
+    return Model(model.mean, model.scale, w, 0.5)
+
+
+def estimate_prior(positives: np.ndarray, unlabelled: np.ndarray, confidence: float = 0.9) -> float:
+    """The share of good documents among the unlabelled, from the features of both samples; between 0.02 and 0.98.
+
+    Every second row of either fits the separator; the others, which it has not seen, are counted. The margin of error of a share of n
+    rows is that of Hoeffding's inequality.
+    """
+    p, u = positives[1::2], unlabelled[1::2]
+    if len(p) < LEAST or len(u) < LEAST:
+        return UNKNOWN
+    model = separator(positives[::2], unlabelled[::2])
+    p, u = np.sort(model.scores(p)), np.sort(model.scores(u))
+    share_p = 1 - np.searchsorted(p, p) / len(p)
+    share_u = 1 - np.searchsorted(u, p) / len(u)
+    margin = sum(np.sqrt(np.log(4 / (1 - confidence)) / (2 * n)) for n in (len(p), len(u)))
+    best = np.argmin((share_u + margin) / share_p)
+    return float(np.clip(share_u[best] / share_p[best], 0.02, 0.98))
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, bound: int = SAMPLE, prior: float | None = None) -> Model:
@@ -122,10 +148,11 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, boun
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("positive"), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "positive", "x"])
 
     sample = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "positive", "text").mapInArrow(measured, "doc_id long, positive boolean, x array<double>")
-    found = sample.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
+    found = sample.groupBy("doc_id", "positive").agg(F.min("x").alias("x")).orderBy(F.xxhash64("doc_id"), "doc_id").toPandas()
     x = np.array(found["x"].tolist(), float).reshape(-1, N_FEATURES)
     is_positive = found["positive"].to_numpy(bool)
-    return fit(x[is_positive], x[~is_positive], estimate_prior(labels, fold) if prior is None else prior)
+    positives, unlabelled = x[is_positive], x[~is_positive]
+    return fit(positives, unlabelled, estimate_prior(positives, unlabelled) if prior is None else prior)
 
 
 def score(model: Model, text: Column) -> Column:

@@ -30,7 +30,7 @@ BUCKETS = 1 << 15
 SAMPLE = 2000
 #: Languages whose models are sent to the executors at once (BUCKETS numbers each); more of them take more passes over the pages.
 LANGUAGES = 64
-#: Most sampled ids that are broadcast to find their texts; more of them meet the documents by a shuffle.
+#: Most languages, and most sampled ids, that are broadcast to find their documents; more of them meet the documents by a shuffle.
 BROADCAST_ROWS = 500_000
 EVIDENCE = 60
 _TAG = re.compile(r"<[^>]*>")
@@ -148,7 +148,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     # of a frequent language a part of the ids about twice the bound is ranked; part of the ids is taken by their hash
-    parts = rows.groupBy("lang").agg((F.lit(2.0 * bound + 100) / F.count("*")).alias("part"))
+    parts = checkpointed(rows.groupBy("lang").agg((F.lit(2.0 * bound + 100) / F.count("*")).alias("part")))
+    if parts.count() <= BROADCAST_ROWS:
+        parts = F.broadcast(parts)
     some = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("hash")).join(parts, "lang").where(F.shiftrightunsigned("hash", 33) <= F.col("part") * 2.0**31)
     ranked = some.select("doc_id", "lang", "hash").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "doc_id")))
     chosen = written(ranked.where(F.col("rank") <= bound).select("doc_id", "lang"))

@@ -130,7 +130,7 @@ def test_toxicity_catches_held_out_documents_in_every_language(spark):
     assert auc(known.score.to_numpy(), known.toxic.to_numpy()) > 0.98
     for lang, rows in known.groupby("lang"):
         assert (caught.lang == lang).sum() >= 0.8 * rows.toxic.sum(), lang
-        assert ((rows.predicted == 1) & (rows.toxic == 0)).sum() <= 0.02 * len(rows), lang
+        assert ((rows.predicted == 1) & (rows.toxic == 0)).sum() <= 0.03 * len(rows), lang
 
 
 def plain_score(machine, text):

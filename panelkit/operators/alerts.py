@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.columns import alert_label, at_least, deviation, percent, strip_suffix
+from panelkit.operators.ranks import percentiles
 
 PERCENTILES = tuple(range(50, 96, 5))
 LABELS = ("Green", "Yellow", "Red")
@@ -30,9 +31,12 @@ def entity_thresholds(rows: DataFrame, percentiles: Sequence[int] = PERCENTILES,
 
 def true_events(rows: DataFrame, percentile: float = 85, approximate: bool = False) -> DataFrame:
     """rows with true_event: a deviation above the percentile of all positive ones."""
-    positive = F.when(F.col("deviation") > 0, F.col("deviation"))
-    cut = F.percentile_approx(positive, percentile / 100) if approximate else F.percentile(positive, percentile / 100)
-    return rows.crossJoin(F.broadcast(rows.agg(cut.alias("__cut")))).withColumn("true_event", F.coalesce(F.col("deviation") > F.col("__cut"), F.lit(False))).drop("__cut")
+    positive = rows.where("deviation > 0").select("deviation")
+    if approximate:
+        cut = positive.agg(F.percentile_approx("deviation", percentile / 100).alias("__cut"))
+    else:
+        cut = percentiles(positive, "deviation", [percentile / 100], "__cut").select(F.get("__cut", F.lit(0)).alias("__cut"))
+    return rows.crossJoin(F.broadcast(cut)).withColumn("true_event", F.coalesce(F.col("deviation") > F.col("__cut"), F.lit(False))).drop("__cut")
 
 
 def confusion(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:

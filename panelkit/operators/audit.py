@@ -14,8 +14,9 @@ ISSUE = ("severity", "category", "check", "entity", "detail", "value")
 
 
 def latest_n(rows: DataFrame, n: int, keys: Sequence[str] = ("entity",), date: str = "date") -> DataFrame:
-    """The last n rows of each key."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(date)))).where(F.col("__n") <= n).drop("__n")
+    """The last n rows of each key; of equal dates those with the lowest values in the other columns, from left to right."""
+    others = [F.asc(f.name) for f in rows.schema.fields if f.name not in (*keys, date) and f.dataType.typeName() not in ("map", "variant")]
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(date), *others))).where(F.col("__n") <= n).drop("__n")
 
 
 def top_k(rows: DataFrame, k: int, by: str, tie: str) -> DataFrame:

@@ -7,8 +7,8 @@ every origin, gap and feature set comes from one pass over the panel.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from itertools import combinations_with_replacement
+from collections.abc import Callable, Mapping, Sequence
+from itertools import combinations_with_replacement, product
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,7 @@ from panelkit.functions import numeric
 from panelkit.functions.columns import at_least
 from panelkit.operators.metrics import regression_metrics
 from panelkit.operators.stattests import diebold_mariano, paired_monthly_losses, spearman, wilcoxon_signed_rank
+from panelkit.session import written
 
 MIN_MONTHS, MIN_ROWS = 12, 10
 
@@ -74,38 +75,52 @@ def walk_forward_ols(panel: DataFrame, x: str, y: str, gap: int = 0, min_months:
     return rows.select("entity", date, at_least(F.col("intercept") + F.col("slope") * F.col(x), 0.0).alias("predicted"), F.col(y).cast("double").alias("actual"))
 
 
-def _pair_sums(panel: DataFrame, features: Sequence[str], y: str, date: str) -> DataFrame:
-    """(origin, n, i, j, s): sums of products of all pairs among 1, the features and y, by month; long, one row per pair."""
+def _pairs(features: Sequence[str]) -> list[tuple[int, int]]:
+    """All pairs of places among 1, the features and the target, in order."""
+    return list(combinations_with_replacement(range(len(features) + 2), 2))
+
+
+def _pair_sums(panel: DataFrame, features: Sequence[str], y: str, by: Sequence[Column]) -> DataFrame:
+    """(by..., n, sums): the rows, and the sums of products of all pairs among 1, the features and y as an array in the order of _pairs()."""
     z = [F.lit(1.0), *[F.col(f).cast("double") for f in features], F.col(y).cast("double")]
-    pairs = list(combinations_with_replacement(range(len(z)), 2))
-    sums = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.sum(z[i] * z[j]).alias("s")) for i, j in pairs])
-    return panel.dropna(subset=[*features, y]).groupBy(_latest_month(date)).agg(F.count("*").alias("n"), sums.alias("sums")).select("origin", "n", F.inline("sums"))
+    sums = F.array(*[F.sum(z[i] * z[j]) for i, j in _pairs(features)])
+    return panel.dropna(subset=[*features, y]).groupBy(*by).agg(F.count("*").alias("n"), sums.alias("sums"))
+
 
+def _solved(features: Sequence[str], penalties: Sequence[float]) -> Callable[[Column], Column]:
+    """An array of coefficients for each penalty, the intercept first, from an array of sums."""
+    size, (i, j) = len(features) + 2, zip(*_pairs(features))
 
-def _solver(size: int, penalties: Sequence[float]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def solve(group: pd.DataFrame) -> pd.DataFrame:
-        full = np.zeros((size, size))
-        i, j, s = (group[c].to_numpy() for c in "ijs")
-        full[i, j] = full[j, i] = s
-        n = full[0, 0]
-        rows = [numeric.ridge(n, full[0, 1:], full[1:, 1:], p).tolist() for p in penalties]
-        first = group.iloc[0]
-        return pd.DataFrame({"origin": first["origin"], "gap": int(first["gap"]), "n_train": int(n), "penalty": list(penalties), "coefficients": rows})
+    @F.pandas_udf("array<array<double>>")
+    def solve(sums: pd.Series) -> pd.Series:
+        def of(s: np.ndarray) -> list[list[float]]:
+            full = np.zeros((size, size))
+            full[i, j] = full[j, i] = s
+            return [numeric.ridge(full[0, 0], full[0, 1:], full[1:, 1:], p).tolist() for p in penalties]
+
+        return sums.map(of)
 
     return solve
 
 
 def fits_by_origin(panel: DataFrame, features: Sequence[str], y: str, gaps: Sequence[int] = (0,), penalties: Sequence[float] = (1e-6,), min_months: int = MIN_MONTHS, date: str = "date") -> DataFrame:
-    """(origin, gap, n_train, penalty, coefficients): ridge fits for every origin, gap and penalty; the intercept comes first."""
-    sums = _pair_sums(panel, features, y, date).withColumn("m", month_number(F.col("origin")))
-    parts = None
-    for gap in gaps:
-        w = Window.partitionBy("i", "j").orderBy("m").rangeBetween(Window.unboundedPreceding, -1 - gap)
-        total = sums.select("origin", F.lit(gap).alias("gap"), "i", "j", F.sum("s").over(w).alias("s"), F.sum("n").over(w).alias("n"), F.count("*").over(w).alias("n_months"))
-        total = total.where((F.col("n_months") >= min_months) & (F.col("n") >= MIN_ROWS)).select("origin", "gap", "i", "j", "s")
-        parts = total if parts is None else parts.unionByName(total)
-    schema = "origin date, gap int, n_train long, penalty double, coefficients array<double>"
-    return parts.groupBy("origin", "gap").applyInPandas(_solver(len(features) + 2, penalties), schema)
+    """(origin, gap, n_train, penalty, coefficients): ridge fits for every origin, gap and penalty; the intercept comes first.
+
+    The sums of a month count from the month after it and the gap on. So one window over origins and sums in that order, for each gap
+    and pair, adds up what every origin may know.
+    """
+    sums = written(_pair_sums(panel, features, y, [_latest_month(date)]).withColumn("m", month_number(F.col("origin"))))
+    each = sums.withColumn("gap", F.explode(F.array(*[F.lit(g) for g in gaps]))).select("origin", "m", "gap", "n", F.posexplode("sums").alias("pair", "s"))
+    nothing = F.lit(None)
+    known = each.select(nothing.cast("date").alias("origin"), (F.col("m") + F.col("gap") + 1).alias("at"), "gap", "pair", "s", "n")
+    asked = each.select("origin", F.col("m").alias("at"), "gap", "pair", nothing.cast("double").alias("s"), nothing.cast("long").alias("n"))
+    so_far = Window.partitionBy("gap", "pair").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    total = known.unionByName(asked).select("origin", "gap", "pair", F.sum("s").over(so_far).alias("s"), F.sum("n").over(so_far).alias("n"), F.count("n").over(so_far).alias("n_months"))
+    total = total.where(F.col("origin").isNotNull() & (F.col("n_months") >= min_months) & (F.col("n") >= MIN_ROWS))
+    by_origin = total.groupBy("origin", "gap").agg(F.max("n").alias("n_train"), F.transform(F.array_sort(F.collect_list(F.struct("pair", "s"))), lambda x: x["s"]).alias("sums"))
+    solved = by_origin.select("origin", "gap", "n_train", _solved(features, penalties)("sums").alias("found"))
+    named = F.arrays_zip(F.array(*[F.lit(float(p)) for p in penalties]).alias("penalty"), F.col("found").alias("coefficients"))
+    return solved.select("origin", "gap", "n_train", F.inline(named).alias("penalty", "coefficients"))
 
 
 def linear_prediction(coefficients: Column, features: Sequence[str]) -> Column:
@@ -128,8 +143,9 @@ def align_predictions(a: DataFrame, b: DataFrame, keys: Sequence[str] = ("entity
 
 def gap_predictions(panel: DataFrame, without: Sequence[str], with_signals: Sequence[str], target: str, gaps: Sequence[int] = range(13), min_months: int = MIN_MONTHS) -> DataFrame:
     """(gap, entity, date, actual, predicted_a, predicted_b) of both feature sets for every gap."""
+    panel = written(panel.select("entity", "date", *dict.fromkeys([*without, *with_signals, target])))
     a, b = (walk_forward(panel, f, target, list(gaps), min_months=min_months) for f in (without, with_signals))
-    return align_predictions(a, b, ("gap", "entity", "date"))
+    return written(align_predictions(a, b, ("gap", "entity", "date")))
 
 
 def gap_comparison(aligned: DataFrame, smape: str = "drop", hac_lags: int = 1, p_value: bool = True) -> DataFrame:
@@ -150,12 +166,12 @@ def gap_trend(comparison: DataFrame, p_value: bool = True) -> DataFrame:
     return spearman(comparison, "gap", "delta_r2", p_value=p_value).crossJoin(mean)
 
 
-def ablation(panel: DataFrame, without: Sequence[str], with_signals: Sequence[str], target: str, period: tuple[str, str] | None = None, min_months: int = MIN_MONTHS) -> DataFrame:
+def ablation(panel: DataFrame, without: Sequence[str], with_signals: Sequence[str], target: str, period: tuple[str, str] | None = None, min_months: int = MIN_MONTHS, p_value: bool = True) -> DataFrame:
     """One row: gap_comparison() at gap 0, on the rows outside the excluded period."""
     from panelkit.operators.clean import exclude_period
 
     aligned = gap_predictions(panel, without, with_signals, target, (0,), min_months)
-    return gap_comparison(exclude_period(aligned, *period) if period else aligned, smape="eps")
+    return gap_comparison(exclude_period(aligned, *period) if period else aligned, smape="eps", p_value=p_value)
 
 
 def temporal_split(rows: DataFrame, share: float, date: str = "date", name: str = "part") -> DataFrame:
@@ -178,19 +194,17 @@ def random_penalties(n: int = 60, seed: int = 42, low: float = -8, high: float =
 def score_penalties(panel: DataFrame, features: Sequence[str], target: str, penalties: Sequence[float], share: float = 0.78, date: str = "date") -> DataFrame:
     """(candidate, penalty, mae): hold-out error of each penalty. One table of sums serves all fits; the candidates meet the rows as one array."""
     parts = temporal_split(panel.dropna(subset=[*features, target]), share, date)
-    sums = _pair_sums(parts.where("part = 'train'"), features, target, date).groupBy("i", "j").agg(F.sum("s").alias("s"))
-    fits = sums.withColumns({"origin": F.lit(None).cast("date"), "gap": F.lit(0)}).groupBy("gap").applyInPandas(
-        _solver(len(features) + 2, penalties), "origin date, gap int, n_train long, penalty double, coefficients array<double>"
-    )
-    listed = fits.agg(F.collect_list("coefficients").alias("fits"))  # one row of len(penalties) short arrays
+    sums = _pair_sums(parts.where("part = 'train'"), features, target, [])
+    listed = sums.select(_solved(features, penalties)("sums").alias("fits"))  # one row of len(penalties) short arrays
     rows = parts.where("part = 'test'").crossJoin(F.broadcast(listed))
     errors = [F.avg(F.abs(at_least(linear_prediction(F.col("fits")[k], features), 0.0) - F.col(target))) for k in range(len(penalties))]
     table = F.array(*[F.struct(F.lit(k).alias("candidate"), F.lit(p).alias("penalty"), e.alias("mae")) for k, (p, e) in enumerate(zip(penalties, errors))])
     return rows.agg(table.alias("t")).select(F.inline("t"))
 
 
-def tune(panel: DataFrame, features: Sequence[str], target: str, n: int = 60, seed: int = 42, share: float = 0.78) -> DataFrame:
+def tune(panel: DataFrame, features: Sequence[str], target: str, n: int = 60, seed: int = 42, share: float = 0.78, date: str = "date") -> DataFrame:
     """The best penalty: first of n random ones, then of a grid of 27 around that."""
+    panel = written(panel.select(date, *dict.fromkeys([*features, target])))
     first = pick_candidate(score_penalties(panel, features, target, random_penalties(n, seed), share)).first()
     grid = [first["penalty"] * 10 ** (k / 13) for k in range(-13, 14)]
     return pick_candidate(score_penalties(panel, features, target, grid, share))
@@ -203,6 +217,33 @@ def train_regressor(panel: DataFrame, features: Sequence[str], target: str, tree
     return Pipeline(stages=[VectorAssembler(inputCols=list(features), outputCol="features"), gbt]).fit(rows)
 
 
+#: What the random search of tune_regressor() draws from.
+SEARCHED = {"trees": (20, 200), "depth": (3, 9), "rate": (0.02, 0.3), "subsample": (0.6, 1.0), "min_rows": (2, 12)}
+
+
+def tune_regressor(panel: DataFrame, features: Sequence[str], target: str, n: int = 60, steps: Sequence[float] = (0.75, 1.0, 1.25), seed: int = 42, share: float = 0.78, date: str = "date") -> DataFrame:
+    """(candidate, mae, trees, depth, rate, subsample, min_rows), the best first: boosted trees scored on the latest dates.
+
+    First n random candidates, then a grid around the best one: its trees, depth and rate times each of the steps.
+    """
+    parts = written(temporal_split(panel.dropna(subset=[*features, target]), share, date))
+    train, test = (parts.where(F.col("part") == x) for x in ("train", "test"))
+
+    def scored(found: Mapping[str, float]) -> dict:
+        settings = {k: v if k in ("rate", "subsample") else max(1, round(v)) for k, v in found.items()}
+        model = train_regressor(train, features, target, seed=seed, **settings)
+        return {"mae": predict(model, test, features).agg(F.avg(F.abs(F.col("predicted") - F.col(target)))).first()[0], **settings}
+
+    draw = np.random.default_rng(seed)
+    tried = [scored({k: float(draw.uniform(*v)) for k, v in SEARCHED.items()}) for _ in range(n)]
+    best = min(tried, key=lambda x: x["mae"])
+    around = [{"trees": best["trees"] * a, "depth": best["depth"] * b, "rate": best["rate"] * c} for a, b, c in product(steps, repeat=3)]
+    tried += [scored({k: v for k, v in best.items() if k != "mae"} | x) for x in around]
+    schema = "candidate long, mae double, trees long, depth long, rate double, subsample double, min_rows long"
+    rows = [(k, x["mae"], x["trees"], x["depth"], x["rate"], x["subsample"], x["min_rows"]) for k, x in enumerate(tried)]
+    return panel.sparkSession.createDataFrame(rows, schema).orderBy("mae", "candidate")
+
+
 def predict(model: Transformer, rows: DataFrame, features: Sequence[str], name: str = "predicted") -> DataFrame:
     """rows that are complete in the features, with the model's prediction, not below 0."""
     scored = model.transform(rows.dropna(subset=list(features)))

@@ -26,11 +26,12 @@ def interpolate_series(rows: DataFrame, entity: str = "entity", date: str = "dat
     Rows without an entity are dropped.
     """
     by_date = Window.partitionBy(entity).orderBy(date)
-    back, ahead = by_date.rowsBetween(Window.unboundedPreceding, 0), by_date.rowsBetween(0, Window.unboundedFollowing)
+    back = by_date.rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy(entity).orderBy(F.desc("__at")).rowsBetween(Window.unboundedPreceding, 0)  # running, where a frame that shrinks is read anew for each row
     x = F.col(value).cast("double")
     placed = rows.where(F.col(entity).isNotNull()).withColumn("__at", F.row_number().over(by_date)).withColumn("__x", x)
     seen = F.when(F.col("__x").isNotNull(), F.struct("__at", "__x"))
-    placed = placed.withColumn("__before", F.last(seen, True).over(back)).withColumn("__after", F.first(seen, True).over(ahead))
+    placed = placed.withColumn("__before", F.last(seen, True).over(back)).withColumn("__after", F.last(seen, True).over(ahead))
     a, b = F.col("__before"), F.col("__after")
     line = a["__x"] + (b["__x"] - a["__x"]) * (F.col("__at") - a["__at"]) / (b["__at"] - a["__at"])
     carried = a["__x"] if trailing == "carry" else F.lit(None).cast("double")

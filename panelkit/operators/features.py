@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.columns import month_angle
 from panelkit.operators.clean import null_shares
+from panelkit.operators.ranks import percentiles
 
 
 def _by_date(entity: str = "entity", date: str = "date"):
@@ -52,7 +53,7 @@ def add_quintile(panel: DataFrame, value: str, entity: str = "entity", name: str
     Equal edges are taken once, and the numbers stay 1, 2 and so on. An entity's value is its smallest; nulls have none.
     """
     per_entity = panel.groupBy(entity).agg(F.min(value).alias("__x"))
-    edges = per_entity.agg(F.array_distinct(F.percentile("__x", [0.2, 0.4, 0.6, 0.8, 1.0])).alias("__edges"))
+    edges = percentiles(per_entity, "__x", [0.2, 0.4, 0.6, 0.8, 1.0], "__edges").select(F.array_distinct("__edges").alias("__edges"))
     below = F.size(F.filter("__edges", lambda e: e < F.col("__x"))) + 1
     numbered = per_entity.crossJoin(F.broadcast(edges)).select(entity, F.when(F.col("__x").isNotNull(), below).cast("int").alias(name))
     return panel.join(numbered, entity, "left")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.session import written
+from panelkit.operators.ranks import numbered
 
 SMAPE_MODES = ("zero", "drop", "eps")
 
@@ -59,24 +59,16 @@ def panel_profile(rows: DataFrame, entity: str = "entity", market: str = "market
 
 
 def residual_histogram(rows: DataFrame, residual: str = "residual", bins: int = 60) -> DataFrame:
-    """(bin, n, overall_mean) over equal bins from the least to the largest residual, which is in the last bin; empty bins are left out."""
-    edges = rows.agg(F.min(residual).alias("__low"), F.max(residual).alias("__high"), F.avg(residual).alias("overall_mean"))
+    """(bin, n, overall_mean) of all equal bins from the least to the largest residual, which is in the last bin; equal residuals are all in the first."""
+    edges = F.broadcast(rows.agg(F.min(residual).alias("__low"), F.max(residual).alias("__high"), F.avg(residual).alias("overall_mean")))
     inside = F.when(F.col("__high") > F.col("__low"), F.least(F.lit(bins), F.width_bucket(F.col(residual), F.col("__low"), F.col("__high"), F.lit(bins)))).otherwise(1)
-    return rows.dropna(subset=[residual]).crossJoin(F.broadcast(edges)).groupBy(inside.cast("int").alias("bin"), "overall_mean").agg(F.count("*").alias("n"))
+    counted = rows.dropna(subset=[residual]).crossJoin(edges).groupBy(inside.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    every = rows.sparkSession.range(1, bins + 1).select(F.col("id").cast("int").alias("bin")).crossJoin(edges.select("overall_mean"))
+    return every.join(counted, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("n"), "overall_mean")
 
 
-def qq_fit(rows: DataFrame, residual: str = "residual") -> DataFrame:
-    """One row: slope, intercept and correlation of all residuals in order against the normal quantiles of their places.
-
-    The places are Filliben's medians of order statistics. Residuals are dealt by ranges and numbered within each;
-    equal ones have different numbers, so that they need not be in one range.
-    """
-    numbered = written(rows.where(F.col(residual).isNotNull()).select(F.col(residual).cast("double").alias("q"), F.monotonically_increasing_id().alias("id")))
-    dealt = written(numbered.repartitionByRange("q", "id").withColumn("part", F.spark_partition_id()))
-    sizes = dealt.groupBy("part").agg(F.count("*").alias("size"))
-    before = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = sizes.withColumn("before", before).crossJoin(F.broadcast(sizes.agg(F.sum("size").alias("n")))).select("part", "before", "n")
-    ranked = dealt.withColumn("i", F.row_number().over(Window.partitionBy("part").orderBy("q", "id"))).join(F.broadcast(starts), "part").withColumn("i", F.col("i") + F.col("before"))
+def qq_points(rows: DataFrame, residual: str = "residual") -> DataFrame:
+    """(i, z, q): every residual in order with the normal quantile of its place; the places are Filliben's medians of order statistics."""
     i, n = F.col("i"), F.col("n")
     last = F.pow(F.lit(0.5), 1 / n)
     place = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
@@ -85,8 +77,12 @@ def qq_fit(rows: DataFrame, residual: str = "residual") -> DataFrame:
     def normal(p: pd.Series) -> pd.Series:
         return p.map(NormalDist().inv_cdf)
 
-    paired = ranked.select("q", normal(place).alias("z"))
-    return paired.agg(F.regr_slope("q", "z").alias("slope"), F.regr_intercept("q", "z").alias("intercept"), F.corr("q", "z").alias("r"))
+    return numbered(rows, residual).select("i", normal(place).alias("z"), "q")
+
+
+def qq_fit(rows: DataFrame, residual: str = "residual") -> DataFrame:
+    """One row: slope, intercept and correlation of the points of qq_points()."""
+    return qq_points(rows, residual).agg(F.regr_slope("q", "z").alias("slope"), F.regr_intercept("q", "z").alias("intercept"), F.corr("q", "z").alias("r"))
 
 
 def smooth_centered(by_date: DataFrame, value: str, date: str = "date", before: int = 3, after: int = 2, least: int = 3, name: str = "smoothed") -> DataFrame:

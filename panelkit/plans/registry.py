@@ -367,6 +367,12 @@ for _mode, _sql in {"zero": f"CASE WHEN {_SIZE} > 0 THEN 200 * abs(actual - b) /
     query(_metrics_sql(_sql, "date"), f"regression_metrics_by_month_{_mode}")(lambda spark, sf, m=_mode: metrics.regression_metrics(I.forecasts(spark, sf), ["date"], "actual", "b", m))
 
 
+@query(""", x AS (SELECT actual AS y, greatest(b - 0.1, 0) AS p FROM forecasts WHERE actual IS NOT NULL AND b IS NOT NULL)
+SELECT count(*) AS n, round(1 - sum((y - p) ** 2) / (var_pop(y) * count(*)), 6) AS r2, round(sqrt(avg((y - p) ** 2)), 6) AS rmse, round(avg(abs(y - p)), 6) AS mae, round(avg(CASE WHEN abs(y) + abs(p) > 0 THEN 200 * abs(y - p) / (abs(y) + abs(p)) ELSE 0 END), 6) AS smape FROM x""")
+def in_sample_metrics(spark, sf):
+    return metrics.regression_metrics(I.forecasts(spark, sf).withColumn("b", F.col("b") - 0.1), (), "actual", "b", "zero", clip=True)
+
+
 @query("""SELECT round(avg(r2), 6) AS mean_r2, round(stddev_pop(r2), 6) AS std_r2, count(*) AS n_months, sum(n)::BIGINT AS n_predictions FROM (
 SELECT date, count(*) AS n, CASE WHEN var_pop(actual) > 0 THEN 1 - sum((actual - b) ** 2) / (var_pop(actual) * count(*)) END AS r2 FROM forecasts WHERE actual IS NOT NULL AND b IS NOT NULL GROUP BY 1)""")
 def backtest_summary(spark, sf):
@@ -388,12 +394,17 @@ def panel_profile(spark, sf):
     return metrics.panel_profile(I.panel(spark, sf))
 
 
-@query("""SELECT bin, n, round(overall_mean, 6) AS overall_mean FROM (SELECT least(60, floor((r - lo) / ((hi - lo) / 60)) + 1)::BIGINT AS bin, m AS overall_mean, count(*) AS n
-FROM (SELECT o_totalprice AS r FROM orders), (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi, avg(o_totalprice) AS m FROM orders) GROUP BY 1, 2)""")
+@query("""SELECT bin, coalesce(n, 0) AS n, round(overall_mean, 6) AS overall_mean FROM (SELECT unnest(range(1, 61)) AS bin, (SELECT avg(o_totalprice) FROM orders) AS overall_mean) LEFT JOIN
+(SELECT least(60, floor((o_totalprice - lo) / ((hi - lo) / 60)) + 1)::BIGINT AS bin, count(*) AS n FROM orders, (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders) GROUP BY 1) USING (bin)""")
 def residual_histogram(spark, sf):
     return metrics.residual_histogram(table(spark, sf, "orders").select(F.col("o_totalprice").alias("residual")))
 
 
+@query(None)
+def qq_points(spark, sf):
+    return metrics.qq_points(I.forecasts(spark, sf).select((F.col("actual") - F.col("b")).alias("residual")).dropna())
+
+
 @query(None)
 def qq_fit(spark, sf):
     return metrics.qq_fit(I.forecasts(spark, sf).select((F.col("actual") - F.col("b")).alias("residual")).dropna())
@@ -730,20 +741,52 @@ def gap_comparison(spark, sf):
 BASE, WITH = ["a"], ["a", "b"]
 
 
-@query(None)
+def _sweep_sql(gaps, smape: str, where: str = "true") -> str:
+    """compared(gap, ...): ridge on a, and on a and b, for every gap, by the closed form of the standardised normal equations."""
+    return f""", p AS (SELECT * FROM forecasts WHERE actual IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), origins AS (SELECT DISTINCT date AS origin FROM p), gaps AS (SELECT unnest({list(gaps)}) AS gap),
+sums AS (SELECT gap, o.origin, avg(a) AS ma, avg(b) AS mb, avg(actual) AS my, stddev_pop(a) AS sa, stddev_pop(b) AS sb, covar_pop(a, b) AS cab, covar_pop(a, actual) AS cay, covar_pop(b, actual) AS cby
+  FROM gaps, origins o JOIN p ON p.date < o.origin - to_months(gap) GROUP BY 1, 2 HAVING count(DISTINCT p.date) >= 12 AND count(*) >= 10),
+k AS (SELECT *, 1 + 1e-6 AS d, cab / sa / sb AS r, cay / sa AS xa, cby / sb AS xb FROM sums),
+f AS (SELECT *, xa / d / sa AS w1, (d * xa - r * xb) / (d * d - r * r) / sa AS wa, (d * xb - r * xa) / (d * d - r * r) / sb AS wb FROM k),
+aligned AS (SELECT gap, entity, date, actual, greatest(my + w1 * (a - ma), 0) AS pa, greatest(my + wa * (a - ma) + wb * (b - mb), 0) AS pb FROM p JOIN f ON p.date = f.origin WHERE {where}),
+m AS (SELECT gap, count(*) AS n, 1 - sum((actual - pa) ** 2) / (var_pop(actual) * count(*)) AS no_r2, 1 - sum((actual - pb) ** 2) / (var_pop(actual) * count(*)) AS with_r2, avg(abs(actual - pa)) AS no_mae, avg(abs(actual - pb)) AS with_mae,
+  avg({smape.format("pa")}) AS no_smape, avg({smape.format("pb")}) AS with_smape FROM aligned GROUP BY 1),
+paired AS (SELECT gap, date, avg((actual - pa) ** 2) - avg((actual - pb) ** 2) AS d2, avg(abs(actual - pa)) - avg(abs(actual - pb)) AS d1 FROM aligned GROUP BY 1, 2),
+c AS (SELECT gap, date, d2, d2 - avg(d2) OVER (PARTITION BY gap) AS c FROM paired), g AS (SELECT *, c * lag(c) OVER (PARTITION BY gap ORDER BY date) AS c1 FROM c),
+dm AS (SELECT gap, count(*) AS k, avg(d2) AS md, sum(c * c) / count(*) + sum(c1) / count(*) AS lrv FROM g GROUP BY 1),
+r AS (SELECT gap, d1, rank() OVER (PARTITION BY gap ORDER BY abs(d1)) + (count(*) OVER (PARTITION BY gap, abs(d1)) - 1) / 2.0 AS r FROM paired WHERE d1 <> 0),
+w AS (SELECT gap, coalesce(sum(r) FILTER (WHERE d1 > 0), 0) AS w_plus, coalesce(sum(r) FILTER (WHERE d1 < 0), 0) AS w_minus FROM r GROUP BY 1),
+compared AS (SELECT m.gap::BIGINT AS gap, n, no_r2, no_mae, no_smape, with_r2, with_mae, with_smape, with_r2 - no_r2 AS delta_r2, with_mae - no_mae AS delta_mae, with_smape - no_smape AS delta_smape,
+  k AS n_months, md / sqrt(lrv / k) * sqrt((k - 1.0) / k) AS dm_stat, w_plus::DOUBLE AS w_plus, least(w_plus, w_minus)::DOUBLE AS wilcoxon_stat FROM m JOIN dm USING (gap) JOIN w USING (gap))
+"""
+
+
+_SWEPT = "SELECT gap, n, n_months, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("no_r2", "no_mae", "no_smape", "with_r2", "with_mae", "with_smape", "delta_r2", "delta_mae", "delta_smape", "dm_stat", "w_plus", "wilcoxon_stat")) + " FROM compared"
+_DROPPED, _DAMPED = "200 * abs(actual - {0}) / nullif(abs(actual) + abs({0}), 0)", "200 * abs(actual - {0}) / (abs(actual) + abs({0}) + 1e-9)"
+
+
+def _swept(spark, sf):
+    return backtest.gap_predictions(_regression_panel(spark, sf), BASE, WITH, "actual")
+
+
+@query(_sweep_sql(range(13), _DROPPED) + _SWEPT)
 def gap_sweep(spark, sf):
-    return backtest.gap_comparison(backtest.gap_predictions(_regression_panel(spark, sf), BASE, WITH, "actual"))
+    return backtest.gap_comparison(_swept(spark, sf), p_value=False)
 
 
 @query(None)
+def gap_sweep_p_values(spark, sf):
+    return backtest.gap_comparison(_swept(spark, sf)).select("gap", "dm_p", "p_two_sided", "p_greater")
+
+
+@query(_sweep_sql(range(13), _DROPPED) + "SELECT count(*) AS n, round(corr(x, y), 6) AS rho, round(avg(delta_r2), 6) AS mean_delta_r2 FROM (SELECT *, rank() OVER (ORDER BY gap) AS x, rank() OVER (ORDER BY delta_r2) AS y FROM compared)")
 def gap_trend(spark, sf):
-    aligned = backtest.gap_predictions(_regression_panel(spark, sf), BASE, WITH, "actual")
-    return backtest.gap_trend(backtest.gap_comparison(aligned, p_value=False))
+    return backtest.gap_trend(backtest.gap_comparison(_swept(spark, sf), p_value=False), p_value=False)
 
 
-@query(None)
+@query(_sweep_sql([0], _DAMPED, "date NOT BETWEEN DATE '1998-01-01' AND DATE '1998-06-01'") + _SWEPT)
 def ablation(spark, sf):
-    return backtest.ablation(_regression_panel(spark, sf), BASE, WITH, "actual", ("1998-01-01", "1998-06-01"))
+    return backtest.ablation(_regression_panel(spark, sf), BASE, WITH, "actual", ("1998-01-01", "1998-06-01"), p_value=False)
 
 
 @query(None)
@@ -751,9 +794,15 @@ def tune(spark, sf):
     return backtest.tune(_regression_panel(spark, sf), WITH, "actual")
 
 
-@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal, c_custkey LIMIT 1")
+_PENALTIES = (1e-6, 0.01, 0.1, 1.0, 10.0)
+
+
+@query(f""", p AS (SELECT * FROM forecasts WHERE actual IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), dates AS (SELECT date, row_number() OVER (ORDER BY date) AS r, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM p)),
+parts AS (SELECT p.*, r <= floor(n * 0.78) AS training FROM p JOIN dates USING (date)), t AS (SELECT avg(a) AS ma, avg(actual) AS my, covar_pop(a, actual) / var_pop(a) AS slope FROM parts WHERE training),
+c AS (SELECT unnest(range({len(_PENALTIES)})) AS candidate, unnest({list(_PENALTIES)}::DOUBLE[]) AS penalty)
+SELECT candidate, round(penalty, 6) AS penalty, round(avg(abs(greatest(my + slope / (1 + penalty) * (a - ma), 0) - actual)), 6) AS mae FROM c, t, parts WHERE NOT training GROUP BY 1, 2 ORDER BY avg(abs(greatest(my + slope / (1 + penalty) * (a - ma), 0) - actual)), 1 LIMIT 1""")
 def pick_candidate(spark, sf):
-    return backtest.pick_candidate(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey")
+    return backtest.pick_candidate(backtest.score_penalties(_regression_panel(spark, sf), ["a"], "actual", _PENALTIES))
 
 
 @query(None)

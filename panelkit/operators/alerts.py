@@ -111,6 +111,17 @@ def with_interval(rows: DataFrame, mae: float, predicted: str = "predicted", pop
     })
 
 
+def attach_forecast(history: DataFrame, forecast: DataFrame, count: str = "predicted_applications") -> DataFrame:
+    """history with the forecast of the entity's next month: next_month, next_count and shown_next ('No data' without one).
+
+    forecast has one row for each entity, with its date; entities are matched by their cleaned names.
+    """
+    key = strip_suffix(F.col("entity"))
+    ahead = forecast.select(key.alias("__key"), F.col("date").alias("next_month"), F.col(count).alias("next_count"))
+    joined = history.withColumn("__key", key).join(ahead, "__key", "left").drop("__key")
+    return joined.withColumn("shown_next", F.coalesce(F.format_number("next_count", 0), F.lit("No data")))
+
+
 def display_columns(rows: DataFrame, dimension: DataFrame, names: Mapping[str, str], count: str = "apps") -> DataFrame:
     """rows with what is shown: the count with thousands commas or 'No data', the label's name, and a hover text.
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions.columns import percent
+from panelkit.functions.columns import percent, to_number
 from panelkit.operators.clean import null_shares
 
 ISSUE = ("severity", "category", "check", "entity", "detail", "value")
@@ -106,6 +106,12 @@ def audit_suppressed(raw: DataFrame, count: str = "count", mark: str = "*") -> D
     return per.where("n_suppressed > 0").withColumn("pct", percent(F.col("n_suppressed"), F.col("n_rows"))).crossJoin(F.broadcast(overall))
 
 
+def audit_unparseable(raw: DataFrame, column: str) -> DataFrame:
+    """(entity, text) of rows whose text is there but is no number."""
+    text = F.trim(column)
+    return raw.where((F.length(text) > 0) & to_number(F.col(column)).isNull()).select("entity", text.alias("text"))
+
+
 def entities_per_market(mapping: DataFrame) -> DataFrame:
     return mapping.groupBy("market").agg(F.count_distinct("entity").alias("n_entities"))
 
@@ -119,8 +125,10 @@ def issues(found: DataFrame, severity: str | Column, category: str, check: str,
     )
 
 
-def audit_all(panel: DataFrame, mapping: DataFrame, value: str = "apps", rate: str = "rate", constant: str = "population") -> DataFrame:
-    """All findings about a panel as one issue table."""
+def audit_all(
+    panel: DataFrame, mapping: DataFrame, value: str = "apps", rate: str = "rate", constant: str = "population", raw: DataFrame | None = None, dimension: DataFrame | None = None, number: str = "income"
+) -> DataFrame:
+    """All findings about a panel as one issue table; raw(entity, count) adds suppressed counts, dimension(entity, <number> as text) those that can't be read."""
     missing = audit_missing(panel, [value, rate, constant]).where("n_null > 0")
     parts = [
         issues(missing, F.col("severity"), "missing", "null_share", "column", F.concat(F.col("pct"), F.lit(" % null")), "n_null"),
@@ -132,6 +140,16 @@ def audit_all(panel: DataFrame, mapping: DataFrame, value: str = "apps", rate: s
         issues(audit_outliers_z(panel, rate), "WARNING", "outliers", "rate_zscore", "entity", F.date_format("date", "yyyy-MM-dd"), F.bround("value", 6)),
         issues(audit_values(panel, value, constant), "ERROR", "values", "invalid", "entity", F.col("kind"), "n"),
     ]
+    copies = duplicate_rows(panel.select("entity", "date", value, rate, constant))
+    parts += [
+        issues(copies, "ERROR", "duplicates", "equal_rows", "entity", F.date_format("date", "yyyy-MM-dd"), "n_copies"),
+        issues(audit_incomplete(panel, [value, rate]), "WARNING", "missing", "incomplete_entity", "entity", F.concat(F.col("pct"), F.lit(" % of cells null")), "n_null"),
+    ]
+    if raw is not None:
+        found = audit_suppressed(raw)
+        parts.append(issues(found, "WARNING", "raw_sources", "suppressed", "entity", F.concat(F.col("n_suppressed"), F.lit(" suppressed of "), F.col("n_rows")), "n_suppressed"))
+    if dimension is not None:
+        parts.append(issues(audit_unparseable(dimension, number), "WARNING", "raw_sources", "unparseable", "entity", F.col("text"), F.lit(None)))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)

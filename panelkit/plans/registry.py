@@ -5,8 +5,12 @@ Dates come out as DATE, counts as BIGINT, and floating numbers rounded to six di
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -15,7 +19,7 @@ from panelkit.functions import columns as C
 from panelkit.operators import alerts, audit, backtest, clean, features, forecast, metrics, signals, stattests
 from panelkit.operators import panel as panels
 from panelkit.plans import inputs as I
-from panelkit.session import table, written
+from panelkit.session import checkpoint_dir, table, written
 from panelkit.sources import readers, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -136,6 +140,109 @@ def union_layouts(spark, sf):
     return readers.union_layouts([(new.unionByName(total), readers.Layout(0, 1, 2)), (overlap, readers.Layout(0, 1, 2)), (old, readers.Layout(2, 1, 0, "yyyy-MM-dd"))])
 
 
+# Files: rows of the driver tables go to a new folder beside the checkpoints and are read back.
+
+
+def _folder(spark) -> str:
+    return f"{checkpoint_dir(spark)}/files/{uuid.uuid4().hex}"
+
+
+def _by_market(rows: DataFrame, folder: str, order: str = "date") -> None:
+    """Files folder/market=<market>/*.csv without header, in order."""
+    rows.repartition("market").sortWithinPartitions(order).drop(*([order] if order != "date" else [])).write.partitionBy("market").csv(folder)
+
+
+@query("SELECT keyword, market, date, round(value, 6) AS value FROM weekly WHERE keyword <> 'R'")
+def read_signal_chunks(spark, sf):
+    root = _folder(spark)
+    for k in I.KEYWORDS:
+        one = I.weekly(spark, sf).where(F.col("keyword") == k).select("market", F.date_format("date", "yyyy-MM-dd").alias("Time"), F.col("value").cast("string").alias("some header"))
+        one.repartition("market").write.option("header", True).partitionBy("market").csv(f"{root}/Signals {k}+ 2017")
+    found = readers.read_signal_chunks(spark, root, {f"Signals {k}+ 2017": k for k in I.KEYWORDS if k != "R"})  # a folder that is not mapped is not read
+    return found.select("keyword", F.regexp_replace("market", "^market=", "").alias("market"), "date", "value")
+
+
+def _exports(spark, sf, keyword: str, root: str) -> None:
+    """Exports of a keyword: two lines of metadata, a header, data; a file for each market."""
+    rows = I.weekly(spark, sf).where(F.col("keyword") == keyword)
+    head = rows.select("market").distinct().select("market", F.inline(F.array(*[F.struct(F.lit(k).alias("at"), F.lit(a).alias("c"), F.lit(b).alias("v")) for k, (a, b) in enumerate([("Category: All", ""), ("x", ""), ("Time", "y")])])))
+    data = rows.select("market", (F.datediff("date", F.lit("1970-01-01")) + 10).alias("at"), F.date_format("date", "yyyy-MM-dd").alias("c"), F.col("value").cast("string").alias("v"))
+    _by_market(head.unionByName(data), f"{root}/{keyword}", "at")
+
+
+@query("SELECT date, round(value, 6) AS value FROM weekly WHERE keyword = 'A'")
+def read_export_csv(spark, sf):
+    _exports(spark, sf, "A", root := _folder(spark))
+    return readers.read_export_csv(spark, f"{root}/A/*/*.csv").select("date", "value")
+
+
+@query("SELECT keyword, date, round(value, 6) AS value FROM weekly WHERE keyword IN ('A', 'N')")
+def read_prediction_signals(spark, sf):
+    root = _folder(spark)
+    for k in ("A", "N"):
+        _exports(spark, sf, k, root)
+    return readers.read_prediction_signals(spark, root, {"A/*": "A", "N/*": "N"}).select("keyword", "date", "value")
+
+
+_PARSED = """SELECT concat(entity, ' County') AS entity, date, (date - INTERVAL 1 MONTH)::DATE AS trend_date, CASE WHEN n_orders >= 4 THEN (n_orders * 1234)::DOUBLE END AS apps FROM order_counts"""
+
+
+@query(_PARSED)
+def read_counts(spark, sf):
+    _raw_counts(spark, sf).write.csv(path := _folder(spark))
+    return readers.read_counts(spark, path)
+
+
+@query(_PARSED)
+def read_or_empty(spark, sf):
+    missing = readers.read_counts(spark, f"{_folder(spark)}/missing")
+    return read_counts(spark, sf).unionByName(missing)
+
+
+@query("SELECT entity, population::DOUBLE AS people, round(floor(income), 6) AS income FROM population")
+def read_dimension(spark, sf):
+    rows = I.population(spark, sf).select(F.concat(F.lit(" "), F.col("entity")).alias(" County "), F.format_number("population", 0).alias("Population "), F.format_number(F.floor("income"), 0).alias("Median Income"))
+    rows.write.option("header", True).csv(path := _folder(spark))
+    return readers.read_dimension(spark, path, {"County": "entity", "Population": "people", "Median Income": "income"}, ["people", "income"])
+
+
+@query("SELECT entity, date, round(rate, 6) AS rate FROM rates")
+def read_monthly_rate(spark, sf):
+    rows = I.rates(spark, sf).select(F.col("entity").alias("county"), F.date_format(F.date_add("date", 3), "yyyy-MM-dd").alias("date"), F.col("rate").alias("unemployment_rate"))
+    rows.write.option("header", True).csv(path := _folder(spark))
+    return readers.read_monthly_rate(spark, path)
+
+
+@query("SELECT entity, date, apps, round(rate, 6) AS rate, year(date) AS year FROM panel")
+def write_table(spark, sf):
+    sinks.write_table(I.panel(spark, sf).select("entity", "date", "apps", "rate"), path := _folder(spark))
+    return spark.read.parquet(path)
+
+
+@query("SELECT market, date, round(value, 6) AS value FROM weekly WHERE keyword = 'A'")
+def write_series(spark, sf):
+    sinks.write_series(I.weekly(spark, sf).where("keyword = 'A'"), path := _folder(spark))
+    return spark.read.schema("date date, value double, market string").csv(path).select("market", "date", "value")
+
+
+@query("""SELECT keyword, market, round(train_avg, 6) AS train_avg FROM (SELECT keyword, market, avg(value) AS train_avg FROM weekly GROUP BY 1, 2)""")
+def write_params_json(spark, sf):
+    params = I.weekly(spark, sf).groupBy("keyword", "market").agg(F.avg("value").alias("train_avg"))
+    sinks.write_params_json(params, path := _folder(spark))
+    return sinks.read_params_json(spark, path)
+
+
+@query(""", p AS (SELECT * FROM forecasts WHERE actual IS NOT NULL AND a IS NOT NULL), f AS (SELECT regr_slope(actual, a) AS w, regr_intercept(actual, a) AS c, min(a) AS low, max(a) AS high FROM p)
+SELECT entity, date, round(greatest(c + w * a, 0), 4) AS predicted, round(low, 6) AS low, round(high, 6) AS high, 0.25 AS mae FROM p, f""")
+def model_bundle(spark, sf):
+    rows = I.forecasts(spark, sf).dropna(subset=["actual", "a"])
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features"), LinearRegression(labelCol="actual", solver="normal")]).fit(rows)
+    sinks.save_model_bundle(model, path := _folder(spark), ["a"], features.feature_ranges(rows, ["a"]), 0.25, {"solver": "normal"})
+    loaded, meta, ranges = sinks.load_model_bundle(spark, path)
+    scored = backtest.predict(loaded, rows, meta["features"]).crossJoin(F.broadcast(ranges.select(F.col("min").alias("low"), F.col("max").alias("high"))))
+    return scored.select("entity", "date", F.round("predicted", 4).alias("predicted"), "low", "high", F.lit(meta["mae"]).alias("mae"))
+
+
 @query("""SELECT entity, date, apps FROM counts WHERE entity NOT IN ('NATION_3', 'NATION_7')""")
 def drop_totals(spark, sf):
     return readers.drop_totals(I.counts(spark, sf).unionByName(I.counts(spark, sf).withColumn("entity", F.lit(" "))), "entity", ("NATION_3", "NATION_7"))
@@ -666,18 +773,32 @@ found AS (
   UNION ALL SELECT 'WARNING', 'coverage', 'missing_months', entity, (e - count(DISTINCT date))::VARCHAR || ' months missing', (e - count(DISTINCT date))::DOUBLE FROM panel, e GROUP BY entity, e HAVING e > count(DISTINCT date)
   UNION ALL SELECT 'WARNING', 'coverage', 'date_gap', entity, (date - p)::VARCHAR || ' days before ' || strftime(date, '%Y-%m-%d'), (date - p)::DOUBLE FROM (SELECT entity, date, lag(date) OVER (PARTITION BY entity ORDER BY date) AS p FROM panel) WHERE date - p NOT BETWEEN 28 AND 32
   UNION ALL SELECT 'WARNING', 'outliers', 'applications_iqr', entity, strftime(date, '%Y-%m-%d'), apps FROM panel JOIN q USING (entity) WHERE n >= 4 AND (apps < q1 - 3 * (q3 - q1) OR apps > q3 + 3 * (q3 - q1))
-  UNION ALL SELECT 'WARNING', 'outliers', 'rate_zscore', entity, strftime(date, '%Y-%m-%d'), round_even(rate, 6) FROM panel, z WHERE abs((rate - m) / s) > 4)
+  UNION ALL SELECT 'WARNING', 'outliers', 'rate_zscore', entity, strftime(date, '%Y-%m-%d'), round_even(rate, 6) FROM panel, z WHERE abs((rate - m) / s) > 4
+  UNION ALL SELECT 'WARNING', 'missing', 'incomplete_entity', entity, round_even(100.0 * n / k, 2)::VARCHAR || ' % of cells null', n::DOUBLE FROM (SELECT entity, count(*) FILTER (WHERE apps IS NULL) + count(*) FILTER (WHERE rate IS NULL) AS n, 2 * count(*) AS k FROM panel GROUP BY 1) WHERE n > 0
+  UNION ALL SELECT 'WARNING', 'raw_sources', 'suppressed', ' ' || entity || ' County', n || ' suppressed of ' || k, n::DOUBLE FROM (SELECT entity, count(*) FILTER (WHERE apps IS NULL) AS n, count(*) AS k FROM counts GROUP BY 1) WHERE n > 0
+  UNION ALL SELECT 'WARNING', 'raw_sources', 'unparseable', entity, 'about ' || population, NULL FROM population WHERE population % 7 = 0)
 """
 
 
 @query(ISSUES + "SELECT * FROM found")
 def audit_all(spark, sf):
-    return audit.audit_all(I.panel(spark, sf), I.markets(spark, sf))
+    return audit.audit_all(I.panel(spark, sf), I.markets(spark, sf), raw=_raw_counts(spark, sf), dimension=_raw_dimension(spark, sf))
+
+
+def _raw_dimension(spark, sf):
+    """Dimensions as text, some of which are no numbers."""
+    text = F.when(F.col("population") % 7 == 0, F.concat(F.lit("about "), F.col("population"))).otherwise(F.format_number("population", 0))
+    return I.population(spark, sf).select("entity", text.alias("income"))
+
+
+@query("SELECT entity, 'about ' || population AS text FROM population WHERE population % 7 = 0")
+def audit_unparseable(spark, sf):
+    return audit.audit_unparseable(_raw_dimension(spark, sf), "income")
 
 
 @query(ISSUES + "SELECT severity, category, count(*) AS n FROM found GROUP BY 1, 2")
 def audit_summary(spark, sf):
-    return audit.audit_summary(audit.audit_all(I.panel(spark, sf), I.markets(spark, sf)))
+    return audit.audit_summary(audit_all(spark, sf))
 
 
 # --- back-tests ---------------------------------------------------------------------------------------------------
@@ -863,6 +984,14 @@ def forecast_rows(spark, sf):
     return _forecast_rows(spark, sf).drop("date", "month", "quarter", "month_sin", "month_cos", "population", "income")
 
 
+@query("""SELECT h.entity, h.date, h.apps, DATE '2001-07-01' AS next_month, f.n AS next_count, CASE WHEN f.n IS NULL THEN 'No data' ELSE format('{:,}', f.n) END AS shown_next FROM counts h
+LEFT JOIN (SELECT entity, (1000 * n_orders)::BIGINT AS n FROM order_counts WHERE date = DATE '2001-07-01') f USING (entity)""")
+def attach_forecast(spark, sf):
+    ahead = I.order_counts(spark, sf).where("date = date'2001-07-01'").select(F.concat("entity", F.lit(" County")).alias("entity"), "date", (F.col("n_orders") * 1000).alias("predicted_applications"))
+    shown = alerts.attach_forecast(I.counts(spark, sf), ahead).select("entity", "date", "apps", "next_count", "shown_next")
+    return shown.withColumn("next_month", F.lit("2001-07-01").cast("date"))
+
+
 @query(None)
 def forecast_next(spark, sf):
     rows = _training_rows(spark, sf)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from panelkit.functions import columns, numeric
-from panelkit.operators import alerts, audit, backtest, clean, features, metrics, panel, signals, stattests
+from panelkit.operators import alerts, audit, backtest, clean, features, metrics, panel, ranks, signals, stattests
 from panelkit.plans import registry
 
 
@@ -261,3 +261,30 @@ def test_qq_fit_uses_every_residual(spark):
         slope = np.cov(z, q)[0, 1] / np.var(z, ddof=1)
         got = metrics.qq_fit(spark.createDataFrame([(float(v),) for v in x] + [(None,)], "residual double").repartition(5)).first()
         assert (got.slope, got.intercept, got.r) == pytest.approx((slope, q.mean() - slope * z.mean(), np.corrcoef(z, q)[0, 1]), rel=1e-9)
+
+
+def test_exact_percentiles_of_a_column(spark):
+    rng = np.random.default_rng(3)
+    for values in ([5.0], [1.0, 2.0, 4.0, 9.0], rng.integers(0, 50, 999).astype(float).tolist()):
+        rows = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double")
+        got = ranks.percentiles(rows, "x", [0.0, 0.2, 0.85, 1.0]).first()["found"]
+        assert got == pytest.approx(np.quantile(values, [0, 0.2, 0.85, 1]).tolist())
+        assert sorted((r.i, r.q, r.n) for r in ranks.numbered(rows, "x").collect()) == [(k + 1, v, len(values)) for k, v in enumerate(sorted(values))]
+    assert ranks.percentiles(spark.createDataFrame([], "x double"), "x", [0.5]).first()["found"] is None
+
+
+def test_ties_of_the_latest_rows(spark):
+    rows = spark.createDataFrame([("a", 1, 5), ("a", 2, 9), ("a", 2, 3), ("a", 2, 7), ("b", None, 1)], "entity string, date int, x int")
+    assert sorted(map(tuple, audit.latest_n(rows, 2).collect())) == [("a", 2, 3), ("a", 2, 7), ("b", None, 1)]
+
+
+def test_search_over_boosted_trees(spark):
+    rows = spark.createDataFrame([(f"e{k % 5}", dt.date(2020 + k // 60, 1 + k // 5 % 12, 1), float(k % 7), float(k % 3), float(k % 7) * 2 + 1) for k in range(180)], "entity string, date date, a double, b double, y double")
+    found = backtest.tune_regressor(rows, ["a", "b"], "y", n=2, steps=(1.0,)).collect()
+    assert len(found) == 3 and found[0].mae == min(r.mae for r in found) and all(3 <= r.depth <= 9 for r in found)
+
+
+def test_forecast_beside_history(spark):
+    history = spark.createDataFrame([("Alpine County", 1.0), ("Kern", 2.0)], "entity string, apps double")
+    ahead = spark.createDataFrame([("Alpine", dt.date(2025, 1, 1), 1234)], "entity string, date date, predicted_applications long")
+    assert sorted((r.entity, r.next_count, r.shown_next) for r in alerts.attach_forecast(history, ahead).collect()) == [("Alpine County", 1234, "1,234"), ("Kern", None, "No data")]

@@ -162,6 +162,6 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = written(fingerprints(docs, id_col, text_col, shingle))
     rooted = join_facts(rows.where("doc_id is not null"), _rooted(rows, distance).drop("component_id"), "fp", "n")
     kept = rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_id")).alias("__kept")).select("__kept.*").toDF("__doc", "__text_id")
-    same = (F.col(id_col).cast("long") == F.col("__doc")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__text_id"))
-    named = docs.where(F.col(id_col).isNotNull()).join(kept, same, "left_semi").dropDuplicates([id_col, text_col])
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    named = docs.where(F.col(id_col).isNotNull()).withColumns({"__doc": F.col(id_col).cast("long"), "__text_id": F.xxhash64(F.col(text_col).cast("string"))})
+    row = ["__doc", "__text_id"]  # the same in the join and after it, so that the texts are shuffled once
+    return named.join(kept, row, "left_semi").dropDuplicates(row).drop(*row).unionByName(docs.where(F.col(id_col).isNull()))

@@ -97,7 +97,7 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the columns kept_text, kept_lines_before and kept_lines_dropped; kept_text is never null."""
+    """docs with the columns kept_text, kept_lines_before, kept_lines_dropped and kept_bitmap (null where all lines stay); kept_text is never null."""
     maps = bitmaps.select(
         F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), F.col("n_dropped").alias("__dropped"), F.col("keep").alias("__keep")
     )
@@ -120,7 +120,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
         .withColumn("kept_text", F.when(F.col("__keep").isNull(), text).otherwise(cut))
         .withColumn("kept_lines_before", F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
         .withColumn("kept_lines_dropped", F.coalesce("__dropped", F.lit(0)).cast("long"))
-        .drop("__doc", "__hash", "__dropped", "__keep")
+        .withColumnRenamed("__keep", "kept_bitmap")
+        .drop("__doc", "__hash", "__dropped")
     )
 
 

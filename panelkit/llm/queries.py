@@ -19,6 +19,8 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("kept_lines_before").cast("long").alias("n_lines"),
         F.col("kept_lines_dropped").alias("n_dropped"),
         F.sha2("kept_text", 256).alias("kept_sha256"),
+        # the bitmap as text: word:bits for every 64 lines that lose one
+        F.coalesce(F.array_join(F.transform("kept_bitmap", lambda x: F.concat_ws(":", x["word"].cast("string"), F.lower(F.lpad(F.hex(x["bits"]), 16, "0")))), ","), F.lit("")).alias("keep"),
     )
 
 
@@ -35,10 +37,13 @@ WITH lines AS (
 marked AS (
   SELECT k.doc_id, k.pos, k.line, coalesce(length(k.key) >= 10 AND k.doc_id > f.first_doc, false) AS dropped
   FROM keyed k LEFT JOIN firsts f ON k.key = f.key
-)
+), words AS (
+  SELECT doc_id, pos // 64 AS word, 18446744073709551615::UBIGINT - bit_or(1::UBIGINT << (pos % 64)::UBIGINT) AS bits FROM marked WHERE dropped GROUP BY 1, 2
+), bitmaps AS (SELECT doc_id, string_agg(word || ':' || lpad(lower(to_hex(bits)), 16, '0'), ',' ORDER BY word) AS keep FROM words GROUP BY 1)
 SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (WHERE dropped)::BIGINT AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM marked GROUP BY doc_id
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256,
+       coalesce(any_value(keep), '') AS keep
+FROM marked LEFT JOIN bitmaps USING (doc_id) GROUP BY doc_id
 """
 
 

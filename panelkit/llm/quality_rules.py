@@ -16,18 +16,21 @@ from panelkit.llm.text import BLANKS, documents_of, let
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
-#: Frequent words of prose, in small letters, for the stop-word ratio.
+#: Frequent words of prose, in small letters, for the stop-word ratio of texts in Latin script.
 STOP_WORDS = {
     "en": ["the", "of", "and", "to", "in", "is", "that", "for", "was", "with", "as", "on", "are", "this", "be", "by", "from", "it", "at"],
     "fr": ["le", "la", "les", "de", "des", "du", "et", "en", "un", "une", "que", "qui", "dans", "pour", "par", "sur", "est", "au"],
     "de": ["der", "die", "das", "und", "in", "den", "von", "zu", "mit", "sich", "des", "auf", "ist", "im", "dem", "nicht", "ein", "eine"],
     "es": ["el", "la", "los", "las", "de", "del", "y", "en", "que", "un", "una", "por", "con", "para", "se", "su", "al", "es", "no"],
+    "it": ["il", "lo", "la", "i", "gli", "le", "di", "e", "che", "un", "una", "in", "per", "con", "non", "del", "della", "si", "è", "sono"],
+    "pt": ["o", "a", "os", "as", "de", "do", "da", "e", "que", "em", "um", "uma", "para", "com", "não", "no", "na", "se", "por", "é"],
+    "nl": ["de", "het", "een", "van", "en", "in", "is", "dat", "op", "te", "met", "voor", "niet", "zijn", "aan", "er", "om", "ook"],
 }
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A text passes if low <= numerator / denominator <= high; a text with denominator 0 or under `least` passes."""
+    """A text passes if low <= numerator / denominator <= high; a text with denominator 0 or under `least`, or with a null numerator, passes."""
 
     numerator: str
     denominator: str
@@ -41,7 +44,7 @@ THRESHOLDS = (
     Rule("word_chars", "n_words", low=2.0, high=16.0),
     Rule("n_symbols", "n_words", high=0.25),
     Rule("n_symbols", "word_chars", high=0.1),
-    Rule("n_stop_words", "n_words", low=0.03, least=40),
+    Rule("n_stop_words", "n_words", low=0.03, least=40),  # null, and so passed, where most letters are not Latin
     Rule("n_dup_lines", "n_word_lines", high=0.5, least=4),
 )
 
@@ -74,7 +77,8 @@ def _repeat_words(words: Column) -> Column:
 
 
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and the counts that the rules are made of; null and empty texts have zeros everywhere.
+    """doc_id and the counts that the rules are made of; null and empty texts have zeros everywhere, n_stop_words is null
+    for texts with more than one byte and a half a character.
 
     Each row is measured by itself: repeated rows and null ids come out as they went in.
     """
@@ -83,6 +87,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = rows.withColumn("words", words)
     lines = F.filter(F.split("text", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     stop = sorted({w for ws in STOP_WORDS.values() for w in ws})
+    longest = max(map(len, stop)) + 2  # with a comma or two after it
     counted = rows.withColumn("lines", lines).select(
         "doc_id",
         _count(F.col("words")).alias("n_words"),
@@ -90,7 +95,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         (F.length("text") - F.length(F.regexp_replace("text", f"[{SYMBOLS}]+", ""))).cast("long").alias("n_symbols"),
         (_count(F.col("lines")) - _count(F.array_distinct("lines"))).alias("n_dup_lines"),
         _repeat_words(F.col("words")).alias("n_repeat_words"),
-        _count(F.filter("words", lambda w: F.rtrim(w, F.lit(".,")).isin(stop))).alias("n_stop_words"),
+        F.when(F.octet_length("text") < 1.5 * F.length("text"), _count(F.filter("words", lambda w: (F.length(w) <= longest) & F.lower(F.rtrim(w, F.lit(".,"))).isin(stop)))).alias("n_stop_words"),
         _count(F.col("lines")).alias("n_word_lines"),
     )
     return counted

@@ -104,9 +104,10 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _passes(r: quality_rules.Rule) -> str:
     """A rule as SQL over the columns of `counted`."""
     bounds = [f"{r.numerator} / {r.denominator} {sign} {x!r}" for sign, x in ((">=", r.low), ("<=", r.high)) if abs(x) != float("inf")]
-    return f"({r.denominator} < {r.least} OR {r.denominator} = 0 OR ({' AND '.join(bounds)}))"
+    return f"coalesce({r.denominator} < {r.least} OR {r.denominator} = 0 OR ({' AND '.join(bounds)}), true)"
 
 
+_LONGEST = 2 + max(len(w) for ws in quality_rules.STOP_WORDS.values() for w in ws)
 _STOP = ", ".join(f"'{w}'" for w in sorted({w for ws in quality_rules.STOP_WORDS.values() for w in ws}))
 OP7_SQL = rf"""
 WITH split AS (
@@ -121,7 +122,7 @@ WITH split AS (
 ), counted AS (
   SELECT doc_id, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_word_lines,
-         len(list_filter(ws, lambda x: rtrim(x, '.,') IN ({_STOP}))) AS n_stop_words
+         CASE WHEN octet_length(encode(t)) < 1.5 * length(t) THEN len(list_filter(ws, lambda x: length(x) <= {_LONGEST} AND lower(rtrim(x, '.,')) IN ({_STOP}))) END AS n_stop_words
   FROM split LEFT JOIN covered USING (doc_id)
 ), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {" AND ".join(map(_passes, quality_rules.THRESHOLDS))} AS kept

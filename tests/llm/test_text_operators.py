@@ -67,6 +67,15 @@ def test_quality_rules(spark, rows):
     assert quality_rules.apply_rules(frame(spark, [])).count() == 0
 
 
+def test_stop_words_of_other_languages(spark):
+    known = {"it": "il gatto e la volpe sono " * 10, "EN": "The Cat AND The Dog Were IN " * 10, "ru": "кошка собака лес река гора поле " * 10, "junk": "xqzv qqrt zzzk vvbn ppll wwrr " * 10}
+    rows = [(k, " ".join(f"{w}{i}" if i % 7 and name in ("ru", "junk") else w for i, w in enumerate(t.split()))) for k, (name, t) in enumerate(known.items())]
+    got = quality_rules.measures(frame(spark, rows)).orderBy("doc_id").collect()
+    passed = quality_rules.measures(frame(spark, rows)).orderBy("doc_id").select(quality_rules.verdict([r for r in quality_rules.THRESHOLDS if r.numerator == "n_stop_words"]).alias("ok")).collect()
+    assert got[0].n_stop_words >= 20 and got[1].n_stop_words >= 30 and got[2].n_stop_words is None and got[3].n_stop_words == 0
+    assert [r.ok for r in passed] == [True, True, True, False]
+
+
 def test_quality_rules_run_without_user_functions(spark, rows):
     plan = quality_rules.apply_rules(frame(spark, rows))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Exchange" not in plan

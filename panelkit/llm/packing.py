@@ -20,6 +20,8 @@ from panelkit.llm.text import documents_of
 MAX_TOKENS, END_ID = 2048, 1
 #: Words that a worker remembers the ids of; beyond that it starts anew, which bounds its memory.
 REMEMBERED = 500_000
+#: Longer words are not remembered, so that the memory is bounded in bytes as well.
+LONGEST = 64
 #: Bytes of ids that are sent on at once.
 SENT = 8_000_000
 
@@ -77,7 +79,8 @@ class WordTokenizer:
         return new
 
     def _remember(self, new: dict[str, bytes]) -> None:
-        """Keep the new words within the bound; the memory starts anew where they do not fit."""
+        """Keep the new words within the bounds; the memory starts anew where they do not fit."""
+        new = {w: ids for w, ids in new.items() if len(w) <= LONGEST}
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory.clear()
         if len(new) <= REMEMBERED:

@@ -190,7 +190,11 @@ class Scorer:
         np.maximum.at(best, np.array(owners, np.intp), self.machine.values(words))
         self.memory.update(zip(new, best.tolist()))
         get = self.memory.__getitem__
-        return np.array([self.machine.measures(np.fromiter(map(get, bag), float, len(bag))) for bag in bags]).reshape(-1, TOP + 2)
+        found = np.array([self.machine.measures(np.fromiter(map(get, bag), float, len(bag))) for bag in bags]).reshape(-1, TOP + 2)
+        for c in new:
+            if len(c) > 2 * LONGEST:  # too long to be worth the memory
+                del self.memory[c]
+        return found
 
 
 def _in_batches(scorer: Scorer, texts: list[str | None], size: int = 200) -> np.ndarray:

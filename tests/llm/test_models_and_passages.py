@@ -39,6 +39,65 @@ def test_quality_on_held_out_documents(spark):
     assert (known.predicted == known.quality).mean() > 0.97
 
 
+def plain_quality(docs, labels, order):
+    """{doc_id: score}: the risk written out row by row and minimised by the same steps; docs {id: text}, labels {id: 0 or 1}, order: ids by hash."""
+    learnt = [d for d in order if not brute.held_out(d, 5, 0)]
+    x = {d: np.array(quality_classifier.features(t)) for d, t in docs.items()}
+    positives, unlabelled = [x[d] for d in learnt if labels.get(d) == 1], [x[d] for d in learnt]
+
+    def adam(base, gradient, steps):
+        mean, scale = np.mean(base, 0), np.std(base, 0) + 1e-6
+        of = lambda v: np.r_[z := np.clip((v - mean) / scale, -8, 8), z * z / 8, 1.0]
+        w = m = v = np.zeros(2 * len(mean) + 1)
+        for k in range(1, steps + 1):
+            g = gradient(w, of)
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.05 * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        return lambda t: 1 / (1 + np.exp(-np.clip(of(t) @ w, -30, 30)))
+
+    def parts(p, u, of):
+        return np.array([of(t) for t in p]), np.array([of(t) for t in u])
+
+    def telling(w, of, held={}):  # noqa: B006
+        p, u = held.setdefault("x", parts(positives[::2], unlabelled[::2], of))
+        return np.mean([(1 / (1 + np.exp(-t @ w)) - 1) * t for t in p], 0) + np.mean([t / (1 + np.exp(-t @ w)) for t in u], 0) + 1e-2 * w
+
+    tells = adam(positives[::2] + unlabelled[::2], telling, 200)
+    p, u = ([tells(t) for t in held[1::2]] for held in (positives, unlabelled))
+    margin = sum((np.log(4 / 0.1) / (2 * len(held))) ** 0.5 for held in (p, u))
+    _, prior = min(((sum(b >= c for b in u) / len(u) + margin) / (sum(a >= c for a in p) / len(p)), (sum(b >= c for b in u) / len(u)) / (sum(a >= c for a in p) / len(p))) for c in sorted(p))
+
+    def risk(w, of, held={}):  # noqa: B006
+        p, u = held.setdefault("x", parts(positives, unlabelled, of))
+        loss = lambda t: np.logaddexp(0, t)
+        bad = np.mean([loss(t @ w) for t in u]) - prior * np.mean([loss(t @ w) for t in p])
+        on_bad = np.mean([t / (1 + np.exp(-t @ w)) for t in u], 0) - prior * np.mean([t / (1 + np.exp(-t @ w)) for t in p], 0)
+        on_good = prior * np.mean([(1 / (1 + np.exp(-t @ w)) - 1) * t for t in p], 0)
+        return (on_good + on_bad if bad >= 0 else -on_bad) + 1e-3 * w
+
+    score = adam(positives + unlabelled, risk, 400)
+    return {d: score(t) for d, t in x.items()}, prior
+
+
+def test_quality_query_against_a_plain_version(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    order = [r.doc_id for r in docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    want, prior = plain_quality({r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.quality for r in labels.collect()}, order)
+    got = queries.QUERIES["op3_quality_classifier"](spark, SMALL).collect()
+    assert len(got) == len(want) and 0.5 < prior < 1
+    assert all(r.score == pytest.approx(want[r.doc_id], abs=1e-4) and r.predicted == (r.score >= 0.3) for r in got)
+
+
+def test_prior_from_positives_and_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    for share in (0.3, 0.6, 0.9):
+        good, bad = rng.normal(0, 1, (4000, 2)), rng.normal(3, 1, (4000, 2))
+        n = int(2000 * share)
+        found = quality_classifier.estimate_prior(good[:2000], rng.permutation(np.r_[good[2000 : 2000 + n], bad[: 2000 - n]]))
+        assert abs(found - share) < 0.06
+    assert quality_classifier.estimate_prior(good[:5], bad) == quality_classifier.UNKNOWN
+
+
 def test_held_out_labels_change_nothing(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     for module, column, fold in ((quality_classifier, "quality", (5, 0)), (toxicity, "toxic", (4, 2))):

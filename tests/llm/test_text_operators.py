@@ -256,6 +256,14 @@ def test_packing_is_a_round_trip(spark, rows):
     assert packing.piece_report(packing.pack_documents(frame(spark, given), path)).where(f"doc_id = {p.doc_id} and start = {p.start}").first().ids_crc32 == zlib.crc32(p.ids)
 
 
+def test_packing_of_repeats_empty_tables_and_clashing_columns(spark):
+    path = queries.tokenizer_path()
+    df = frame(spark, [(1, "a b c"), (1, "a b c"), (None, None)]).withColumns({"ids": F.lit(1), "start": F.lit(2), "sequence_id": F.lit("x")})
+    pieces = packing.piece_report(packing.pack_documents(df, path)).collect()
+    assert sorted((str(p.doc_id), p.doc_tokens) for p in pieces if p.start == 0) == [("1", 4), ("1", 4), ("None", 1)]
+    assert packing.pack_documents(df.limit(0), path).count() == 0
+
+
 def test_word_memory_is_bounded(monkeypatch):
     monkeypatch.setattr(packing, "REMEMBERED", 50)
     t = packing.WordTokenizer(queries.tokenizer_path())
@@ -288,8 +296,9 @@ def test_sharding(spark, rows):
 
 
 def test_sharding_of_nulls_and_repeats(spark):
-    df = frame(spark, [(None, None)] * 3 + [(1, "a")] * 4 + [(1, "b")]).withColumn("shard", F.lit("x"))
+    df = frame(spark, [(None, None)] * 3 + [(1, "a")] * 4 + [(1, "b" * 3_000_000)]).withColumn("shard", F.lit("x"))
     report = sharding.shard_report(df, 8).collect()
+    assert max(r["size"] for r in report) == 3_000_001
     assert len(report) == 8 and len({r.shard for r in report if r.doc_id is None}) == 1 and len({r.shard for r in report if r.doc_id == 1}) == 1
     for k in {r.shard for r in report}:
         s = sorted(r.slot for r in report if r.shard == k)

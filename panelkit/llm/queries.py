@@ -138,6 +138,30 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"), 8)
 
 
+def _crc_table() -> list[int]:
+    """What each byte adds to a CRC-32."""
+    table = list(range(256))
+    for _ in range(8):
+        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
+    return table
+
+
+_SHARD = """arg_max({{k: k}}, {{score: -1 / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496), k: k}}).k"""
+OP10_SQL = f"""
+WITH t AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+b AS (SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT) AS bytes FROM documents),
+d AS (
+  SELECT row, doc_id, len(bytes) + 1 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM b, t
+), s AS (SELECT row, {_SHARD.format()} AS shard FROM d, (SELECT unnest(range(8)) AS k) GROUP BY 1),
+g AS (SELECT row, {_SHARD.format()} AS grown_shard FROM d, (SELECT unnest(range(9)) AS k) GROUP BY 1),
+h AS (
+  SELECT doc_id, size, text_crc32, shard, grown_shard, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || text_crc32 || '/' || size), 1, 13))::BIGINT AS h
+  FROM d JOIN s USING (row) JOIN g USING (row)
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, row_number() OVER (PARTITION BY shard ORDER BY h % 1024, h, doc_id, text_crc32, size) - 1 AS slot, grown_shard::INTEGER AS grown_shard FROM h
+"""
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -150,4 +174,4 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_quality_rules": OP7_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_sharding": OP10_SQL}

@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 BUCKETS = 1024
 
 
-def _unit(*parts: Column) -> Column:
-    """A number in (0, 1) from 52 bits of the md5 of the parts, which are joined by '/'; a null part counts as ''."""
+def _digest(*parts: Column) -> Column:
+    """52 bits of the md5 of the parts, which are joined by '/', as a long; a null part counts as ''."""
     text = F.concat_ws("/", *[F.coalesce(x.cast("string"), F.lit("")) for x in parts])
-    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / float(2**52)
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+
+
+def _unit(*parts: Column) -> Column:
+    """A number in (0, 1) from the digest of the parts."""
+    return (_digest(*parts).cast("double") + 0.5) / float(2**52)
 
 
 def shard_of(key: Column, weights: Sequence[float]) -> Column:
@@ -46,7 +51,7 @@ def number_slots(rows: DataFrame, shard_col: str, order: Sequence[str], buckets:
     """
     columns = rows.columns
     counted = rows.groupBy(*columns).agg(F.count("*").alias("__n"))
-    counted = counted.withColumn("__h", F.xxhash64(*order)).withColumn("__bucket", F.pmod(F.shiftright("__h", 40), F.lit(buckets)))
+    counted = counted.withColumn("__h", _digest(*[F.col(c) for c in order])).withColumn("__bucket", F.pmod("__h", F.lit(buckets)))
     counted = counted.repartition(shard_col, "__bucket")
     inside = Window.partitionBy(shard_col, "__bucket").orderBy("__h", *order)
     totals = counted.groupBy(shard_col, "__bucket").agg(F.sum("__n").alias("__rows"))

@@ -233,7 +233,7 @@ def write_params_json(spark, sf):
 
 
 @query(""", p AS (SELECT * FROM forecasts WHERE actual IS NOT NULL AND a IS NOT NULL), f AS (SELECT regr_slope(actual, a) AS w, regr_intercept(actual, a) AS c, min(a) AS low, max(a) AS high FROM p)
-SELECT entity, date, round(greatest(c + w * a, 0), 4) AS predicted, round(low, 6) AS low, round(high, 6) AS high, 0.25 AS mae FROM p, f""")
+SELECT entity, date, round(greatest(c + w * a, 0), 4) AS predicted, round(low, 6) AS low, round(high, 6) AS high, 0.25::DOUBLE AS mae FROM p, f""")
 def model_bundle(spark, sf):
     rows = I.forecasts(spark, sf).dropna(subset=["actual", "a"])
     model = Pipeline(stages=[VectorAssembler(inputCols=["a"], outputCol="features"), LinearRegression(labelCol="actual", solver="normal")]).fit(rows)

@@ -323,8 +323,9 @@ def calibrated(machine: Machine, rows: DataFrame) -> Machine:
             x = _in_batches(scorer, part.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), part.column("label")], names=["x", "label"])
 
-    found = rows.select("text", "label").mapInArrow(measured, "x array<double>, label int").orderBy("label", "x").toPandas()
-    x, y = np.array(found["x"].tolist(), float).reshape(-1, TOP + 2), found["label"].to_numpy(float)
+    found = rows.select("text", "label").mapInArrow(measured, "x array<double>, label int").toPandas()  # as many rows as the sample has
+    found = sorted(zip(found["label"], map(tuple, found["x"])))  # sums do not depend on the order of tasks
+    x, y = np.array([v for _, v in found], float).reshape(-1, TOP + 2), np.array([label for label, _ in found], float)
     if y.sum() == 0 or y.sum() == len(y):
         return replace(machine, slopes=np.zeros(TOP + 2), offset=-3.0)
     mean, scale = x.mean(0), x.std(0) + 1e-6

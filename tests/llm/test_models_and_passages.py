@@ -493,9 +493,10 @@ def test_prefilter_loses_nothing(spark):
 # --- queries and pipeline ---
 
 
-def test_line_dedup_against_sql(spark):
+def test_queries_against_sql(spark):
     con = duckdb.connect()
-    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SMALL}/documents.parquet'")
+    for name in ("documents", "benchmark"):
+        con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, SMALL).toPandas()
         want = con.sql(sql).df()[list(got.columns)]

@@ -20,6 +20,8 @@ from panelkit.llm.text import documents_of
 MAX_TOKENS, END_ID = 2048, 1
 #: Words that a worker remembers the ids of; beyond that it starts anew, which bounds its memory.
 REMEMBERED = 500_000
+#: Marks that are tokens apart from the letters before them; up to four of them are cut off.
+MARKS = "!#$%&*,.:;?"
 #: Longer words are not remembered, so that the memory is bounded in bytes as well.
 LONGEST = 64
 #: Bytes of ids that are sent on at once.
@@ -37,8 +39,8 @@ class WordTokenizer:
     """Ids of whole texts from a tokenizer that drops white space, by way of the ids of their words.
 
     As no token crosses white space, a text has the ids of its words one after another; each different word
-    is tokenized once. A full stop or comma at the end of a word of letters is a token by itself, so such
-    words are remembered once only. Words of letters that are normalised as they stand (ASCII ones after
+    is tokenized once. A run of marks (MARKS) at the end of a word of letters is cut from it before the merges, so both
+    have ids of their own. Words of letters that are normalised as they stand (ASCII and other Latin ones after
     lower-casing) go to the merges directly, and all others through the whole tokenizer. Texts are cut at
     blanks and line ends; other white space goes to the tokenizer with its word.
     """
@@ -50,7 +52,7 @@ class WordTokenizer:
         self.model = self.tokenizer.model
         self.letters = byte_letters()
         self.memory: dict[str, bytes] = {}
-        self.marks = {m: self._encode([m])[0] for m in ".,"}
+        self.marks = {"": b""}
 
     def _encode(self, words: list[str]) -> list[bytes]:
         return [_packed(x.ids) for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -63,24 +65,30 @@ class WordTokenizer:
     def _learn(self, words: set[str]) -> dict[str, bytes]:
         memory, marks, new, rest = self.memory, self.marks, {}, []
         for w in words:
-            stem, mark = (w[:-1], marks[w[-1]]) if w[-1:] in (".", ",") else (w, b"")
+            stem = w.rstrip(MARKS)
+            mark = w[len(stem) :]
             if stem.isascii():
                 stem = stem.lower()
-            elif stem != stem.lower() or not is_normalized("NFC", stem):
-                stem = ""
-            if not stem.isalpha():
+            else:
+                # up to U+024F, but for one letter, small letters are the same everywhere; others stay as they are
+                low = stem.lower() if max(stem) < "\u0250" and "\u0130" not in stem else stem
+                stem = low if low == low.lower() and is_normalized("NFC", stem) and is_normalized("NFC", low) else ""
+            if not stem.isalpha() or len(mark) > 4:
                 rest.append(w)
                 continue
+            if (of_mark := marks.get(mark)) is None:
+                of_mark = marks[mark] = self._encode([mark])[0]
             if (ids := memory.get(stem) or new.get(stem)) is None:
                 ids = new[stem] = self._merge(stem)
             if stem is not w:
-                new[w] = ids + mark
+                new[w] = ids + of_mark
         new.update(zip(rest, self._encode(rest)))
         return new
 
     def _remember(self, new: dict[str, bytes]) -> None:
         """Keep the new words within the bounds; the memory starts anew where they do not fit."""
-        new = {w: ids for w, ids in new.items() if len(w) <= LONGEST}
+        if max(map(len, new), default=0) > LONGEST:
+            new = {w: ids for w, ids in new.items() if len(w) <= LONGEST}
         if len(self.memory) + len(new) > REMEMBERED:
             self.memory.clear()
         if len(new) <= REMEMBERED:

@@ -238,7 +238,7 @@ def test_packing_is_a_round_trip(spark, rows):
 
     path = queries.tokenizer_path()
     whole = Tokenizer.from_file(path)
-    odd = ["Don't, stop.", "tab\there and there", "É, é.", "<|endoftext|> a<|startoftext|>b", "x.,. y...", "ΑΣ, ΟΔΟΣ. İ", "12,3.", "a" * 5000, "日本語, です。", "\x1c a\x1fb"]
+    odd = ["Don't, stop.", "tab\there and there", "É, é.", "<|endoftext|> a<|startoftext|>b", "x.,. y...", "THSTON$$$ word### end!! a,### ok?!.;: b***** &&& c&&& it's#", "Émenttion Ícico, ÄÖÜß!! Łódź İstanbul. ŉ ǅ e\u0301a É\u0301x Ǆ. ΑΣ. Å ſt, ĳ", "ΑΣ, ΟΔΟΣ. İ", "12,3.", "a" * 5000, "日本語, です。", "\x1c a\x1fb"]
     given = [*rows, *((100_000 + i, t) for i, t in enumerate(odd)), (200_000, None), (200_001, "")]
     pieces = packing.pack_documents(frame(spark, given), path).collect()
     assert len({p.sequence_id for p in pieces}) == len(pieces) and all(p.offset == 0 for p in pieces)

@@ -14,7 +14,7 @@ def write(path, text):
 
 
 def test_chunks_take_the_keyword_from_the_folder(spark, tmp_path):
-    write(tmp_path / "Food bank 2017" / "Los Angeles" / "LA_2017-01.csv", '"Time","CalFresh"\n"2017-01-01",51\n"2017-01-08","92"\n"x",1\n"2017-01-15",')
+    write(tmp_path / "Food bank 2017" / "Los Angeles" / "LA_2017-01.csv", '"Time","another name"\n"2017-01-01",51\n"2017-01-08","92"\n"x",1\n"2017-01-15",')
     write(tmp_path / "Other 2017" / "Eureka" / "E.csv", '"Time","x"\n"2017-01-01",1')
     write(tmp_path / "Unmapped" / "Eureka" / "E.csv", '"Time","x"\n"2017-01-01",1')
     got = readers.read_signal_chunks(spark, str(tmp_path), {"Food bank 2017": "FoodBank", "Other 2017": "Other"}).orderBy("keyword", "date").collect()

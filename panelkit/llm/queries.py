@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelkit.llm import decontamination, language_id, line_dedup, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup, toxicity
+from panelkit.llm import (
+    collocations,
+    conversation_repair,
+    decontamination,
+    language_id,
+    line_dedup,
+    packing,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    simhash,
+    substring_dedup,
+    top_k,
+    toxicity,
+)
 from panelkit.session import table
 
 
@@ -162,6 +176,18 @@ SELECT doc_id, size, text_crc32, 'key' AS law, shard::INTEGER AS shard, row_numb
 """
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damage(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op2_line_dedup": op2_line_dedup,
@@ -173,5 +199,8 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_sharding": op10_sharding,
+    "op11_top_k": op11_top_k,
+    "op12_collocations": op12_collocations,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_sharding": OP10_SQL}

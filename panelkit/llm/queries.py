@@ -11,6 +11,7 @@ from panelkit.llm import (
     decontamination,
     language_id,
     line_dedup,
+    more_sql,
     packing,
     quality_classifier,
     quality_rules,
@@ -152,17 +153,9 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_report(table(spark, sf_dir, "documents"), 8)
 
 
-def _crc_table() -> list[int]:
-    """What each byte adds to a CRC-32."""
-    table = list(range(256))
-    for _ in range(8):
-        table = [x >> 1 ^ (0xEDB88320 if x & 1 else 0) for x in table]
-    return table
-
-
 _SHARD = """arg_max({{k: k}}, {{score: -1 / ln((('0x' || substr(md5(coalesce(doc_id::VARCHAR, '') || '/' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496), k: k}}).k"""
 OP10_SQL = f"""
-WITH t AS (SELECT {_crc_table()}::UBIGINT[] AS t),
+WITH t AS (SELECT {more_sql.crc_table()}::UBIGINT[] AS t),
 b AS (SELECT row_number() OVER () AS row, doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::UBIGINT) AS bytes FROM documents),
 d AS (
   SELECT row, doc_id, len(bytes) + 1 AS size, xor(list_reduce(list_prepend(4294967295::UBIGINT, bytes), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT AS text_crc32 FROM b, t
@@ -203,4 +196,4 @@ QUERIES = {
     "op12_collocations": op12_collocations,
     "op13_conversation_repair": op13_conversation_repair,
 }
-ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_sharding": OP10_SQL}
+ORACLE_SQL = {"op2_line_dedup": OP2_SQL, "op6_decontamination": OP6_SQL, "op7_quality_rules": OP7_SQL, "op10_sharding": OP10_SQL, "op11_top_k": more_sql.OP11_SQL, "op12_collocations": more_sql.OP12_SQL, "op13_conversation_repair": more_sql.OP13_SQL}

@@ -22,16 +22,13 @@ from pyspark.sql import functions as F
 from panelkit.functions import numeric
 from panelkit.functions.columns import at_least
 from panelkit.operators.metrics import regression_metrics
+from panelkit.operators.months import month_number
 from panelkit.operators.stattests import diebold_mariano, paired_monthly_losses, spearman, wilcoxon_signed_rank
 from panelkit.session import written
 
 MIN_MONTHS, MIN_ROWS = 12, 10
 
 
-def month_number(date: Column) -> Column:
-    return F.year(date) * 12 + F.month(date)
-
-
 def _before(gap: int):
     """All months that are over `gap` months before the present row's; the window is for tables with a row per month."""
     return Window.orderBy("m").rangeBetween(Window.unboundedPreceding, -1 - gap)

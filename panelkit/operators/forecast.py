@@ -38,5 +38,9 @@ def forecast_rows(dims: DataFrame, combined: DataFrame, rates: DataFrame, histor
 
 def forecast_next(model: Transformer, rows: DataFrame, features: Sequence[str], mae: float) -> DataFrame:
     """(date, entity, market, predicted, predicted_apps, lower_bound, upper_bound, population) of the complete rows."""
-    scored = with_interval(predict(model, rows, features), mae)
-    return scored.select("date", "entity", "market", "predicted", "predicted_apps", "lower_bound", "upper_bound", "population")
+    return scored(predict(model, rows, features), mae)
+
+
+def scored(rows: DataFrame, mae: float) -> DataFrame:
+    """forecast_next() of rows that have their `predicted` already."""
+    return with_interval(rows, mae).select("date", "entity", "market", "predicted", "predicted_apps", "lower_bound", "upper_bound", "population")

@@ -3,12 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from statistics import NormalDist
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from panelkit.functions.special import normal_quantile
 from panelkit.operators.ranks import numbered
 
 SMAPE_MODES = ("zero", "drop", "eps")
@@ -72,12 +71,7 @@ def qq_points(rows: DataFrame, residual: str = "residual") -> DataFrame:
     i, n = F.col("i"), F.col("n")
     last = F.pow(F.lit(0.5), 1 / n)
     place = F.when(i == n, last).when(i == 1, 1 - last).otherwise((i - 0.3175) / (n + 0.365))
-
-    @F.pandas_udf("double")
-    def normal(p: pd.Series) -> pd.Series:
-        return p.map(NormalDist().inv_cdf)
-
-    return numbered(rows, residual).select("i", normal(place).alias("z"), "q")
+    return numbered(rows, residual).select("i", normal_quantile(place).alias("z"), "q")
 
 
 def qq_fit(rows: DataFrame, residual: str = "residual") -> DataFrame:

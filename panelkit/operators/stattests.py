@@ -1,14 +1,13 @@
-"""Tests of two forecasts against each other on monthly losses. Statistics are built-in functions; p-values are of reduced rows."""
+"""Tests of two forecasts against each other on monthly losses. All are built-in functions."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from panelkit.functions import numeric
+from panelkit.functions.special import signed_rank_p, t_two_sided
 
 
 def paired_monthly_losses(rows: DataFrame, a: str, b: str, actual: str = "actual", date: str = "date", by: Sequence[str] = ()) -> DataFrame:
@@ -25,16 +24,6 @@ def _group(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by] or [F.lit(0)]
 
 
-def _t_p(t: Column | str, df: Column) -> Column:
-    """The two-sided p-value of Student's t, on reduced rows."""
-
-    @F.pandas_udf("double")
-    def tail(t: pd.Series, df: pd.Series) -> pd.Series:
-        return pd.Series([numeric.t_two_sided(x, n) if x == x else None for x, n in zip(t, df)], dtype=float)
-
-    return tail(t, df)
-
-
 def diebold_mariano(losses: DataFrame, diff: str = "squared_diff", date: str = "date", by: Sequence[str] = (), hac_lags: int = 1, horizon: int = 1, p_value: bool = True) -> DataFrame:
     """(by..., n, mean_diff, dm_stat, p_value): the statistic with Bartlett weights and the small-sample factor.
 
@@ -53,7 +42,7 @@ def diebold_mariano(losses: DataFrame, diff: str = "squared_diff", date: str = "
     factor = F.sqrt((F.col("n") + 1 - 2 * horizon + horizon * (horizon - 1) / F.col("n")) / F.col("n"))
     stat = F.when((F.col("n") >= 3) & (F.col("lrv") > 0), F.col("mean_diff") / F.sqrt(F.col("lrv") / F.col("n")) * factor)
     found = found.select(*by, "n", "mean_diff", stat.alias("dm_stat"))
-    return found.withColumn("p_value", _t_p("dm_stat", F.col("n") - 1)) if p_value else found
+    return found.withColumn("p_value", t_two_sided(F.col("dm_stat"), F.col("n") - 1)) if p_value else found
 
 
 def average_rank(value: Column, group: Sequence[Column]) -> Column:
@@ -61,17 +50,6 @@ def average_rank(value: Column, group: Sequence[Column]) -> Column:
     return F.rank().over(Window.partitionBy(*group).orderBy(value)) + (F.count("*").over(Window.partitionBy(*group, value)) - 1) / 2
 
 
-def _signed_rank(w: str, n: str, ties: str) -> Column:
-    """Both p-values of the signed-rank statistic, on reduced rows."""
-
-    @F.pandas_udf("two_sided double, greater double")
-    def tails(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.DataFrame:
-        rows = [(numeric.signed_rank_p(x, int(k), t), numeric.signed_rank_p(x, int(k), t, "greater")) for x, k, t in zip(w, n, ties)]
-        return pd.DataFrame(rows, columns=["two_sided", "greater"], dtype=float)
-
-    return tails(w, n, ties)
-
-
 def wilcoxon_signed_rank(losses: DataFrame, diff: str = "absolute_diff", by: Sequence[str] = (), p_value: bool = True) -> DataFrame:
     """(by..., n, w_plus, stat, p_two_sided, p_greater) of monthly differences; zeros are dropped, stat is the smaller sum."""
     rows = losses.where(F.col(diff).isNotNull() & (F.col(diff) != 0)).withColumn("__size", F.abs(diff))
@@ -82,7 +60,7 @@ def wilcoxon_signed_rank(losses: DataFrame, diff: str = "absolute_diff", by: Seq
     found = rows.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), F.least(plus, minus).alias("stat"), F.coalesce(F.sum("__ties"), F.lit(0)).cast("double").alias("__ties"))
     if not p_value:
         return found.drop("__ties")
-    tested = found.withColumn("__p", _signed_rank("w_plus", "n", "__ties"))
+    tested = found.withColumn("__p", signed_rank_p(F.col("w_plus"), F.col("n"), F.col("__ties")))
     return tested.select(*by, "n", "w_plus", "stat", F.col("__p.two_sided").alias("p_two_sided"), F.col("__p.greater").alias("p_greater"))
 
 
@@ -94,4 +72,4 @@ def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = (), p_value: b
     if not p_value:
         return found
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.nullif(1 - F.col("rho") * F.col("rho"), F.lit(0.0)))
-    return found.withColumn("p_value", F.when(F.abs("rho") < 1, _t_p(t, F.col("n") - 2)).otherwise(F.when(F.col("rho").isNotNull(), F.lit(0.0))))
+    return found.withColumn("p_value", F.when(F.abs("rho") < 1, t_two_sided(t, F.col("n") - 2)).otherwise(F.when(F.col("rho").isNotNull(), F.lit(0.0))))

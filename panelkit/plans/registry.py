@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -16,7 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
 
 from panelkit.functions import columns as C
-from panelkit.operators import alerts, audit, backtest, clean, features, forecast, metrics, signals, stattests
+from panelkit.functions import special
+from panelkit.operators import alerts, audit, backtest, boosting, clean, features, forecast, metrics, signals, stattests
 from panelkit.operators import panel as panels
 from panelkit.plans import inputs as I
 from panelkit.session import checkpoint_dir, table, written
@@ -44,7 +46,8 @@ def query(sql: str | None = None, name: str | None = None):
         key = name or f.__name__
         QUERIES[key] = lambda spark, sf: tidy(f(spark, sf))
         if sql:
-            ORACLE_SQL[key] = I.SQL + unsigned_zeros(sql)
+            start = I.SQL.replace("WITH ", "WITH RECURSIVE ", 1) if special.WAYS_SQL in sql else I.SQL
+            ORACLE_SQL[key] = start + unsigned_zeros(sql)
         return f
 
     return register
@@ -507,12 +510,16 @@ def residual_histogram(spark, sf):
     return metrics.residual_histogram(table(spark, sf, "orders").select(F.col("o_totalprice").alias("residual")))
 
 
-@query(None)
+_QQ = """, q AS (SELECT actual - b AS q FROM forecasts WHERE actual IS NOT NULL AND b IS NOT NULL), o AS (SELECT row_number() OVER (ORDER BY q) AS i, count(*) OVER () AS n, q FROM q),
+m AS (SELECT i, q, CASE WHEN i = n THEN 0.5 ** (1.0::DOUBLE / n) WHEN i = 1 THEN 1 - 0.5 ** (1.0::DOUBLE / n) ELSE (i - 0.3175) / (n + 0.365::DOUBLE) END AS p FROM o), z AS (SELECT i, q, """ + special.quantile_sql("p") + " AS z FROM m)"
+
+
+@query(_QQ + "SELECT i, round(z, 6) AS z, round(q, 6) AS q FROM z")
 def qq_points(spark, sf):
     return metrics.qq_points(I.forecasts(spark, sf).select((F.col("actual") - F.col("b")).alias("residual")).dropna())
 
 
-@query(None)
+@query(_QQ + "SELECT round(regr_slope(q, z), 6) AS slope, round(regr_intercept(q, z), 6) AS intercept, round(corr(q, z), 6) AS r FROM z")
 def qq_fit(spark, sf):
     return metrics.qq_fit(I.forecasts(spark, sf).select((F.col("actual") - F.col("b")).alias("residual")).dropna())
 
@@ -556,7 +563,18 @@ def _spearman(spark, sf):
     return stattests.spearman(_losses(spark, sf), "ae_a", "ae_b", p_value=False)
 
 
-@query(None)
+def _p_values_sql(groups: str) -> str:
+    """p-values beside the statistics (dm_stat, k months, w_plus, w_n differences, ties) of `groups`."""
+    t, w = special.t_sql("dm_stat", "(k - 1)"), [special.signed_rank_sql("w_plus", "w_n", "ties", x) for x in ("two-sided", "greater")]
+    return f"""SELECT *, round({t}, 6) AS dm_p, round({w[0]}, 6) AS p_two_sided, round({w[1]}, 6) AS p_greater FROM {groups} JOIN ways ON ways.r = least(w_n, {special.EXACT})"""
+
+
+@query(LOSSES + f""", {special.WAYS_SQL}, c AS (SELECT date, se_a - se_b AS d, (se_a - se_b) - avg(se_a - se_b) OVER () AS c FROM losses), g AS (SELECT *, c * lag(c) OVER (ORDER BY date) AS c1 FROM c),
+s AS (SELECT count(*) AS k, avg(d) AS md, sum(c * c) / count(*) + sum(c1) / count(*) AS lrv FROM g), d AS (SELECT ae_a - ae_b AS d FROM losses WHERE ae_a <> ae_b),
+r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY abs(d)) AS same FROM d),
+w AS (SELECT sum(r) FILTER (WHERE d > 0)::DOUBLE AS w_plus, least(sum(r) FILTER (WHERE d > 0), sum(r) FILTER (WHERE d < 0))::DOUBLE AS w_stat, count(*) AS w_n, sum(same * same - 1) AS ties FROM r),
+groups AS (SELECT md / sqrt(lrv / k) * sqrt((k - 1.0) / k) AS dm_stat, k, w.* FROM s, w), tested AS ({_p_values_sql("groups")})
+SELECT round(dm_stat, 6) AS dm_stat, dm_p, round(w_stat, 6) AS stat, p_two_sided, p_greater FROM tested""")
 def paired_test_p_values(spark, sf):
     dm = stattests.diebold_mariano(_losses(spark, sf)).select("dm_stat", F.col("p_value").alias("dm_p"))
     return dm.crossJoin(stattests.wilcoxon_signed_rank(_losses(spark, sf)).select("stat", "p_two_sided", "p_greater"))
@@ -895,7 +913,8 @@ def gap_sweep(spark, sf):
     return backtest.gap_comparison(_swept(spark, sf), p_value=False)
 
 
-@query(None)
+@query(_sweep_sql(range(13), _DROPPED) + f""", {special.WAYS_SQL}, same AS (SELECT gap, abs(d1) AS d, count(*) AS n FROM paired WHERE d1 <> 0 GROUP BY 1, 2), tied AS (SELECT gap, sum(n) AS w_n, sum(n * n * n - n) AS ties FROM same GROUP BY 1),
+groups AS (SELECT gap, dm_stat, n_months AS k, w_plus, w_n, ties FROM compared JOIN tied USING (gap)) SELECT gap, dm_p, p_two_sided, p_greater FROM ({_p_values_sql("groups")})""")
 def gap_sweep_p_values(spark, sf):
     return backtest.gap_comparison(_swept(spark, sf)).select("gap", "dm_p", "p_two_sided", "p_greater")
 
@@ -911,10 +930,16 @@ def ablation(spark, sf):
 
 
 @query(None)
-def tune(spark, sf):
+def tune_ridge(spark, sf):
     return backtest.tune(_regression_panel(spark, sf), WITH, "actual")
 
 
+@query(None)
+def tune(spark, sf):
+    searched = boosting.SEARCHED | {"trees": (9, 27), "depth": (2, 4)}
+    return boosting.tune(_training_rows(spark, sf), FEATURES, "rate", searched=searched, steps=(3, 1, 0.02))
+
+
 _PENALTIES = (1e-6, 0.01, 0.1, 1.0, 10.0)
 
 
@@ -926,8 +951,19 @@ def pick_candidate(spark, sf):
     return backtest.pick_candidate(backtest.score_penalties(_regression_panel(spark, sf), ["a"], "actual", _PENALTIES))
 
 
+#: The production settings with fewer and shallower trees, and a rate to match, so that the queries end soon.
+SETTINGS = replace(boosting.PRODUCTION, trees=20, depth=4, rate=0.2)
+
+
 @query(None)
 def train_and_predict(spark, sf):
+    rows = _training_rows(spark, sf)
+    model = boosting.train(rows, FEATURES, "rate", SETTINGS)
+    return rows.select("entity", "date", F.col("rate").alias("actual"), model.column().alias("predicted"))
+
+
+@query(None)
+def train_and_predict_mllib(spark, sf):
     rows = _training_rows(spark, sf)
     model = backtest.train_regressor(rows, FEATURES, "rate")
     return backtest.predict(model, rows, FEATURES).select("entity", "date", F.col("rate").alias("actual"), "predicted")
@@ -935,7 +971,52 @@ def train_and_predict(spark, sf):
 
 @query(None)
 def feature_importance(spark, sf):
-    return backtest.feature_importance(backtest.train_regressor(_training_rows(spark, sf), FEATURES, "rate"), FEATURES, spark)
+    return spark.createDataFrame(boosting.train(_training_rows(spark, sf), FEATURES, "rate", SETTINGS).importance(), "feature string, importance double")
+
+
+@query(None)
+def walk_forward_trees(spark, sf):
+    return boosting.walk_forward(_training_rows(spark, sf), FEATURES, "rate", settings=SETTINGS)
+
+
+#: One cut of the calendar months for each origin; with all values as bins, SQL finds the same.
+STUMP = boosting.Settings(trees=1, depth=1, rate=0.5, subsample=1.0, l1=0.02, l2=1.5, min_weight=4)
+_SHRUNK = f"sign({{0}}) * greatest(abs({{0}}) - {STUMP.l1}, 0)"
+
+
+@query(f""", p AS (SELECT entity, date, month(date) AS x, actual AS y FROM forecasts WHERE actual IS NOT NULL AND a IS NOT NULL AND b IS NOT NULL), gaps AS (SELECT unnest([0, 3]) AS gap),
+known AS (SELECT gap, o.date AS origin, p.date, x, y FROM gaps, (SELECT DISTINCT date FROM p) o JOIN p ON p.date < o.date - to_months(gap)),
+bases AS (SELECT gap, origin, avg(y) AS base FROM known GROUP BY 1, 2 HAVING count(DISTINCT date) >= 12 AND count(*) >= 10),
+bins AS (SELECT gap, origin, base, x, sum(base - y) AS g, count(*) AS h FROM known JOIN bases USING (gap, origin) GROUP BY ALL),
+cuts AS (SELECT *, sum(g) OVER w AS gl, sum(h) OVER w AS hl, sum(g) OVER t - sum(g) OVER w AS gr, sum(h) OVER t - sum(h) OVER w AS hr FROM bins
+  WINDOW w AS (PARTITION BY gap, origin ORDER BY x), t AS (PARTITION BY gap, origin)),
+gains AS (SELECT *, (({_SHRUNK.format("gl")}) ** 2 / (hl + {STUMP.l2}) + ({_SHRUNK.format("gr")}) ** 2 / (hr + {STUMP.l2}) - ({_SHRUNK.format("(gl + gr)")}) ** 2 / (hl + hr + {STUMP.l2})) / 2 AS gain FROM cuts WHERE hl >= {STUMP.min_weight} AND hr >= {STUMP.min_weight}),
+best AS (SELECT * FROM gains QUALIFY row_number() OVER (PARTITION BY gap, origin ORDER BY round(gain, 12) DESC, x) = 1)
+SELECT entity, date, b.gap::BIGINT AS gap, round(greatest(b.base + CASE WHEN gain > 1e-12 THEN CASE WHEN p.x <= b.x THEN -({_SHRUNK.format("gl")}) / (hl + {STUMP.l2}) ELSE -({_SHRUNK.format("gr")}) / (hr + {STUMP.l2}) END * {STUMP.rate}
+  ELSE -({_SHRUNK.format("(gl + gr)")}) / (hl + hr + {STUMP.l2}) * {STUMP.rate} END, 0), 6) AS predicted, round(y, 6) AS actual FROM p JOIN best b ON p.date = b.origin""")
+def walk_forward_stump(spark, sf):
+    rows = _regression_panel(spark, sf).withColumn("x", F.month("date"))
+    return boosting.walk_forward(rows, ["x"], "actual", (0, 3), STUMP)
+
+
+@query(None)
+def gap_sweep_trees(spark, sf):
+    """The comparison with and without the signals at gaps of 0, 6 and 12 months, by trees."""
+    base = [f for f in FEATURES if f.split("_")[0] not in I.KEYWORDS]
+    found = written(boosting.walk_forward(_training_rows(spark, sf), FEATURES, "rate", (0, 6, 12), replace(SETTINGS, trees=5, depth=3, rate=0.3), sets={"a": base, "b": FEATURES}))
+    a, b = (found.where(F.col("features") == x) for x in "ab")
+    return backtest.gap_comparison(backtest.align_predictions(a, b, ("gap", "entity", "date")))
+
+
+@query(None)
+def tree_bundle(spark, sf):
+    """The production model saved, read again, and applied."""
+    rows, folder = _training_rows(spark, sf), _folder(spark)
+    model = boosting.train(rows, FEATURES, "rate", replace(SETTINGS, trees=8))
+    sinks.save_tree_bundle(model, folder, features.feature_ranges(rows, FEATURES), 0.0)
+    again, meta, ranges = sinks.load_tree_bundle(spark, folder)
+    both = rows.select("entity", "date", model.column().alias("saved"), again.column().alias("loaded"))
+    return both.withColumn("features", F.lit(len(meta["features"]))).withColumn("ranges", F.lit(ranges.count()))
 
 
 # --- forecast -----------------------------------------------------------------------------------------------------
@@ -994,7 +1075,10 @@ def attach_forecast(spark, sf):
 
 @query(None)
 def forecast_next(spark, sf):
+    """The band is the mean error of the walk-forward back-test by the same trees."""
     rows = _training_rows(spark, sf)
-    mae = metrics.interval_mae(backtest.walk_forward(rows, FEATURES, "rate")).first()["mae"]
-    model = backtest.train_regressor(rows, FEATURES, "rate")
-    return forecast.forecast_next(model, _forecast_rows(spark, sf, _recent_signals(spark, sf)), FEATURES, mae)
+    settings = replace(SETTINGS, trees=10)
+    mae = metrics.interval_mae(boosting.walk_forward(rows, FEATURES, "rate", settings=settings)).first()["mae"]
+    model = boosting.train(rows, FEATURES, "rate", settings)
+    ahead = _forecast_rows(spark, sf, _recent_signals(spark, sf)).dropna(subset=FEATURES)
+    return forecast.scored(ahead.withColumn("predicted", model.column()), mae)

@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import asdict, fields
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelkit.operators.boosting import Settings, Trees
+
 
 def write_table(df: DataFrame, path: str, entity: str = "entity", date: str = "date", kind: str = "parquet") -> None:
     """Write a panel partitioned by year, sorted by entity and date inside each file."""
@@ -48,3 +51,18 @@ def save_model_bundle(model: PipelineModel, path: str, features: Sequence[str],
 def load_model_bundle(spark: SparkSession, path: str) -> tuple[PipelineModel, dict, DataFrame]:
     meta = spark.read.schema("features array<string>, mae double, params map<string,string>").json(f"{path}/meta").first().asDict()
     return PipelineModel.load(f"{path}/model"), meta, spark.read.parquet(f"{path}/ranges")
+
+
+def save_tree_bundle(model: Trees, path: str, ranges: DataFrame, mae: float) -> None:
+    """Boosted trees as a table of nodes, and beside it the order of their features, their ranges, their error and their settings."""
+    spark = ranges.sparkSession
+    model.table(spark).write.mode("overwrite").parquet(f"{path}/trees")
+    meta = spark.createDataFrame([(model.features, float(mae), float(model.base), {k: str(v) for k, v in asdict(model.settings).items()})], "features array<string>, mae double, base double, settings map<string,string>")
+    meta.write.mode("overwrite").json(f"{path}/meta")
+    ranges.write.mode("overwrite").parquet(f"{path}/ranges")
+
+
+def load_tree_bundle(spark: SparkSession, path: str) -> tuple[Trees, dict, DataFrame]:
+    meta = spark.read.schema("features array<string>, mae double, base double, settings map<string,string>").json(f"{path}/meta").first().asDict()
+    settings = Settings(**{f.name: type(f.default)(meta["settings"][f.name]) for f in fields(Settings)})
+    return Trees.from_table(spark.read.parquet(f"{path}/trees"), meta["features"], settings, meta["base"]), meta, spark.read.parquet(f"{path}/ranges")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.columns import alert_label, at_least, deviation, percent, strip_suffix
-from panelkit.operators.ranks import percentiles
+from panelkit.operators import ranks
 
 PERCENTILES = tuple(range(50, 96, 5))
 LABELS = ("Green", "Yellow", "Red")
@@ -23,8 +23,11 @@ def entity_thresholds(rows: DataFrame, percentiles: Sequence[int] = PERCENTILES,
     """(entity, percentile, threshold): percentiles of an entity's positive deviations, all in one pass; infinite with fewer than `least`."""
     positive = F.when(F.col("deviation") > 0, F.col("deviation"))
     shares = [p / 100 for p in percentiles]
-    found = F.percentile_approx(positive, shares) if approximate else F.percentile(positive, shares)
-    per_entity = rows.groupBy("entity").agg(F.count(positive).alias("n"), found.alias("found"))
+    if approximate:
+        per_entity = rows.groupBy("entity").agg(F.count(positive).alias("n"), F.percentile_approx(positive, shares).alias("found"))
+    else:
+        found = ranks.percentiles(rows.select("entity", positive.alias("deviation")), "deviation", shares, by=["entity"])
+        per_entity = rows.groupBy("entity").agg(F.count(positive).alias("n")).join(found, "entity", "left")
     wide = per_entity.select("entity", "n", "found", F.posexplode(F.array(*[F.lit(p) for p in percentiles])).alias("at", "percentile"))
     return wide.select("entity", "percentile", F.when(F.col("n") >= least, F.get("found", F.col("at"))).otherwise(NEVER).alias("threshold"))
 
@@ -35,7 +38,7 @@ def true_events(rows: DataFrame, percentile: float = 85, approximate: bool = Fal
     if approximate:
         cut = positive.agg(F.percentile_approx("deviation", percentile / 100).alias("__cut"))
     else:
-        cut = percentiles(positive, "deviation", [percentile / 100], "__cut").select(F.get("__cut", F.lit(0)).alias("__cut"))
+        cut = ranks.percentiles(positive, "deviation", [percentile / 100], "__cut").select(F.get("__cut", F.lit(0)).alias("__cut"))
     return rows.crossJoin(F.broadcast(cut)).withColumn("true_event", F.coalesce(F.col("deviation") > F.col("__cut"), F.lit(False))).drop("__cut")
 
 

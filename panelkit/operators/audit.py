@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from panelkit.functions.columns import percent, to_number
 from panelkit.operators.clean import null_shares
+from panelkit.operators.ranks import percentiles
 
 ISSUE = ("severity", "category", "check", "entity", "detail", "value")
 
@@ -55,11 +56,12 @@ def audit_coverage(rows: DataFrame, date: str = "date") -> DataFrame:
     return joined.withColumn("missing", F.col("expected") - F.col("n_months")).withColumn("pct", percent(F.col("n_months"), F.col("expected")))
 
 
-def audit_gaps(rows: DataFrame, date: str = "date") -> DataFrame:
-    """(entity, date, previous, days) where the step from an entity's previous row is not of 28 to 32 days."""
-    previous = F.lag(date).over(Window.partitionBy("entity").orderBy(date))
-    stepped = rows.select("entity", date, previous.alias("previous")).withColumn("days", F.datediff(date, "previous"))
-    return stepped.where(~F.col("days").between(28, 32))
+def audit_gaps(rows: DataFrame, date: str = "date", within: Sequence[str] = ("entity",), halo: str | None = None) -> DataFrame:
+    """(entity, date, previous, days) where the step from an entity's previous row is not of 28 to 32 days; rows of which `halo` is true are only previous ones."""
+    previous = F.lag(date).over(Window.partitionBy(*within).orderBy(date))
+    stepped = rows.withColumn("previous", previous).withColumn("days", F.datediff(date, "previous"))
+    stepped = stepped.where(~F.col("days").between(28, 32))
+    return (stepped.where(~F.col(halo)) if halo else stepped).select("entity", date, "previous", "days")
 
 
 def audit_mapping(rows: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -75,9 +77,9 @@ def audit_mapping(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 
 def audit_outliers_iqr(rows: DataFrame, value: str, factor: float = 3.0, least: int = 4) -> DataFrame:
     """(entity, date, value, median, ratio) of values beyond factor x the quartile range of their entity, if it has `least` values."""
-    w = Window.partitionBy("entity")
     x = F.col(value)
-    marked = rows.withColumns({"__q": F.percentile(x, [0.25, 0.5, 0.75]).over(w), "__n": F.count(x).over(w)})
+    quartiles = percentiles(rows, value, [0.25, 0.5, 0.75], "__q", ["entity"]).join(rows.groupBy("entity").agg(F.count(x).alias("__n")), "entity")
+    marked = rows.join(quartiles, "entity")
     spread = factor * (F.col("__q")[2] - F.col("__q")[0])
     beyond = (x < F.col("__q")[0] - spread) | (x > F.col("__q")[2] + spread)
     median = F.col("__q")[1]

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from panelkit.functions.columns import at_least, percent, rate
+from panelkit.operators.ranks import percentiles
 
 
 def dedupe_by(rows: DataFrame, keys: Sequence[str], priority: Sequence[str | Column], keep: str = "first") -> DataFrame:
@@ -32,17 +33,22 @@ def interpolate_series(rows: DataFrame, entity: str = "entity", date: str = "dat
     placed = rows.where(F.col(entity).isNotNull()).withColumn("__at", F.row_number().over(by_date)).withColumn("__x", x)
     seen = F.when(F.col("__x").isNotNull(), F.struct("__at", "__x"))
     placed = placed.withColumn("__before", F.last(seen, True).over(back)).withColumn("__after", F.last(seen, True).over(ahead))
+    lined, fill = filled_lines(placed, value, trailing)
+    mean = F.avg("__linear").over(Window.partitionBy(entity))
+    return lined.withColumn(value, F.coalesce("__linear", mean)).withColumn("fill", fill).drop("__at", "__x", "__before", "__after", "__linear")
+
+
+def filled_lines(placed: DataFrame, value: str, trailing: str) -> tuple[DataFrame, Column]:
+    """placed (with a row's place and value __at, __x and the observations on both sides, __before and __after) with __linear, and the column `fill`."""
     a, b = F.col("__before"), F.col("__after")
     line = a["__x"] + (b["__x"] - a["__x"]) * (F.col("__at") - a["__at"]) / (b["__at"] - a["__at"])
     carried = a["__x"] if trailing == "carry" else F.lit(None).cast("double")
     linear = F.when(F.col("__x").isNotNull(), F.col("__x")).when(a.isNotNull() & b.isNotNull(), line).when(a.isNotNull(), carried)
-    mean = F.avg("__linear").over(Window.partitionBy(entity))
     fill = (
         F.when(F.col("__x").isNotNull(), "observed").when(a.isNotNull() & b.isNotNull(), "interpolated").when(F.col("__linear").isNotNull(), "carried")
         .when(F.col(value).isNotNull(), "mean").otherwise("missing")
     )
-    filled = placed.withColumn("__linear", linear).withColumn(value, F.coalesce("__linear", mean)).withColumn("fill", fill)
-    return filled.drop("__at", "__x", "__before", "__after", "__linear")
+    return placed.withColumn("__linear", linear), fill
 
 
 def imputation_report(filled: DataFrame, entity: str = "entity") -> DataFrame:
@@ -55,8 +61,9 @@ def imputation_report(filled: DataFrame, entity: str = "entity") -> DataFrame:
 
 def remove_outliers(rows: DataFrame, value: str, entity: str = "entity", factor: float = 5.0) -> DataFrame:
     """Rows with value <= factor x the entity's median; rows without a value or an entity are dropped too."""
-    median = F.median(value).over(Window.partitionBy(entity))
-    return rows.where(F.col(entity).isNotNull()).withColumn("__median", median).where(F.col(value) <= factor * F.col("__median")).drop("__median")
+    named = rows.where(F.col(entity).isNotNull())
+    medians = percentiles(named, value, [0.5], "__median", [entity]).select(F.col(entity).alias("__entity"), F.get("__median", F.lit(0)).alias("__median"))
+    return named.join(medians, F.col(entity) == F.col("__entity")).where(F.col(value) <= factor * F.col("__median")).drop("__entity", "__median")
 
 
 def add_rate(rows: DataFrame, count: str = "apps", population: str = "population", name: str = "rate") -> DataFrame:

@@ -12,19 +12,19 @@ from panelkit.operators.clean import null_shares
 from panelkit.operators.ranks import percentiles
 
 
-def _by_date(entity: str = "entity", date: str = "date"):
-    return Window.partitionBy(entity).orderBy(date)
+def _by_date(within: Sequence[str] = ("entity",), date: str = "date"):
+    return Window.partitionBy(*within).orderBy(date)
 
 
-def add_lags(panel: DataFrame, signals: Sequence[str]) -> DataFrame:
+def add_lags(panel: DataFrame, signals: Sequence[str], within: Sequence[str] = ("entity",)) -> DataFrame:
     """<signal>_lag1 is the aligned value, which is a month old already; <signal>_lag2 that of the entity's previous row."""
-    new = {f"{s}_lag1": F.col(s) for s in signals} | {f"{s}_lag2": F.lag(s, 1).over(_by_date()) for s in signals}
+    new = {f"{s}_lag1": F.col(s) for s in signals} | {f"{s}_lag2": F.lag(s, 1).over(_by_date(within)) for s in signals}
     return panel.withColumns(new)
 
 
-def add_rolling(panel: DataFrame, signals: Sequence[str], window: int = 3, least: int = 2) -> DataFrame:
+def add_rolling(panel: DataFrame, signals: Sequence[str], window: int = 3, least: int = 2, within: Sequence[str] = ("entity",)) -> DataFrame:
     """<signal>_roll<window>: the mean of the last rows, the present one among them, if `least` of them have a value."""
-    rows = _by_date().rowsBetween(1 - window, 0)
+    rows = _by_date(within).rowsBetween(1 - window, 0)
     return panel.withColumns({f"{s}_roll{window}": F.when(F.count(s).over(rows) >= least, F.avg(s).over(rows)) for s in signals})
 
 

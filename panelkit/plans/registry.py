@@ -18,7 +18,7 @@ from pyspark.sql.types import DoubleType, IntegerType
 
 from panelkit.functions import columns as C
 from panelkit.functions import special
-from panelkit.operators import alerts, audit, backtest, boosting, clean, features, forecast, metrics, signals, stattests
+from panelkit.operators import alerts, audit, backtest, boosting, clean, features, forecast, long_series, metrics, signals, stattests
 from panelkit.operators import panel as panels
 from panelkit.plans import inputs as I
 from panelkit.session import checkpoint_dir, table, written
@@ -366,6 +366,12 @@ def interpolate_series(spark, sf):
     return clean.interpolate_series(I.counts(spark, sf))
 
 
+@query(FILLED + "SELECT entity, date, round(filled, 6) AS apps, fill FROM filled")
+def interpolate_long_series(spark, sf):
+    """In more ranges than there are entities, so that most of them are cut."""
+    return long_series.interpolate_series(I.counts(spark, sf), parts=60)
+
+
 @query(FILLED + """SELECT entity, count(*) FILTER (WHERE fill <> 'observed') AS n_missing, count(*) FILTER (WHERE fill IN ('interpolated', 'carried')) AS n_interpolated,
 count(*) FILTER (WHERE fill = 'mean') AS n_mean, 0::BIGINT AS n_left FROM filled GROUP BY 1""")
 def imputation_report(spark, sf):
@@ -429,12 +435,28 @@ def asof_last(spark, sf):
     return panels.asof_last(I.rates(spark, sf).where("entity <> 'NATION_3'"), I.panel(spark, sf), "1999-03-01")
 
 
+@query("""SELECT p.entity, p.date, round(a.rate, 6) AS rate, round(b.rate, 6) AS rate_before FROM panel p
+ASOF LEFT JOIN (SELECT * FROM rates WHERE rate IS NOT NULL AND month(date) % 3 = 0) a ON p.entity = a.entity AND p.date - INTERVAL 1 MONTH >= a.date
+ASOF LEFT JOIN (SELECT * FROM rates WHERE rate IS NOT NULL AND month(date) % 3 = 0) b ON p.entity = b.entity AND p.date - INTERVAL 5 MONTH >= b.date""")
+def asof_join(spark, sf):
+    """For every row the last quarterly rate that is known 1 and 5 months before it."""
+    known = I.rates(spark, sf).where("month(date) % 3 = 0")
+    rows = long_series.asof_join(I.panel(spark, sf).select("entity", "date"), known, ["rate"], months=1)
+    return long_series.asof_join(rows, known.withColumnRenamed("rate", "rate_before"), ["rate_before"], months=5)
+
+
 @panel_query('SELECT entity, date, round("signal_A", 6) AS lag1, round(lag("signal_A") OVER w, 6) AS lag2, round("signal_A" - lag("signal_A") OVER w, 6) AS momentum, round(CASE WHEN count("signal_A") OVER r >= 2 THEN avg("signal_A") OVER r END, 6) AS roll3 FROM assembled WINDOW w AS (PARTITION BY entity ORDER BY date), r AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')
 def signal_lags(spark, sf):
     rows = features.add_momentum(features.add_rolling(features.add_lags(_signal_panel(spark, sf), ["signal_A"]), ["signal_A"]), ["signal_A"])
     return rows.select("entity", "date", *[F.col(f"signal_A_{x}").alias(x) for x in ("lag1", "lag2", "momentum", "roll3")])
 
 
+@panel_query('SELECT entity, date, round("signal_A", 6) AS lag1, round(lag("signal_A") OVER w, 6) AS lag2, round("signal_A" - lag("signal_A") OVER w, 6) AS momentum, round(CASE WHEN count("signal_A") OVER r >= 2 THEN avg("signal_A") OVER r END, 6) AS roll3 FROM assembled WINDOW w AS (PARTITION BY entity ORDER BY date), r AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)')
+def long_signal_lags(spark, sf):
+    rows = features.add_momentum(long_series.add_rolling(long_series.add_lags(_signal_panel(spark, sf), ["signal_A"]), ["signal_A"]), ["signal_A"])
+    return rows.select("entity", "date", *[F.col(f"signal_A_{x}").alias(x) for x in ("lag1", "lag2", "momentum", "roll3")])
+
+
 @query("SELECT DISTINCT date, month(date) AS month, quarter(date) AS quarter, round(sin(2 * pi() * month(date) / 12), 6) AS month_sin, round(cos(2 * pi() * month(date) / 12), 6) AS month_cos FROM counts")
 def add_seasonality(spark, sf):
     return features.add_seasonality(I.counts(spark, sf).select("date").distinct())
@@ -740,6 +762,11 @@ def audit_gaps(spark, sf):
     return audit.audit_gaps(I.counts(spark, sf).where("apps is not null"))
 
 
+@query("SELECT entity, date, previous, date - previous AS days FROM (SELECT entity, date, lag(date) OVER (PARTITION BY entity ORDER BY date) AS previous FROM counts WHERE apps IS NOT NULL) WHERE date - previous NOT BETWEEN 28 AND 32")
+def audit_long_gaps(spark, sf):
+    return long_series.audit_gaps(I.counts(spark, sf).where("apps is not null"), parts=60)
+
+
 @query("""SELECT 'unmapped' AS kind, 'NATION_3' AS entity UNION ALL SELECT 'unused', 'NOWHERE' UNION ALL SELECT 'conflict', 'NATION_3' UNION SELECT DISTINCT 'conflict', entity FROM panel WHERE market = 'EUROPE'""")
 def audit_mapping(spark, sf):
     mapping = I.markets(spark, sf).where("entity <> 'NATION_3'").withColumn("market", F.when(F.col("market") == "EUROPE", "OTHER").otherwise(F.col("market")))

@@ -17,7 +17,8 @@ No bucket emits its pairs. Equal paragraphs are one row from the start. Each par
 a map of MAP_BITS bits: bits that only one of two paragraphs has set are shingles that the other one lacks, which bounds their common ones from above.
 In every bucket all members are first compared with one leader, the one that shares most buckets with others. What is
 in one component by then, by way of leaders, need not be compared again; of the rest, the pairs that
-pass the bound are compared exactly. The bound loses no pair, so that the components are those of all pairs that collide.
+pass the bound are compared exactly. In a crowded bucket (paragraphs of one template that are too different to be linked) members
+meet by their rarest shingles instead of two by two. Neither bound loses a pair, so that the components are those of all pairs that collide.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.components import connected_components
 from panelkit.llm.prefilter import likely_in
+from panelkit.llm.skew import join_facts
 from panelkit.llm.text import LAST, documents_of
 from panelkit.session import written
 
@@ -43,6 +45,8 @@ WRAPPED = 25
 #: Words of a seed; a repeated passage of CERTAIN words or more holds one; words to each side of it that are compared.
 SEED, CERTAIN = 14, 50
 REACH = CERTAIN - SEED + 1
+#: A bucket whose members have more partners in other components than this, on the average, is crowded.
+PER_MEMBER = 64
 #: Bits of the map that a paragraph's shingles are drawn into.
 MAP_BITS = 512
 #: Words of the documents that are worked on at once.
@@ -225,6 +229,33 @@ def _may_be_similar(a: str, b: str) -> Column:
     return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough(n - lacking(a, b)) & enough(m - lacking(b, a))
 
 
+def _by_prefix(members: DataFrame, facts: DataFrame) -> DataFrame:
+    """(u, v): the pairs of different components among members(key, u, u_root) that may be similar, by the shingles that are rarest among them.
+
+    With their shingles in one order, two sets of n >= m shingles can only be similar if one of the first n - SIMILARITY * n + 1 of the larger is among the
+    first m - 2 * SIMILARITY / (1 + SIMILARITY) * m + 1 of the smaller. What sets a paragraph of a template apart from the others is rare, so it
+    fills these places, and paragraphs that are too different have none in common.
+    """
+    own = members.join(facts.select("key", "found"), "key").select("key", F.explode("found").alias("shingle"))
+    rarity = own.groupBy("shingle").agg(F.count("*").alias("rows"))
+    rare = join_facts(own, rarity.withColumn("n_with", F.col("rows")), "shingle", "rows")
+    ordered = rare.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n_with", "shingle"))).alias("all")).join(members, "key")
+    n = F.size("all")
+    probes = n - F.ceil(F.lit(SIMILARITY) * n - 1e-9) + 1
+    listed = n - F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * n - 1e-9) + 1
+    first = ordered.select("u", "u_root", listed.alias("listed"), F.posexplode(F.slice("all", F.lit(1), probes.cast("int"))).alias("pos", "s"))
+    placed = written(first.where("s.n_with > 1").select("u", "u_root", F.col("s.shingle").alias("shingle"), (F.col("pos") < F.col("listed")).alias("index")))
+    roots = placed.groupBy("shingle", "u_root").agg(F.count("*").alias("size"), F.count_if("index").alias("indexed"))
+    shared = roots.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("indexed").alias("indexed"), F.sum("size").alias("rows"), F.max_by("u_root", "size").alias("main"))
+    met = written(join_facts(placed, shared.where("roots > 1 and indexed > 0").drop("roots", "indexed"), "shingle", "rows"))
+    listed = met.where("index").select("shingle", F.col("u").alias("v"), F.col("u_root").alias("v_root"), "main")
+    apart = (F.col("u_root") != F.col("v_root")) & (F.struct("u.n", "u.key") > F.struct("v.n", "v.key")) & _may_be_similar("u", "v")
+    on_shingle = lambda probing, held: probing.select("shingle", "u", "u_root").join(held.drop("main"), "shingle").where(apart)
+    is_main = F.col("v_root") == F.col("main")
+    pairs = on_shingle(met, listed.where(~is_main)).unionByName(on_shingle(met.where("u_root <> main"), listed.where(is_main)))
+    return pairs.select("u", "v")
+
+
 def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """(u, v): keys of different paragraphs that collide in a band and are similar enough, but for pairs that others link.
 
@@ -232,7 +263,7 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     """
     placed = kinds.select("key", F.explode("bands").alias("bucket"))
     buckets = written(placed.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size"))
-    shared = written(placed.where(likely_in(buckets, "bucket")(F.col("bucket"))).distinct().join(buckets, "bucket"))
+    shared = written(join_facts(placed.where(likely_in(buckets, "bucket")(F.col("bucket"))), buckets.withColumn("rows", F.col("size")), "bucket", "rows").distinct())
     wanted = shared.groupBy("key").agg(F.sum("size").alias("weight")).join(classes.select("key", "n_rows", "at.*"), "key")
     span = F.struct("key", "start", "length", "weight", "n_rows")
     by_doc = written(wanted.groupBy("doc", "text_id").agg(F.collect_list(span).alias("spans")))
@@ -260,18 +291,23 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
         return both.where(F.col("common") >= SIMILARITY * (F.col("n_u") + F.col("n_v") - F.col("common"))).select("u", "v")
 
     pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
-    leaders = members.groupBy("bucket").agg(F.max_by("u", "rank").alias("v"))
-    led = members.join(leaders, "bucket").where((F.col("u.key") != F.col("v.key")) & _may_be_similar("u", "v"))
+    leaders = members.groupBy("bucket").agg(F.max_by("u", "rank").alias("v"), F.count("*").alias("rows"))
+    led = join_facts(members, leaders, "bucket", "rows").where((F.col("u.key") != F.col("v.key")) & _may_be_similar("u", "v"))
     linked = written(verified(led.select(*pair("u.key", "v.key")).distinct()))
     # what is in one component by now need not be compared again: copies of one paragraph have met by way of their leaders
     roots = connected_components(linked).withColumnRenamed("node", "key")
     known = written(members.join(roots, F.col("u.key") == F.col("key"), "left").select("bucket", "u", "rank", F.coalesce("root", "u.key").alias("u_root")))
-    open_ones = known.groupBy("bucket").agg(F.min("u_root").alias("least"), F.max("u_root").alias("most"), F.max_by("u_root", "rank").alias("main")).where("least < most").select("bucket", "main")
-    known = known.drop("rank").join(open_ones, "bucket")
-    others = known.where("u_root <> main").drop("main")
-    met = known.select("bucket", F.col("u").alias("v"), F.col("u_root").alias("v_root"), "main")
+    by_root = known.groupBy("bucket", "u_root").agg(F.count("*").alias("size"), F.max("rank").alias("rank"))
+    sizes = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("inside"), F.max_by("u_root", "rank").alias("main"))
+    crowded = F.col("rows") * F.col("rows") - F.col("inside") > PER_MEMBER * F.col("rows")
+    known = written(join_facts(known.drop("rank"), sizes.where("roots > 1").select("bucket", "main", "rows", F.col("rows").alias("count"), crowded.alias("crowded")), "bucket", "count"))
+    few = known.where("not crowded")
+    others = few.where("u_root <> main").drop("main")
+    met = few.select("bucket", F.col("u").alias("v"), F.col("u_root").alias("v_root"), "main")
     once = (F.col("v_root") == F.col("main")) | (F.col("u.key") < F.col("v.key"))
     rest = others.join(met, (others["bucket"] == met["bucket"]) & (F.col("u_root") != F.col("v_root")) & once & _may_be_similar("u", "v"))
+    many = written(known.where("crowded").groupBy("u.key").agg(F.first("u").alias("u"), F.first("u_root").alias("u_root")))
+    rest = rest.select("u", "v").unionByName(_by_prefix(many, facts))
     return linked.unionByName(verified(rest.select(*pair("u.key", "v.key")).distinct()))
 
 

@@ -42,3 +42,21 @@ def written(df: DataFrame) -> DataFrame:
     """
     df.write.parquet(path := f"{checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}")
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Tables between the steps of one job, in a folder of their own that goes when their last reader is done."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder, self.count = spark, f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}", 0
+
+    def written(self, df: DataFrame) -> DataFrame:
+        """written() into the folder."""
+        self.count += 1
+        df.write.parquet(path := f"{self.folder}/{self.count}")
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Delete the folder, in whatever store it is; nothing may read its tables later."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

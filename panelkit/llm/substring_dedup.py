@@ -35,7 +35,7 @@ from panelkit.llm.components import connected_components
 from panelkit.llm.prefilter import likely_in
 from panelkit.llm.skew import join_facts
 from panelkit.llm.text import LAST, documents_of
-from panelkit.session import written
+from panelkit.session import Scratch, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 8, 3
@@ -229,7 +229,7 @@ def _may_be_similar(a: str, b: str) -> Column:
     return (F.least(n, m) >= SIMILARITY * F.greatest(n, m)) & enough(n - lacking(a, b)) & enough(m - lacking(b, a))
 
 
-def _by_prefix(members: DataFrame, facts: DataFrame) -> DataFrame:
+def _by_prefix(members: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFrame:
     """(u, v): the pairs of different components among members(key, u, u_root) that may be similar, by the shingles that are rarest among them.
 
     With their shingles in one order, two sets of n >= m shingles can only be similar if one of the first n - SIMILARITY * n + 1 of the larger is among the
@@ -244,10 +244,10 @@ def _by_prefix(members: DataFrame, facts: DataFrame) -> DataFrame:
     probes = n - F.ceil(F.lit(SIMILARITY) * n - 1e-9) + 1
     listed = n - F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * n - 1e-9) + 1
     first = ordered.select("u", "u_root", listed.alias("listed"), F.posexplode(F.slice("all", F.lit(1), probes.cast("int"))).alias("pos", "s"))
-    placed = written(first.where("s.n_with > 1").select("u", "u_root", F.col("s.shingle").alias("shingle"), (F.col("pos") < F.col("listed")).alias("index")))
+    placed = scratch.written(first.where("s.n_with > 1").select("u", "u_root", F.col("s.shingle").alias("shingle"), (F.col("pos") < F.col("listed")).alias("index")))
     roots = placed.groupBy("shingle", "u_root").agg(F.count("*").alias("size"), F.count_if("index").alias("indexed"))
     shared = roots.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("indexed").alias("indexed"), F.sum("size").alias("rows"), F.max_by("u_root", "size").alias("main"))
-    met = written(join_facts(placed, shared.where("roots > 1 and indexed > 0").drop("roots", "indexed"), "shingle", "rows"))
+    met = scratch.written(join_facts(placed, shared.where("roots > 1 and indexed > 0").drop("roots", "indexed"), "shingle", "rows"))
     listed = met.where("index").select("shingle", F.col("u").alias("v"), F.col("u_root").alias("v_root"), "main")
     apart = (F.col("u_root") != F.col("v_root")) & (F.struct("u.n", "u.key") > F.struct("v.n", "v.key")) & _may_be_similar("u", "v")
     on_shingle = lambda probing, held: probing.select("shingle", "u", "u_root").join(held.drop("main"), "shingle").where(apart)
@@ -256,17 +256,18 @@ def _by_prefix(members: DataFrame, facts: DataFrame) -> DataFrame:
     return pairs.select("u", "v")
 
 
-def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """(u, v): keys of different paragraphs that collide in a band and are similar enough, but for pairs that others link.
 
-    kinds: key, bands of every paragraph; classes: key, n_rows, at (where one of its paragraphs is); docs: doc, text_id, text.
+    scratch gets the tables in between. kinds: key, bands of every paragraph; classes: key, n_rows, at (where one of its paragraphs is); docs: doc, text_id, text.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     placed = kinds.select("key", F.explode("bands").alias("bucket"))
-    buckets = written(placed.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size"))
-    shared = written(join_facts(placed.where(likely_in(buckets, "bucket")(F.col("bucket"))), buckets.withColumn("rows", F.col("size")), "bucket", "rows").distinct())
+    buckets = scratch.written(placed.groupBy("bucket").agg(F.min("key").alias("least"), F.max("key").alias("most"), F.count("*").alias("size")).where("least < most").select("bucket", "size"))
+    shared = scratch.written(join_facts(placed.where(likely_in(buckets, "bucket")(F.col("bucket"))), buckets.withColumn("rows", F.col("size")), "bucket", "rows").distinct())
     wanted = shared.groupBy("key").agg(F.sum("size").alias("weight")).join(classes.select("key", "n_rows", "at.*"), "key")
     span = F.struct("key", "start", "length", "weight", "n_rows")
-    by_doc = written(wanted.groupBy("doc", "text_id").agg(F.collect_list(span).alias("spans")))
+    by_doc = scratch.written(wanted.groupBy("doc", "text_id").agg(F.collect_list(span).alias("spans")))
     needed = docs.where(likely_in(by_doc, "text_id")(F.col("text_id")))
 
     def sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,8 +283,8 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
 
     types = [pa.int64()] * 4 + [pa.list_(pa.int64())] * 2
     sized = needed.join(by_doc, ["doc", "text_id"]).select("text", "spans").mapInArrow(sets, "key long, weight long, n_rows long, n long, map array<long>, found array<long>")
-    facts = written(sized.dropDuplicates(["key"]))
-    members = written(shared.drop("size").join(facts.drop("found"), "key").select("bucket", F.struct("key", "n", "map").alias("u"), F.struct("weight", "n_rows", F.xxhash64("key", "bucket")).alias("rank")))
+    facts = scratch.written(sized.dropDuplicates(["key"]))
+    members = scratch.written(shared.drop("size").join(facts.drop("found"), "key").select("bucket", F.struct("key", "n", "map").alias("u"), F.struct("weight", "n_rows", F.xxhash64("key", "bucket")).alias("rank")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         a, b = (facts.select(F.col("key").alias(x), F.col("n").alias(f"n_{x}"), F.col("found").alias(f"found_{x}")) for x in "uv")
@@ -293,21 +294,23 @@ def _links(kinds: DataFrame, classes: DataFrame, docs: DataFrame) -> DataFrame:
     pair = lambda x, y: (F.greatest(x, y).alias("u"), F.least(x, y).alias("v"))
     leaders = members.groupBy("bucket").agg(F.max_by("u", "rank").alias("v"), F.count("*").alias("rows"))
     led = join_facts(members, leaders, "bucket", "rows").where((F.col("u.key") != F.col("v.key")) & _may_be_similar("u", "v"))
-    linked = written(verified(led.select(*pair("u.key", "v.key")).distinct()))
+    linked = scratch.written(verified(led.select(*pair("u.key", "v.key")).distinct()))
     # what is in one component by now need not be compared again: copies of one paragraph have met by way of their leaders
     roots = connected_components(linked).withColumnRenamed("node", "key")
-    known = written(members.join(roots, F.col("u.key") == F.col("key"), "left").select("bucket", "u", "rank", F.coalesce("root", "u.key").alias("u_root")))
+    known = scratch.written(members.join(roots, F.col("u.key") == F.col("key"), "left").select("bucket", "u", "rank", F.coalesce("root", "u.key").alias("u_root")))
     by_root = known.groupBy("bucket", "u_root").agg(F.count("*").alias("size"), F.max("rank").alias("rank"))
     sizes = by_root.groupBy("bucket").agg(F.count("*").alias("roots"), F.sum("size").alias("rows"), F.sum(F.col("size") * F.col("size")).alias("inside"), F.max_by("u_root", "rank").alias("main"))
     crowded = F.col("rows") * F.col("rows") - F.col("inside") > PER_MEMBER * F.col("rows")
-    known = written(join_facts(known.drop("rank"), sizes.where("roots > 1").select("bucket", "main", "rows", F.col("rows").alias("count"), crowded.alias("crowded")), "bucket", "count"))
+    known = scratch.written(join_facts(known.drop("rank"), sizes.where("roots > 1").select("bucket", "main", "rows", F.col("rows").alias("count"), crowded.alias("crowded")), "bucket", "count"))
     few = known.where("not crowded")
     others = few.where("u_root <> main").drop("main")
     met = few.select("bucket", F.col("u").alias("v"), F.col("u_root").alias("v_root"), "main")
     once = (F.col("v_root") == F.col("main")) | (F.col("u.key") < F.col("v.key"))
     rest = others.join(met, (others["bucket"] == met["bucket"]) & (F.col("u_root") != F.col("v_root")) & once & _may_be_similar("u", "v"))
-    many = written(known.where("crowded").groupBy("u.key").agg(F.first("u").alias("u"), F.first("u_root").alias("u_root")))
-    rest = rest.select("u", "v").unionByName(_by_prefix(many, facts))
+    many = scratch.written(known.where("crowded").groupBy("u.key").agg(F.first("u").alias("u"), F.first("u_root").alias("u_root")))
+    rest = rest.select("u", "v")
+    if not many.isEmpty():
+        rest = rest.unionByName(_by_prefix(many, facts, scratch))
     return linked.unionByName(verified(rest.select(*pair("u.key", "v.key")).distinct()))
 
 
@@ -374,7 +377,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     is_paragraph = F.col("bands").isNotNull()
     at = F.struct("doc", "text_id", "start", "length")
     classes = written(units.where(is_paragraph).groupBy("key").agg(F.min(at).alias("at"), F.max("doc").alias("last_doc"), F.count("*").alias("n_rows")))
-    roots = connected_components(_links(units.where(is_paragraph).select("key", "bands"), classes, rows))
+    scratch = Scratch(docs.sparkSession)
+    roots = connected_components(_links(units.where(is_paragraph).select("key", "bands"), classes, rows, scratch))
+    scratch.drop()  # the components lie in a checkpoint of their own
     rooted = classes.join(roots.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     kept = rooted.groupBy("root").agg(F.min("at.doc").alias("kept"), F.max("last_doc").alias("last")).where("kept < last").drop("last")
     place = "struct<doc: long, text_id: long, start: long>"

@@ -474,6 +474,36 @@ def test_paragraph_components_against_all_pairs(spark):
     assert all(root[i] == root[r] for i, r in got.items())
 
 
+@pytest.mark.parametrize("per_member", [64, 0])
+def test_crowded_buckets_against_all_pairs(spark, monkeypatch, per_member):
+    monkeypatch.setattr(substring_dedup, "PER_MEMBER", per_member)
+    draw = random.Random(11)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for k in range(60):
+        words = list(base)
+        for p in draw.sample((5, 20, 35, 50), draw.choice((1, 2, 3))):
+            words[p] = f"s{draw.randrange(6)}"
+        texts.append(" ".join(words))
+    sets = {t: {tuple(t.split()[i : i + 5]) for i in range(56)} for t in texts}
+    root = {t: t for t in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = root[a], root[b]
+                root = {t: min(x, y) if r in (x, y) else r for t, r in root.items()}
+    rows = frame(spark, list(enumerate(texts)))
+    units = substring_dedup.written(substring_dedup._identified(rows, "doc_id", "text").mapInArrow(substring_dedup._units, substring_dedup.UNIT_SCHEMA)).where("bands is not null")
+    classes = units.groupBy("key").agg(F.min(F.struct("doc", "text_id", "start", "length")).alias("at"), F.count("*").alias("n_rows"))
+    one = units.select("key", F.array(F.lit(1).cast("long")).alias("bands"))  # all of them in one bucket
+    links = substring_dedup._links(one, classes, substring_dedup._identified(rows, "doc_id", "text"), substring_dedup.Scratch(spark))
+    found = {r.node: r.root for r in substring_dedup.connected_components(links).collect()}
+    key = {r.doc: r.key for r in units.collect()}
+    got = {t: found.get(key[k], key[k]) for k, t in enumerate(texts)}
+    same = lambda labels: {frozenset(t for t in labels if labels[t] == r) for r in set(labels.values())}
+    assert same(got) == same(root) and 1 < len(same(root))
+
+
 def test_the_bound_of_maps_loses_no_pair():
     rng = np.random.default_rng(5)
     for n in (10, 100, 1000):
@@ -495,7 +525,7 @@ def test_prefilter_loses_nothing(spark):
 
 def test_queries_against_sql(spark):
     con = duckdb.connect()
-    for name in ("documents", "benchmark"):
+    for name in ("documents", "benchmark", "embeddings", "conversations"):
         con.sql(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         got = queries.QUERIES[name](spark, SMALL).toPandas()

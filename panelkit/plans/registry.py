@@ -23,6 +23,7 @@ from panelkit.operators import panel as panels
 from panelkit.plans import inputs as I
 from panelkit.session import checkpoint_dir, table, written
 from panelkit.sources import readers, sinks
+from panelkit.streaming import arrivals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -259,6 +260,17 @@ def stitch_signals(spark, sf):
     return signals.stitch_signals(I.chunks(spark, sf))
 
 
+@query("SELECT keyword, market, date, round(value, 6) AS value FROM stitched")
+def stitch_arrivals(spark, sf):
+    """The chunks arrive in two lots, the later years first."""
+    root = _folder(spark)
+    state, chunks = arrivals.StitchedSeries(spark, f"{root}/state"), I.chunks(spark, sf)
+    for lot in (F.col("chunk") >= "1998", F.col("chunk") < "1998"):
+        chunks.where(lot).write.mode("append").parquet(f"{root}/arrived")
+        state.update(arrivals.stream_chunks(spark, f"{root}/arrived"))
+    return state.series()
+
+
 @query("SELECT keyword, market, seq, n_shared, round(ratio, 6) AS ratio FROM ratios")
 def overlap_ratios(spark, sf):
     c = I.chunks(spark, sf)

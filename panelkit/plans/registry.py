@@ -83,24 +83,43 @@ def panel_query(sql: str, name: str | None = None):
     return register
 
 
-@panel_query("""
+def _persistence(rows: DataFrame) -> DataFrame:
+    from pyspark.sql import Window
+
+    rows = features.add_momentum(features.add_rolling(features.add_lags(rows, ["signal_A"]), ["signal_A"]), ["signal_A"])
+    rows = rows.withColumn("predicted", F.lag("rate", 1).over(Window.partitionBy("entity").orderBy("date"))).dropna(subset=["rate", "predicted"])
+    error = F.col("rate") - F.col("predicted")
+    return rows.groupBy("date").agg(
+        F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg("signal_A_momentum").alias("mean_momentum"), F.avg("signal_A_roll3").alias("mean_roll3")
+    )
+
+
+def _whole_panel(spark: SparkSession, sf: str) -> DataFrame:
+    return _signal_panel(spark, sf, I.order_counts(spark, sf).select("entity", "date", F.col("n_orders").cast("double").alias("apps")))
+
+
+_PERSISTENCE = """
 , whole AS (SELECT a.* REPLACE (o.n_orders::DOUBLE AS apps, o.n_orders / a.population AS rate) FROM assembled a JOIN order_counts o USING (entity, date)), featured AS (SELECT *, "signal_A" AS a_lag1, lag("signal_A") OVER w AS a_lag2, lag(rate) OVER w AS predicted,
   CASE WHEN count("signal_A") OVER r >= 2 THEN avg("signal_A") OVER r END AS a_roll3
   FROM whole WINDOW w AS (PARTITION BY entity ORDER BY date), r AS (PARTITION BY entity ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW))
 SELECT date, count(*) AS n, round(avg(abs(rate - predicted)), 6) AS mae, round(sqrt(avg((rate - predicted) ** 2)), 6) AS rmse,
   round(avg(a_lag1 - a_lag2), 6) AS mean_momentum, round(avg(a_roll3), 6) AS mean_roll3
 FROM featured WHERE rate IS NOT NULL AND predicted IS NOT NULL GROUP BY 1
-""")
+"""
+
+
+@panel_query(_PERSISTENCE)
 def persistence_backtest(spark, sf):
-    from pyspark.sql import Window
+    return _persistence(_whole_panel(spark, sf))
 
-    whole = I.order_counts(spark, sf).select("entity", "date", F.col("n_orders").cast("double").alias("apps"))
-    rows = features.add_momentum(features.add_rolling(features.add_lags(_signal_panel(spark, sf, whole), ["signal_A"]), ["signal_A"]), ["signal_A"])
-    rows = rows.withColumn("predicted", F.lag("rate", 1).over(Window.partitionBy("entity").orderBy("date"))).dropna(subset=["rate", "predicted"])
-    error = F.col("rate") - F.col("predicted")
-    return rows.groupBy("date").agg(
-        F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg("signal_A_momentum").alias("mean_momentum"), F.avg("signal_A_roll3").alias("mean_roll3")
-    )
+
+@panel_query(_PERSISTENCE)
+def bucketed_backtest(spark, sf):
+    """The panel is written once by entity, and back-tested without being dealt out again; its last year is then replaced alone."""
+    panel, name = _whole_panel(spark, sf), f"panel_{uuid.uuid4().hex}"
+    sinks.write_bucketed(panel, name, _folder(spark), years=True)
+    sinks.replace_years(panel.where(F.year("date") == 2001), name)
+    return _persistence(spark.table(name))
 
 
 # --- parsing ------------------------------------------------------------------------------------------------------
@@ -174,18 +193,20 @@ def _exports(spark, sf, keyword: str, root: str) -> None:
     _by_market(head.unionByName(data), f"{root}/{keyword}", "at")
 
 
-@query("SELECT date, round(value, 6) AS value FROM weekly WHERE keyword = 'A'")
+@query("SELECT date, round(value, 6) AS value FROM weekly")
 def read_export_csv(spark, sf):
-    _exports(spark, sf, "A", root := _folder(spark))
-    return readers.read_export_csv(spark, f"{root}/A/*/*.csv").select("date", "value")
+    root = _folder(spark)
+    for k in I.KEYWORDS:
+        _exports(spark, sf, k, root)
+    return readers.read_export_csv(spark, f"{root}/*/*/*.csv").select("date", "value")
 
 
-@query("SELECT keyword, date, round(value, 6) AS value FROM weekly WHERE keyword IN ('A', 'N')")
+@query("SELECT keyword, date, round(value, 6) AS value FROM weekly")
 def read_prediction_signals(spark, sf):
     root = _folder(spark)
-    for k in ("A", "N"):
+    for k in I.KEYWORDS:
         _exports(spark, sf, k, root)
-    return readers.read_prediction_signals(spark, root, {"A/*": "A", "N/*": "N"}).select("keyword", "date", "value")
+    return readers.read_prediction_signals(spark, root, {f"{k}/*": k for k in I.KEYWORDS}).select("keyword", "date", "value")
 
 
 _PARSED = """SELECT concat(entity, ' County') AS entity, date, (date - INTERVAL 1 MONTH)::DATE AS trend_date, CASE WHEN n_orders >= 4 THEN (n_orders * 1234)::DOUBLE END AS apps FROM order_counts"""
@@ -223,9 +244,9 @@ def write_table(spark, sf):
     return spark.read.parquet(path)
 
 
-@query("SELECT market, date, round(value, 6) AS value FROM weekly WHERE keyword = 'A'")
+@query("SELECT keyword || ' ' || market AS market, date, round(value, 6) AS value FROM weekly")
 def write_series(spark, sf):
-    sinks.write_series(I.weekly(spark, sf).where("keyword = 'A'"), path := _folder(spark))
+    sinks.write_series(I.weekly(spark, sf).withColumn("market", F.concat_ws(" ", "keyword", "market")), path := _folder(spark))
     return spark.read.schema("date date, value double, market string").csv(path).select("market", "date", "value")
 
 

@@ -18,6 +18,25 @@ def write_table(df: DataFrame, path: str, entity: str = "entity", date: str = "d
     rows.sortWithinPartitions(entity, date).write.mode("overwrite").partitionBy("year").option("header", kind == "csv").format(kind).save(path)
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, entity: str = "entity", date: str = "date", buckets: int = 16, years: bool = False) -> None:
+    """A panel that is read again and again, as a table bucketed by entity: joins by entity alone with tables of as many buckets, aggregations and
+    windows need no exchange. With `years` it is also partitioned by year, so that replace_years() can exchange some of them."""
+    rows = (df.withColumn("year", F.year(date)) if years else df).repartition(buckets, entity)
+    writer = rows.write.mode("overwrite").format("parquet").bucketBy(buckets, entity).sortBy(entity, date).option("path", path)
+    (writer.partitionBy("year") if years else writer).saveAsTable(table)
+
+
+def replace_years(df: DataFrame, table: str, entity: str = "entity", date: str = "date") -> None:
+    """Write the years of df over those of a table of write_bucketed(); its other years stay as they are."""
+    spark, mode = df.sparkSession, "spark.sql.sources.partitionOverwriteMode"  # inserting into a table heeds the setting alone, no option
+    rows, before = df.withColumn("year", F.year(date)).select(*spark.table(table).columns).repartition(entity), spark.conf.get(mode)
+    spark.conf.set(mode, "dynamic")
+    try:
+        rows.write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(mode, before)
+
+
 def write_series(df: DataFrame, path: str, market: str = "market") -> None:
     """Write date and value of each market to a folder of its own, without header."""
     df.select(market, "date", "value").repartition(market).sortWithinPartitions("date").write.mode("overwrite").partitionBy(market).csv(path, header=False)

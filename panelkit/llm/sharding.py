@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+#: Slots that are listed at once where equal rows are dealt out again.
+RUN = 4096
 
 
 def _digest(*parts: Column) -> Column:
@@ -63,7 +65,9 @@ def number_slots(rows: DataFrame, shard_col: str, order: Sequence[str], buckets:
         "__inside", F.coalesce(F.sum("__n").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     ).join(starts, (F.col(shard_col) == F.col("__s")) & (F.col("__bucket") == F.col("__b")))
     first = F.col("__start") + F.col("__inside")
-    return numbered.select(*columns, F.explode(F.sequence(first, first + F.col("__n") - 1)).alias("slot"))
+    last = first + F.col("__n") - 1
+    runs = numbered.select(*columns, last.alias("__last"), F.explode(F.sequence(first, last, F.lit(RUN).cast("long"))).alias("__first"))  # no list holds more than one number in RUN of a row's copies, or RUN
+    return runs.select(*columns, F.explode(F.sequence("__first", F.least(F.col("__first") + RUN - 1, "__last"))).alias("slot"))
 
 
 def shard_report(docs: DataFrame, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

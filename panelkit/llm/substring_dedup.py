@@ -24,6 +24,7 @@ meet by their rarest shingles instead of two by two. Neither bound loses a pair,
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,8 @@ SEED, CERTAIN = 14, 50
 REACH = CERTAIN - SEED + 1
 #: A bucket whose members have more partners in other components than this, on the average, is crowded.
 PER_MEMBER = 64
+#: Cells of the table that ranks shingles by how rare they are, and of a page of it.
+CELLS, PAGE = 1 << 18, 64
 #: Bits of the map that a paragraph's shingles are drawn into.
 MAP_BITS = 512
 #: Words of the documents that are worked on at once.
@@ -236,15 +239,41 @@ def _by_prefix(members: DataFrame, facts: DataFrame, scratch: Scratch) -> DataFr
     first m - 2 * SIMILARITY / (1 + SIMILARITY) * m + 1 of the smaller. What sets a paragraph of a template apart from the others is rare, so it
     fills these places, and paragraphs that are too different have none in common.
     """
-    own = members.join(facts.select("key", "found"), "key").select("key", F.explode("found").alias("shingle"))
-    rarity = own.groupBy("shingle").agg(F.count("*").alias("rows"))
-    rare = join_facts(own, rarity.withColumn("n_with", F.col("rows")), "shingle", "rows")
-    ordered = rare.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("n_with", "shingle"))).alias("all")).join(members, "key")
-    n = F.size("all")
-    probes = n - F.ceil(F.lit(SIMILARITY) * n - 1e-9) + 1
-    listed = n - F.ceil(F.lit(2 * SIMILARITY / (1 + SIMILARITY)) * n - 1e-9) + 1
-    first = ordered.select("u", "u_root", listed.alias("listed"), F.posexplode(F.slice("all", F.lit(1), probes.cast("int"))).alias("pos", "s"))
-    placed = scratch.written(first.where("s.n_with > 1").select("u", "u_root", F.col("s.shingle").alias("shingle"), (F.col("pos") < F.col("listed")).alias("index")))
+    own = scratch.written(members.join(facts.select("key", "found"), "key"))
+    # how rare a shingle is, by the cell of a fixed table that it falls into: any order will do that is the same for all, and a count of 1 is never too low
+
+    def counted(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(CELLS, np.int64)
+        for part in parts:
+            cells += np.bincount(part.column("found").flatten().to_numpy() & (CELLS - 1), minlength=CELLS)
+        if cells.any():
+            pages = np.minimum(cells, 2**31 - 1).reshape(-1, PAGE)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(pages)), pa.int32()), pa.array(pages.tolist(), pa.list_(pa.int64()))], ["page", "cells"])
+
+    pages = own.select("found").mapInArrow(counted, "page int, cells array<long>").groupBy("page").agg(*[F.sum(F.col("cells")[k]).alias(f"c{k}") for k in range(PAGE)])
+    table = np.zeros((CELLS // PAGE, PAGE), np.int64)
+    for r in pages.toLocalIterator():  # CELLS numbers in all, whatever the input
+        table[r[0]] = r[1:]
+    rarity = members.sparkSession.sparkContext.broadcast(table.ravel())
+
+    def first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at, hashes, index = [], [], []
+            for row, found in enumerate(part.column("found")):
+                x = found.values.to_numpy()
+                n = len(x)
+                probes, listed = n - ceil(SIMILARITY * n - 1e-9) + 1, n - ceil(2 * SIMILARITY / (1 + SIMILARITY) * n - 1e-9) + 1
+                often = rarity.value[x & (CELLS - 1)]
+                order = np.lexsort((x, often))[:probes]
+                held = often[order] > 1  # others have no second paragraph
+                at += [row] * int(held.sum())
+                hashes.append(x[order][held])
+                index.append((np.arange(len(order)) < listed)[held])
+            rows = part.select(["u", "u_root"]).take(pa.array(at, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(np.concatenate([np.zeros(0, np.int64), *hashes])), pa.array(np.concatenate([np.zeros(0, bool), *index]))], ["u", "u_root", "shingle", "index"])
+
+    kind = members.select("u", "u_root").schema.add("shingle", "long").add("index", "boolean")
+    placed = scratch.written(own.select("u", "u_root", "found").mapInArrow(first, kind))
     roots = placed.groupBy("shingle", "u_root").agg(F.count("*").alias("size"), F.count_if("index").alias("indexed"))
     shared = roots.groupBy("shingle").agg(F.count("*").alias("roots"), F.sum("indexed").alias("indexed"), F.sum("size").alias("rows"), F.max_by("u_root", "size").alias("main"))
     met = scratch.written(join_facts(placed, shared.where("roots > 1 and indexed > 0").drop("roots", "indexed"), "shingle", "rows"))

@@ -1016,14 +1016,14 @@ SETTINGS = replace(boosting.PRODUCTION, trees=20, depth=4, rate=0.2)
 
 
 @query(None)
-def train_and_predict(spark, sf):
+def train_and_predict_trees(spark, sf):
     rows = _training_rows(spark, sf)
     model = boosting.train(rows, FEATURES, "rate", SETTINGS)
     return rows.select("entity", "date", F.col("rate").alias("actual"), model.column().alias("predicted"))
 
 
 @query(None)
-def train_and_predict_mllib(spark, sf):
+def train_and_predict(spark, sf):
     rows = _training_rows(spark, sf)
     model = backtest.train_regressor(rows, FEATURES, "rate")
     return backtest.predict(model, rows, FEATURES).select("entity", "date", F.col("rate").alias("actual"), "predicted")
@@ -1031,6 +1031,11 @@ def train_and_predict_mllib(spark, sf):
 
 @query(None)
 def feature_importance(spark, sf):
+    return backtest.feature_importance(backtest.train_regressor(_training_rows(spark, sf), FEATURES, "rate"), FEATURES, spark)
+
+
+@query(None)
+def feature_importance_trees(spark, sf):
     return spark.createDataFrame(boosting.train(_training_rows(spark, sf), FEATURES, "rate", SETTINGS).importance(), "feature string, importance double")
 
 
@@ -1133,12 +1138,25 @@ def attach_forecast(spark, sf):
     return shown.withColumn("next_month", F.lit("2001-07-01").cast("date"))
 
 
+_FORECAST = replace(SETTINGS, trees=10)
+
+
+def _band(rows: DataFrame) -> float:
+    """The mean error of the walk-forward back-test by trees."""
+    return metrics.interval_mae(boosting.walk_forward(rows, FEATURES, "rate", settings=_FORECAST)).first()["mae"]
+
+
 @query(None)
 def forecast_next(spark, sf):
-    """The band is the mean error of the walk-forward back-test by the same trees."""
     rows = _training_rows(spark, sf)
-    settings = replace(SETTINGS, trees=10)
-    mae = metrics.interval_mae(boosting.walk_forward(rows, FEATURES, "rate", settings=settings)).first()["mae"]
-    model = boosting.train(rows, FEATURES, "rate", settings)
+    model = backtest.train_regressor(rows, FEATURES, "rate")
+    return forecast.forecast_next(model, _forecast_rows(spark, sf, _recent_signals(spark, sf)), FEATURES, _band(rows))
+
+
+@query(None)
+def forecast_next_trees(spark, sf):
+    """The band is that of the same trees."""
+    rows = _training_rows(spark, sf)
+    mae, model = _band(rows), boosting.train(rows, FEATURES, "rate", _FORECAST)
     ahead = _forecast_rows(spark, sf, _recent_signals(spark, sf)).dropna(subset=FEATURES)
     return forecast.scored(ahead.withColumn("predicted", model.column()), mae)

@@ -7,16 +7,17 @@ marks between them. A document is the bag of these pieces: its score comes from
 reach into the margin together and on the average, so that a long clean text is not judged by its one unlucky word.
 
 Labels are of documents, so training takes them as bags: of the beginnings found nearly only in toxic
-documents, the fewest that explain these witness for them; the words of clean ones are counterexamples. Landmarks
-are drawn from both; in their Nyström space a linear machine with squared hinge loss is fitted, twice,
-the second time with the clean words that come nearest. As the kernel has an explicit map onto letter
-triples, the machine folds into one weight for each triple, and a word costs a few lookups.
+documents, the fewest that explain these witness for them; all words of clean ones are counterexamples. Landmarks
+are witnesses, frequent clean words and the clean words that come nearest to a witness. In their Nyström space a linear machine with squared
+hinge loss is fitted over all words of either kind: tasks add up loss, gradient and Hessian of their share of the words, and Newton's steps
+are taken on the driver, where nothing grows with the words. As the kernel has an explicit map onto letter
+triples, the machine folds into one weight for each triple of the landmarks, and a word costs a few lookups.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from itertools import combinations
 
@@ -28,19 +29,22 @@ from pyspark.sql import functions as F
 
 from panelkit.llm.sampling import labelled_ids
 from panelkit.llm.text import documents_of, held_out
-from panelkit.session import checkpointed
+from panelkit.session import Scratch, checkpointed
 
 FOLD = (4, 2)
 THRESHOLD = 0.3
 #: Most labelled documents that the machine is fitted on.
 SAMPLE = 10_000
-#: Most words of either kind in the fit, and landmarks of either kind.
-WORDS, LANDMARKS = 4000, 96
+#: Landmarks of either kind.
+LANDMARKS = 96
+#: The weight of a clean word in the fit; the witnesses weigh one in all.
+CLEAN_COST = 1 / 8000
+#: Tasks that the words of the fit are spread over, and the most Newton steps.
+TASKS, STEPS = 16, 40
 ORDER, SPAN, DECAY = 3, 6, 0.6
 #: Letters of a beginning, which stands for all forms of a word.
 BEGIN = 4
-ALPHABET = 64
-#: Words longer than this are cut into overlapping pieces.
+#: Words longer than this are cut into overlapping pieces, when fitted as when scored.
 LONGEST = 32
 #: Words whose values a worker remembers.
 REMEMBERED = 700_000
@@ -84,22 +88,13 @@ def _places(n: int) -> tuple[np.ndarray, np.ndarray]:
     return at, DECAY ** (at[:, -1] - at[:, 0] + 1.0)
 
 
-#: Bits that number the subsequences of a word of up to LONGEST letters.
-_SHIFT = 9
+#: Bits that number the subsequences of a word of up to LONGEST letters, and bits of a letter's code point; no letter lies beyond these.
+_SHIFT, _CODE = 9, 18
 _PLACES = {n: _places(n) for n in range(ORDER, LONGEST + 1)}
 
 
-def alphabet_of(words: Iterable[str]) -> dict[str, int]:
-    """Numbers from 1 for the most frequent letters; others count as 0."""
-    counts: dict[str, int] = {}
-    for w in words:
-        for c in w:
-            counts[c] = counts.get(c, 0) + 1
-    return {c: k for k, c in enumerate(sorted(counts, key=lambda c: (-counts[c], c))[: ALPHABET - 1], 1)}
-
-
-def triples(words: list[str], letters: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """By length: (places of the words in the list, their triples, the triples' weights, the squared norms)."""
+def triples(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """By length: (places of the words in the list, their triples, the triples' weights, the squared norms). A triple is made of three code points."""
     by_length: dict[int, list[int]] = {}
     for k, w in enumerate(words):
         if ORDER <= len(w) <= LONGEST:
@@ -108,9 +103,9 @@ def triples(words: list[str], letters: dict[str, int]) -> Iterator[tuple[np.ndar
         at, weights = _PLACES[n]
         for s in range(0, len(where), 4096):
             part = where[s : s + 4096]
-            codes = np.array([[letters.get(c, 0) for c in words[k]] for k in part], np.int32)
-            ids = (codes[:, at[:, 0]] * ALPHABET + codes[:, at[:, 1]]) * ALPHABET + codes[:, at[:, 2]]
-            packed = np.sort((ids << _SHIFT) | np.arange(len(weights), dtype=np.int32), axis=1)  # 18 bits of triple, 9 of place
+            codes = np.array([[ord(c) & ((1 << _CODE) - 1) for c in words[k]] for k in part], np.int64)
+            ids = (codes[:, at[:, 0]] << 2 * _CODE) | (codes[:, at[:, 1]] << _CODE) | codes[:, at[:, 2]]
+            packed = np.sort((ids << _SHIFT) | np.arange(len(weights)), axis=1)  # 54 bits of triple, 9 of place
             ordered, w = packed >> _SHIFT, weights[packed & ((1 << _SHIFT) - 1)]
             first = np.ones(ordered.shape, bool)
             first[:, 1:] = ordered[:, 1:] != ordered[:, :-1]
@@ -119,20 +114,31 @@ def triples(words: list[str], letters: dict[str, int]) -> Iterator[tuple[np.ndar
             yield np.array(part), ids, weights, norms
 
 
-def feature_map(words: list[str], letters: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-    """(place, map): the normalised map of a few words, one row each, over the triples that occur in them.
+def places_in(known: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Where each triple stands among the known ones, which are in order; len(known) for those that are not there."""
+    at = np.searchsorted(known, ids)
+    return np.where(np.append(known, -1)[at] == ids, at, len(known))
 
-    place gives the column of each triple; column 0 is for those that do not occur, and is empty.
-    """
-    found = list(triples(words, letters))
-    present = np.unique(np.concatenate([ids.ravel() for _, ids, _, _ in found])) if found else np.zeros(0, np.int64)
-    place = np.zeros(ALPHABET**ORDER, np.int32)
-    place[present] = np.arange(1, len(present) + 1)
-    out = np.zeros((len(words), len(present) + 1))
+
+def feature_map(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(known, map): the triples of a few words, in order, and the words' normalised maps over them, one row each; a last column is empty."""
+    found = list(triples(words))
+    known = np.unique(np.concatenate([ids.ravel() for _, ids, _, _ in found])) if found else np.zeros(0, np.int64)
+    out = np.zeros((len(words), len(known) + 1))
     for where, ids, weights, norms in found:
         for k, x, norm in zip(where, ids, norms):
-            np.add.at(out[k], place[x], weights / np.sqrt(norm))
-    return place, out
+            np.add.at(out[k], np.searchsorted(known, x), weights / np.sqrt(norm))
+    return known, out
+
+
+def kernel(words: list[str], known: np.ndarray, mapped: np.ndarray) -> np.ndarray:
+    """Kernel values of words and landmarks, which feature_map() has mapped."""
+    out, columns = np.zeros((len(words), len(mapped))), np.ascontiguousarray(mapped.T)
+    for where, ids, weights, norms in triples(words):
+        for s in range(0, len(where), 64):
+            part = slice(s, s + 64)
+            out[where[part]] = weights @ columns[places_in(known, ids[part])] / np.sqrt(norms[part])[:, None]
+    return out
 
 
 #: Highest decision values of a document that its score is made of.
@@ -141,9 +147,9 @@ TOP = 3
 
 @dataclass(frozen=True)
 class Machine:
-    """The folded machine: a weight for each letter triple, and the logistic model from a document's measures to its score."""
+    """The folded machine: a weight for each letter triple of the landmarks, 0 for others, and the logistic model from a document's measures to its score."""
 
-    letters: dict[str, int]
+    known: np.ndarray
     weights: np.ndarray
     bias: float
     slopes: np.ndarray = field(default_factory=lambda: np.eye(1, TOP + 2)[0])
@@ -152,8 +158,8 @@ class Machine:
     def values(self, words: list[str]) -> np.ndarray:
         """Decision values; words of fewer than three letters have the bias."""
         out = np.full(len(words), self.bias)
-        for where, ids, weights, norms in triples(words, self.letters):
-            out[where] += (self.weights[ids] * weights).sum(1) / np.sqrt(norms)
+        for where, ids, weights, norms in triples(words):
+            out[where] += (self.weights[places_in(self.known, ids)] * weights).sum(1) / np.sqrt(norms)
         return out
 
     def measures(self, values: np.ndarray) -> np.ndarray:
@@ -201,31 +207,67 @@ def _in_batches(scorer: Scorer, texts: list[str | None], size: int = 200) -> np.
     return np.concatenate([scorer.measures(texts[i : i + size]) for i in range(0, len(texts), size)] or [np.zeros((0, TOP + 2))])
 
 
-def _hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, penalty: float, steps: int = 800, rate: float = 0.05) -> tuple[np.ndarray, float]:
-    """A linear machine with squared hinge loss; y is 1 or -1."""
-    x = np.c_[x, np.ones(len(x))]
-    w, first, second = np.zeros(x.shape[1]), 0.0, 0.0
-    for k in range(1, steps + 1):
-        slack = np.maximum(0, 1 - y * (x @ w))
-        g = penalty * np.r_[w[:-1], 0] - 2 * x.T @ (cost * y * slack) / cost.sum()
-        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
-        w = w - rate * (first / (1 - 0.9**k)) / (np.sqrt(second / (1 - 0.999**k)) + 1e-8)
-    return w[:-1], float(w[-1])
-
-
-def fit_machine(toxic: dict[str, int], clean: list[str], marks: list[str], penalty: float = 1e-5) -> Machine:
-    """A machine from toxic words with their numbers of documents, clean words, and landmarks."""
-    letters = alphabet_of([*toxic, *clean])
-    if not toxic or not clean:
-        return Machine(letters, np.zeros(ALPHABET**ORDER, np.float32), -1.0)
-    place, mapped = feature_map(marks, letters)
+def hinge(x: np.ndarray, y: np.ndarray, cost: np.ndarray, w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+    """(loss, gradient, Hessian) of the squared hinge at w over rows x, of which the last column is 1; y is 1 or -1."""
+    slack = np.maximum(0, 1 - y * (x @ w))
+    a = x[slack > 0]
+    c = cost[slack > 0]
+    return float((cost * slack**2).sum()), -2 * a.T @ (c * (y * slack)[slack > 0]), 2 * (a * c[:, None]).T @ a
+
+
+def newton(sums: Callable[[np.ndarray], tuple[float, np.ndarray, np.ndarray]], size: int, penalty: float) -> np.ndarray:
+    """The w that makes penalty * |w|^2 / 2, without its last entry, and the loss of `sums` least. A step that does not help is halved."""
+    ridge = np.append(np.full(size - 1, penalty), 1e-9)
+
+    def at(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        loss, g, h = sums(w)
+        return loss + (ridge * w * w).sum() / 2, g + ridge * w, h + np.diag(ridge)
+
+    w = np.zeros(size)
+    loss, g, h = at(w)
+    step = np.linalg.solve(h, g)
+    for _ in range(STEPS):
+        if (tried := at(w - step))[0] > loss:
+            step = step / 2
+            continue
+        w, gained, (loss, g, h) = w - step, loss - tried[0], tried
+        if gained <= 1e-7 * loss:
+            break
+        step = np.linalg.solve(h, g)
+    return w
+
+
+def fit_machine(words: DataFrame, marks: list[str], penalty: float = 1e-4) -> Machine:
+    """A machine from all rows of words(word, y, cost), y 1 or -1, and landmarks."""
+    known, mapped = feature_map(marks)
     values, vectors = np.linalg.eigh(mapped @ mapped.T)
     root = vectors[:, values > 1e-4] / np.sqrt(values[values > 1e-4])  # K^(-1/2) up to a rotation
-    near = np.concatenate([_kernel(list(part), place, mapped, letters) for part in (toxic, clean)]) @ root
-    y = np.r_[np.ones(len(toxic)), -np.ones(len(clean))]
-    cost = np.sqrt(np.array(list(toxic.values()), float))
-    w, bias = _hinge(near, y, np.r_[cost / cost.sum(), np.full(len(clean), 1 / len(clean))], penalty)
-    return Machine(letters, ((root @ w) @ mapped)[place].astype(np.float32), bias)
+    size = root.shape[1] + 1
+
+    def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            x = np.c_[kernel(part.column("word").to_pylist(), known, mapped) @ root, np.ones(len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("y"), part.column("cost")], names=["x", "y", "cost"])
+
+    scratch = Scratch(words.sparkSession)
+    rows = scratch.written(words.repartition(TASKS, "word").sortWithinPartitions("word").mapInArrow(near, "x binary, y double, cost double"))
+
+    def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(1 + size + size * size)
+            for part in parts:
+                x = np.frombuffer(b"".join(part.column("x").to_pylist())).reshape(-1, size)
+                loss, g, h = hinge(x, part.column("y").to_numpy(), part.column("cost").to_numpy(), w)
+                total += np.concatenate([[loss], g, h.ravel()])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])
+
+        # a row of less than a megabyte from each of TASKS tasks; in order, so that sums do not depend on which ends first
+        total = sum(np.frombuffer(v) for v in sorted(bytes(r[0]) for r in rows.coalesce(TASKS).mapInArrow(added, "total binary").collect()))
+        return float(total[0]), total[1 : 1 + size], total[1 + size :].reshape(size, size)
+
+    w = newton(sums, size, penalty)
+    scratch.drop()
+    return Machine(known, ((root @ w[:-1]) @ mapped).astype(np.float32), float(w[-1]))
 
 
 def witnesses(found: list[tuple[int, str, str]], least: int = 3) -> dict[str, int]:
@@ -259,16 +301,6 @@ def witnesses(found: list[tuple[int, str, str]], least: int = 3) -> dict[str, in
     return dict(sorted(out.items(), key=lambda x: (-x[1], x[0])))
 
 
-def _kernel(words: list[str], place: np.ndarray, mapped: np.ndarray, letters: dict[str, int]) -> np.ndarray:
-    """Kernel values of words and landmarks."""
-    out = np.zeros((len(words), len(mapped)))
-    for where, ids, weights, norms in triples(words, letters):
-        at = place[ids]
-        for j, m in enumerate(mapped):
-            out[where, j] = (m[at] * weights).sum(1) / np.sqrt(norms)
-    return out
-
-
 def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, bound: int = SAMPLE) -> Machine:
     """A machine from at most `bound` labelled documents outside the held-out fold.
 
@@ -281,7 +313,7 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, boun
     def words(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for doc, t, y in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text", "label"))):
-                found = list({w for c in chunks_of(t) for w in words_in(c) if ORDER <= len(w) <= LONGEST})
+                found = list({p for c in chunks_of(t) for w in words_in(c) for p in _pieces(w) if len(p) >= ORDER})
                 yield pa.RecordBatch.from_arrays([pa.array([doc] * len(found), pa.int64()), pa.array(found, pa.string()), pa.array([y] * len(found), pa.int32())], names=["doc_id", "word", "label"])
 
     pairs = checkpointed(rows.mapInArrow(words, "doc_id long, word string, label int"))
@@ -293,25 +325,29 @@ def train(docs: DataFrame, labels: DataFrame, fold: tuple[int, int] = FOLD, boun
     keyed = pairs.where("label = 1").join(begins, begin == F.col("begin"), "left").join(alone, F.col("word") == F.col("alone"), "left")
     found = keyed.select("doc_id", "word", F.coalesce("begin", "alone").alias("key")).where("key is not null")
     toxic = witnesses([tuple(r) for r in found.collect()])
-    toxic = dict(list(toxic.items())[:WORDS])
     counter = pairs.groupBy("word").agg(F.sum(1 - F.col("label")).alias("c"), F.sum("label").alias("t")).where("c > 0 and c >= 2 * t")
     frequent = [r["word"] for r in counter.orderBy(F.desc("c"), "word").limit(LANDMARKS // 2).collect()]
-    clean = list(dict.fromkeys([*frequent, *(r["word"] for r in counter.orderBy(F.xxhash64("word"), "word").limit(WORDS).collect())]))
+    if not toxic or not frequent:
+        return calibrated(Machine(np.zeros(0, np.int64), np.zeros(1, np.float32), -1.0), rows)
     marks = list(toxic)[:LANDMARKS]
-    machine = fit_machine(toxic, clean, [*marks, *clean[:LANDMARKS]])
-    if toxic and clean:
-        nearest = counter.select("word", _value(machine, F.col("word")).alias("v")).orderBy(F.desc("v"), "word").limit(WORDS)
-        near = [r["word"] for r in nearest.collect()]
-        machine = fit_machine(toxic, list(dict.fromkeys([*near, *clean])), list(dict.fromkeys([*marks, *near[: LANDMARKS // 2], *frequent])))
-    return calibrated(machine, rows)
+    nearest = counter.select("word", _likeness(marks, F.col("word")).alias("v")).orderBy(F.desc("v"), "word").limit(LANDMARKS // 2)
+    marks = list(dict.fromkeys([*marks, *frequent, *(r["word"] for r in nearest.collect())]))
+    cost = {w: n**0.5 for w, n in toxic.items()}
+    whole = sum(cost.values())
+    for_toxic = docs.sparkSession.createDataFrame([(w, 1.0, c / whole) for w, c in cost.items()], "word string, y double, cost double")
+    against = counter.select("word", F.lit(-1.0).alias("y"), F.lit(CLEAN_COST).alias("cost"))
+    return calibrated(fit_machine(for_toxic.unionByName(against), marks), rows)
+
 
+def _likeness(marks: list[str], word: Column) -> Column:
+    """The largest kernel value of a word with one of the marks."""
+    known, mapped = feature_map(marks)
 
-def _value(machine: Machine, word: Column) -> Column:
     @F.pandas_udf("double")
-    def value(words: pd.Series) -> pd.Series:
-        return pd.Series(machine.values(words.tolist()))
+    def likeness(words: pd.Series) -> pd.Series:
+        return pd.Series(kernel(words.tolist(), known, mapped).max(1).round(9))
 
-    return value(word)
+    return likeness(word)
 
 
 def calibrated(machine: Machine, rows: DataFrame) -> Machine:

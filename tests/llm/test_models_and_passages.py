@@ -144,10 +144,9 @@ def kernel(s, t):
 
 
 def test_kernel_against_counting():
-    words = ["idiot", "idxiot", "banana", "anana", "stupidest", "tit"]
-    letters = toxicity.alphabet_of(words)
-    place, mapped = toxicity.feature_map(words, letters)
-    got = toxicity._kernel(words, place, mapped, letters)
+    words = ["idiot", "idxiot", "banana", "anana", "stupidest", "tit", "идиот", "идиотка", "바보같은", "𠀀𠀁𠀂𠀀"]
+    known, mapped = toxicity.feature_map(words)
+    got = toxicity.kernel(words, known, mapped)
     assert got == pytest.approx(np.array([[kernel(a, b) for b in words] for a in words]))
 
 
@@ -194,7 +193,7 @@ def test_toxicity_catches_held_out_documents_in_every_language(spark):
 
 def plain_score(machine, text):
     """The score of a text by loops over its words' subsequences."""
-    value = {}
+    value, weights = {}, dict(zip(machine.known.tolist(), machine.weights.tolist()))
     for chunk in toxicity.chunks_of(text):
         values = [machine.bias]
         for word in toxicity.words_in(chunk):
@@ -203,11 +202,11 @@ def plain_score(machine, text):
                 for i in range(len(piece)):
                     for j in range(i + 1, min(len(piece), i + toxicity.SPAN)):
                         for k in range(j + 1, min(len(piece), i + toxicity.SPAN)):
-                            a, b, c = (machine.letters.get(piece[x], 0) for x in (i, j, k))
-                            found[(a * toxicity.ALPHABET + b) * toxicity.ALPHABET + c] += toxicity.DECAY ** (k - i + 1)
+                            a, b, c = (ord(piece[x]) for x in (i, j, k))
+                            found[(a << 36) + (b << 18) + c] += toxicity.DECAY ** (k - i + 1)
                 if found:
                     norm = sum(x * x for x in found.values()) ** 0.5
-                    values.append(machine.bias + sum(x * float(machine.weights[t]) for t, x in found.items()) / norm)
+                    values.append(machine.bias + sum(x * weights.get(t, 0.0) for t, x in found.items()) / norm)
         value[chunk] = max(values)
     found = sorted(value.values(), reverse=True)
     top = (found + [machine.bias] * toxicity.TOP)[: toxicity.TOP]
@@ -216,6 +215,33 @@ def plain_score(machine, text):
     return 1 / (1 + np.exp(-(np.dot(x, machine.slopes) + machine.offset)))
 
 
+def test_hinge_fit_against_plain_descent(spark):
+    rng = np.random.default_rng(1)
+    toxic, clean = ["idiot", "clown", "stupid", "idiots"], sorted({"".join(rng.choice(list("aeiodtnsr"), 6)) for _ in range(60)})
+    marks = [*toxic, *clean[:6]]
+    rows = [(w, 1.0, 0.25) for w in toxic] + [(w, -1.0, 0.01) for w in clean]
+    machine = toxicity.fit_machine(spark.createDataFrame(rows, "word string, y double, cost double").repartition(5), marks, 0.05)
+    gram = np.array([[kernel(a, b) for b in marks] for a in marks])
+    values, vectors = np.linalg.eigh(gram)
+    x = np.array([[kernel(w, m) for m in marks] for w, _, _ in rows]) @ (vectors / np.sqrt(values))
+    y, cost, w, b = np.array([r[1] for r in rows]), np.array([r[2] for r in rows]), np.zeros(len(marks)), 0.0
+    for _ in range(20000):
+        pull = 2 * cost * y * np.maximum(0, 1 - y * (x @ w + b))
+        w, b = w - 0.1 * (0.05 * w - x.T @ pull), b + 0.1 * pull.sum()
+    assert machine.values([r[0] for r in rows]) == pytest.approx(x @ w + b, abs=1e-3)
+
+
+def test_machine_knows_every_script_and_long_words(spark):
+    rows, labels = toxic_corpus()
+    long = "überlangesschimpfwortmitvielenbuchstabendahinter"
+    cyrillic = "".join(chr(c) for c in range(0x430, 0x450))
+    rows = [(d, t.replace("idiot", "негодяй").replace("clown", long) + f" {cyrillic[d % 28:d % 28 + 4]} 가나다라마바사") for d, t in rows]
+    machine = toxicity.train(frame(spark, rows), frame(spark, labels, "doc_id long, toxic int"))
+    score = lambda *texts: machine.scores(toxicity.Scorer(machine).measures(list(texts)))
+    assert (score("thon негодяй onre", "негxодяй", "н е г о д я й", long) > 0.3).all()
+    assert (score("theron shatin onre", "가나다라마바사", "абвг где") < 0.3).all()
+
+
 def test_toxicity_query_against_loops(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     machine = toxicity.train(docs, labels)

@@ -246,17 +246,18 @@ def fit_machine(words: DataFrame, marks: list[str], penalty: float = 1e-4) -> Ma
 
     def near(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            x = np.c_[kernel(part.column("word").to_pylist(), known, mapped) @ root, np.ones(len(part))]
-            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in x], pa.binary()), part.column("y"), part.column("cost")], names=["x", "y", "cost"])
+            values = kernel(part.column("word").to_pylist(), known, mapped).astype(np.float32)  # mostly zeros, which take little room when written
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes() for r in values], pa.binary()), part.column("y"), part.column("cost")], names=["kernel", "y", "cost"])
 
     scratch = Scratch(words.sparkSession)
-    rows = scratch.written(words.repartition(TASKS, "word").sortWithinPartitions("word").mapInArrow(near, "x binary, y double, cost double"))
+    rows = scratch.written(words.repartition(TASKS, "word").sortWithinPartitions("word").mapInArrow(near, "kernel binary, y double, cost double"))
 
     def sums(w: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         def added(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             total = np.zeros(1 + size + size * size)
             for part in parts:
-                x = np.frombuffer(b"".join(part.column("x").to_pylist())).reshape(-1, size)
+                values = np.frombuffer(b"".join(part.column("kernel").to_pylist()), np.float32).reshape(-1, len(root))
+                x = np.c_[values @ root, np.ones(len(part))]
                 loss, g, h = hinge(x, part.column("y").to_numpy(), part.column("cost").to_numpy(), w)
                 total += np.concatenate([[loss], g, h.ravel()])
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["total"])

@@ -171,8 +171,8 @@ def _folder(spark) -> str:
 
 
 def _by_market(rows: DataFrame, folder: str, order: str = "date") -> None:
-    """Files folder/market=<market>/*.csv without header, in order."""
-    rows.repartition("market").sortWithinPartitions(order).drop(*([order] if order != "date" else [])).write.partitionBy("market").csv(folder)
+    """Files folder/market=<market>/*.csv without header, in order. A write by market sorts anew unless the market leads the order."""
+    rows.repartition("market").sortWithinPartitions("market", order).drop(*([order] if order != "date" else [])).write.partitionBy("market").csv(folder)
 
 
 @query("SELECT keyword, market, date, round(value, 6) AS value FROM weekly WHERE keyword <> 'R'")

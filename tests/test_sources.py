@@ -5,6 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from panelkit.operators import backtest, features
+from panelkit.plans import registry
 from panelkit.sources import readers, sinks
 
 
@@ -49,6 +50,21 @@ def test_missing_sources_are_empty(spark, tmp_path):
     assert readers.read_dimension(spark, gone, {"County": "entity"}).columns == ["entity"]
 
 
+def backwards(spark, markets=("m 1", "m 2"), days=40):
+    """Rows of a few markets, latest date first, from several tasks."""
+    return spark.createDataFrame([(m, k, dt.date(2020, 1, 1) + dt.timedelta(k), float(k)) for k in reversed(range(days)) for m in markets], "market string, at int, date date, value double").repartition(4, "at")
+
+
+def test_exports_keep_their_head_before_the_data(spark, tmp_path):
+    rows = backwards(spark)
+    head = rows.select("market").distinct().select("market", F.lit(-1).alias("at"), F.lit("Time").alias("c"), F.lit("y").alias("v"))
+    data = rows.select("market", "at", F.date_format("date", "yyyy-MM-dd").alias("c"), F.col("value").cast("string").alias("v"))
+    registry._by_market(data.unionByName(head), str(tmp_path / "kw"), "at")
+    files = list((tmp_path / "kw").glob("market=*/*.csv"))
+    assert len(files) == 2 and all(f.read_text().splitlines() == ["Time,y"] + [f"{dt.date(2020, 1, 1) + dt.timedelta(k)},{k}.0" for k in range(40)] for f in files)
+    assert readers.read_export_csv(spark, f"{tmp_path}/kw/*/*.csv").count() == 80
+
+
 def test_round_trips(spark, tmp_path):
     rows = spark.createDataFrame([("a", dt.date(2020, 1, 1), 1.0), ("b", dt.date(2021, 1, 1), 2.0)], "entity string, date date, v double")
     sinks.write_table(rows, str(tmp_path / "t"))

@@ -13,9 +13,9 @@ from panelkit.operators.boosting import Settings, Trees
 
 
 def write_table(df: DataFrame, path: str, entity: str = "entity", date: str = "date", kind: str = "parquet") -> None:
-    """Write a panel partitioned by year, sorted by entity and date inside each file."""
+    """Write a panel partitioned by year, sorted by entity and date inside each file: a write by year sorts anew unless the year leads the order."""
     rows = df.withColumn("year", F.year(date)).repartition("year", F.pmod(F.xxhash64(entity), F.lit(16)))
-    rows.sortWithinPartitions(entity, date).write.mode("overwrite").partitionBy("year").option("header", kind == "csv").format(kind).save(path)
+    rows.sortWithinPartitions("year", entity, date).write.mode("overwrite").partitionBy("year").option("header", kind == "csv").format(kind).save(path)
 
 
 def write_bucketed(df: DataFrame, table: str, path: str, entity: str = "entity", date: str = "date", buckets: int = 16, years: bool = False) -> None:
@@ -38,8 +38,8 @@ def replace_years(df: DataFrame, table: str, entity: str = "entity", date: str =
 
 
 def write_series(df: DataFrame, path: str, market: str = "market") -> None:
-    """Write date and value of each market to a folder of its own, without header."""
-    df.select(market, "date", "value").repartition(market).sortWithinPartitions("date").write.mode("overwrite").partitionBy(market).csv(path, header=False)
+    """Write date and value of each market to a folder of its own, in order of date, without header."""
+    df.select(market, "date", "value").repartition(market).sortWithinPartitions(market, "date").write.mode("overwrite").partitionBy(market).csv(path, header=False)
 
 
 def params_document(params: DataFrame, value: str = "train_avg") -> DataFrame:

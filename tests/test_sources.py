@@ -63,6 +63,16 @@ def test_exports_keep_their_head_before_the_data(spark, tmp_path):
     files = list((tmp_path / "kw").glob("market=*/*.csv"))
     assert len(files) == 2 and all(f.read_text().splitlines() == ["Time,y"] + [f"{dt.date(2020, 1, 1) + dt.timedelta(k)},{k}.0" for k in range(40)] for f in files)
     assert readers.read_export_csv(spark, f"{tmp_path}/kw/*/*.csv").count() == 80
+    assert readers.read_prediction_signals(spark, str(tmp_path), {"kw/*": "K"}).where("keyword = 'K'").count() == 80
+
+
+def test_files_are_in_order(spark, tmp_path):
+    rows = backwards(spark)
+    sinks.write_series(rows, str(tmp_path / "s"))
+    sinks.write_table(rows.withColumnRenamed("market", "entity").select("entity", "date", "value"), str(tmp_path / "t"), kind="csv")
+    for f in [*tmp_path.glob("s/market=*/*.csv"), *tmp_path.glob("t/year=*/*.csv")]:
+        lines = [x for x in f.read_text().splitlines() if not x.startswith("entity")]
+        assert lines and lines == sorted(lines)
 
 
 def test_round_trips(spark, tmp_path):

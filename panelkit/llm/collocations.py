@@ -29,7 +29,9 @@ TILE_BITS = 10
 #: A tile is dense from this part of its cells on (one in DENSE).
 DENSE = 16
 #: Pairs that are counted at once, words that a task holds before it sends their counts, entries of a table of ids that go out at once.
-CHUNK, HELD, ENTRIES = 1 << 22, 400_000, 400_000
+CHUNK, HELD, ENTRIES = 1 << 21, 400_000, 400_000
+#: Ids from which on a row ends at the next break, so that readers and batches, which count rows, hold a bounded number of ids; ids that leave a task at once.
+ROW, SENT = 512, 1 << 18
 #: Longer words stand in the table of ids as checksums.
 LONG_WORD = 64
 SALT = 16
@@ -47,8 +49,14 @@ def _key(word: str) -> str | bytes:
     return word if len(word) <= LONG_WORD else hashlib.blake2b(word.encode(), digest_size=16).digest()
 
 
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple]:
+    """The rows of a batch, one at a time: texts may be long."""
+    return zip(*((x.as_py() for x in column) for column in batch.columns))
+
+
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: dict[str, Counter] = {}
+    size = 0
 
     def sent() -> Iterator[pa.RecordBatch]:
         for lang, words in held.items():
@@ -57,10 +65,14 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held.clear()
 
     for batch in batches:
-        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-            held.setdefault(lang, Counter()).update(tokens(text))
-        if sum(map(len, held.values())) > HELD:
-            yield from sent()
+        for lang, text in _rows_of(batch):
+            words = held.setdefault(lang, Counter())
+            size -= len(words)
+            words.update(tokens(text))
+            size += len(words)
+            if size > HELD:
+                yield from sent()
+                size = 0
     yield from sent()
 
 
@@ -86,47 +98,72 @@ def _squeezed(ids: np.ndarray) -> np.ndarray:
     return ids[keep]
 
 
-def _lists(arrays: list[np.ndarray], names: list[str], kinds: list[str]) -> pa.RecordBatch:
-    """One row with a list for each array."""
-    columns = [pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), pa.array(a, k)) for a, k in zip(arrays, kinds)]
+def _ended(ids: np.ndarray) -> np.ndarray:
+    """ids with a break at the end."""
+    return np.append(ids, 0) if len(ids) and ids[-1] else ids
+
+
+def _cut(ids: np.ndarray) -> np.ndarray:
+    """Where rows of the ids, which end with a break, begin and end: a row goes on to the last break before its next ROW ids, or to its first one."""
+    breaks = np.flatnonzero(ids == 0)
+    return np.append(0, breaks[np.append(np.diff(breaks // ROW) > 0, True)] + 1)
+
+
+def _lists(arrays: list[np.ndarray], offsets: np.ndarray, names: list[str], kinds: list[str]) -> pa.RecordBatch:
+    """Rows with a list from each array."""
+    columns = [pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(a, k)) for a, k in zip(arrays, kinds)]
     return pa.RecordBatch.from_arrays(columns, names)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+    """(offsets, the lists of each column one after another) of rows with some CHUNK / 4 ids at once."""
+    ends = np.append(0, np.cumsum(batch.column(0).value_lengths().to_numpy()))
+    start = 0
+    while start < batch.num_rows:
+        stop = max(start + 1, int(np.searchsorted(ends, ends[start] + CHUNK // 4, "right")) - 1)
+        part = batch.slice(start, stop - start)
+        yield ends[start : stop + 1] - ends[start], [c.flatten().to_numpy() for c in part.columns]
+        start = stop
+
+
 def _encode_words(shared: Broadcast, kind: str, first: bool, last: bool):
     """Texts, or what the block before has left of them, to ids: 0 for a break, -1 for a word that is still to be found."""
 
+    def found(batch: pa.RecordBatch, tables: dict[str, dict]) -> Iterator[tuple[str, list[int], list[str]]]:
+        if first:
+            for lang, text in _rows_of(batch):
+                get, words = tables.get(lang, {}).get, tokens(text)
+                ids = [0 if w == BREAK else get(w if len(w) <= LONG_WORD else _key(w), -1) for w in words]
+                yield lang, ids, [] if last else [w for w, i in zip(words, ids) if i < 0]
+        else:
+            for lang, ids, rest in _rows_of(batch):
+                get = tables.get(lang, {}).get
+                more = [get(_key(w), -1) for w in rest]
+                it = iter(more)
+                yield lang, [next(it) if i < 0 else i for i in ids], [w for w, i in zip(rest, more) if i < 0]
+
+    def sent(held: list) -> pa.RecordBatch:
+        if last:
+            ids = np.concatenate(held)
+            return _lists([ids], _cut(ids), ["ids"], [kind])
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())))], ["lang", "ids", "rest"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = shared.value
         for batch in batches:
-            langs = batch.column("lang").to_pylist()
-            if first:
-                found = []
-                for lang, text in zip(langs, batch.column("text").to_pylist()):
-                    get, words = tables.get(lang, {}).get, tokens(text)
-                    ids = [0 if w == BREAK else get(w if len(w) <= LONG_WORD else _key(w), -1) for w in words]
-                    found.append((lang, ids, [] if last else [w for w, i in zip(words, ids) if i < 0]))
-            else:
-                found = []
-                for lang, ids, rest in zip(langs, batch.column("ids").to_pylist(), batch.column("rest").to_pylist()):
-                    get = tables.get(lang, {}).get
-                    more = [get(_key(w), -1) for w in rest]
-                    it = iter(more)
-                    found.append((lang, [next(it) if i < 0 else i for i in ids], [w for w, i in zip(rest, more) if i < 0]))
-            if not last:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.list_(pa.int64()), pa.list_(pa.string())))], ["lang", "ids", "rest"])
-                continue
-            size = 0
-            held: list[np.ndarray] = []
-            for _, ids, _ in found:
-                ids = _squeezed(np.maximum(np.array(ids, np.int64), 0))
-                if len(ids):
-                    held += [ids, np.zeros(1, np.int64)]
-                    size += len(ids)
-                if size > CHUNK // 16:
-                    yield _lists([np.concatenate(held)], ["ids"], [kind])
+            held, size = [], 0
+            for row in found(batch, tables):
+                if last:
+                    ids = _ended(_squeezed(np.maximum(np.array(row[1], np.int64), 0)))
+                    if not len(ids):
+                        continue
+                held.append(ids if last else row)
+                size += len(row[1])
+                if size > SENT:
+                    yield sent(held)
                     held, size = [], 0
             if held:
-                yield _lists([np.concatenate(held)], ["ids"], [kind])
+                yield sent(held)
 
     return run
 
@@ -159,20 +196,24 @@ def tile_counts(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def _count_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple[np.ndarray, np.ndarray]] = []
+    size = 0
 
-    def sent() -> pa.RecordBatch:
+    def sent() -> Iterator[pa.RecordBatch]:
         counted = tile_counts(*(np.concatenate(x).astype(np.int64) for x in zip(*held)))
         held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in counted], ["left", "right", "a"])
+        for k in range(0, len(counted[0]), SENT):
+            yield pa.RecordBatch.from_arrays([pa.array(x[k : k + SENT]) for x in counted], ["left", "right", "a"])
 
     for batch in batches:
-        ids = batch.column("ids").flatten().to_numpy()  # every row ends with a 0
-        both = (ids[:-1] != 0) & (ids[1:] != 0)
-        held.append((ids[:-1][both], ids[1:][both]))
-        if sum(len(x) for x, _ in held) > CHUNK:
-            yield sent()
+        for _, (ids,) in _slices(batch):  # every row ends with a 0
+            both = (ids[:-1] != 0) & (ids[1:] != 0)
+            held.append((ids[:-1][both], ids[1:][both]))
+            size += len(held[-1][0])
+            if size > CHUNK:
+                yield from sent()
+                size = 0
     if held:
-        yield sent()
+        yield from sent()
 
 
 def _encode_pairs(shared: Broadcast, kind: str, out_kind: str, first: bool, last: bool):
@@ -181,20 +222,18 @@ def _encode_pairs(shared: Broadcast, kind: str, out_kind: str, first: bool, last
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, wide, start = shared.value
         for batch in batches:
-            for k in range(batch.num_rows):
-                ids = batch.column("ids").slice(k, 1).flatten().to_numpy().astype(np.int64)
-                found = np.zeros(len(ids), np.int64) if first else batch.column("found").slice(k, 1).flatten().to_numpy().astype(np.int64)
+            for offsets, (ids, *more) in _slices(batch):
+                ids = ids.astype(np.int64)
+                found = np.zeros(len(ids), np.int64) if first else more[0].astype(np.int64)
                 both = np.flatnonzero((ids[:-1] != 0) & (ids[1:] != 0))
                 code = ids[:-1][both] * wide + ids[1:][both]
                 at = np.minimum(np.searchsorted(codes[0], code), len(codes[0]) - 1)
                 same = codes[0][at] == code
                 found[both[same]] = codes[1][at[same]] + start
-                if last:
-                    found = _squeezed(found)
-                    if len(found):
-                        yield _lists([np.append(found, 0)], ["ids"], [out_kind])
-                else:
-                    yield _lists([ids, found], ["ids", "found"], [kind, out_kind])
+                if not last:
+                    yield _lists([ids, found], offsets, ["ids", "found"], [kind, out_kind])
+                elif len(found := _ended(_squeezed(found))):
+                    yield _lists([found], _cut(found), ["ids"], [out_kind])
 
     return run
 
@@ -236,10 +275,13 @@ def _pairs_to_ids(rows: DataFrame, pairs: DataFrame, wide: int, entries: int) ->
     return rows, n
 
 
-def _with(rows: DataFrame, facts: DataFrame, key: str) -> DataFrame:
-    """rows with the facts of their key. Very many rows may have one key, so each fact goes to SALT places and the rows of a key to all of them."""
+def _with(rows: DataFrame, facts: DataFrame, key: str, large: bool = True) -> DataFrame:
+    """rows with the facts of their key. Very many rows may have one key, so each fact goes to SALT places and the rows of a key to all of them.
+
+    The planner takes large facts for no more than their compressed table and may broadcast SALT times as many, hence the hint.
+    """
     salted = facts.withColumn("salt", F.explode(F.array(*[F.lit(k) for k in range(SALT)])))
-    return rows.withColumn("salt", F.pmod("id", F.lit(SALT)).cast("int")).join(salted, [key, "salt"]).drop("salt")
+    return rows.withColumn("salt", F.pmod("id", F.lit(SALT)).cast("int")).join(salted.hint("merge") if large else salted, [key, "salt"]).drop("salt")
 
 
 def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str = "lang", text_col: str = "text", entries: int = ENTRIES) -> DataFrame:
@@ -254,7 +296,7 @@ def phrases(docs: DataFrame, least: int = 100, longest: int = 5, lang_col: str =
     words = _ranked(counted.where(F.col("a") >= least), "lang", F.desc("a"), "phrase")
     sizes = counted.groupBy("lang").agg(F.sum("a").alias("n"))
     once = F.array("a")
-    level = _with(words, sizes, "lang").select("id", "lang", "n", "phrase", F.col("phrase").alias("last"), "a", once.alias("pre"), once.alias("suf"))
+    level = _with(words, sizes, "lang", large=False).select("id", "lang", "n", "phrase", F.col("phrase").alias("last"), "a", once.alias("pre"), once.alias("suf"))
     rows, n = _words_to_ids(source, words, entries)
     levels = [level]
     for k in range(2, longest + 1):

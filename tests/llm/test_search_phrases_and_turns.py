@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -93,6 +94,20 @@ def test_collocations_against_counting(spark):
     assert mined(spark, rows, least=20, longest=3, top=4) == plain_collocations(rows, 20, 3, 4)
 
 
+def test_collocations_hold_few_ids_at_once(spark, monkeypatch):
+    """Rows of ids are short, and a batch with many of them is counted in portions."""
+    docs = spark.createDataFrame([("a", "one two three four five, six seven " * 4)] * 2000, "lang string, text string").coalesce(1)
+    words = spark.createDataFrame([("a", w, k) for k, w in enumerate("one two three four five six seven".split(), 1)], "lang string, phrase string, id long")
+    rows, _ = collocations._words_to_ids(docs, words, 400_000)
+    assert [tuple(r) for r in rows.selectExpr("max(size(ids)) <= 1100", "sum(size(filter(ids, x -> x > 0)))").collect()] == [(True, 2000 * 28)]
+    calls, counts = [], collocations.tile_counts
+    monkeypatch.setattr(collocations, "CHUNK", 1000)
+    monkeypatch.setattr(collocations, "tile_counts", lambda left, right: calls.append(len(left)) or counts(left, right))
+    batch = pa.RecordBatch.from_arrays([pa.array([[1, 2] * 50 + [0]] * 100)], ["ids"])
+    got = [sum(x.column("a").to_numpy()[x.column("left").to_numpy() == k].sum() for x in collocations._count_pairs(iter([batch]))) for k in (1, 2)]
+    assert got == [5000, 4900] and max(calls) <= 1250
+
+
 def test_collocations_of_sparse_and_empty_tables(spark):
     assert mined(spark, []) == []
     assert mined(spark, [("en", None)]) == [] == mined(spark, [("en", "too rare to count")])

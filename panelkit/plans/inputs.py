@@ -69,10 +69,14 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     return here.unionByName(after).withColumn("value", F.round(F.col("value") / top * 100, 0))
 
 
-def panel(spark: SparkSession, sf: str) -> DataFrame:
+def panel_of(counts: DataFrame, markets: DataFrame, population: DataFrame) -> DataFrame:
     """(entity, date, market, apps, population, income, rate): the plain panel, nulls left in."""
-    rows = counts(spark, sf).join(markets(spark, sf), "entity").join(population(spark, sf), "entity")
-    return add_rate(rows)
+    return add_rate(counts.join(markets, "entity").join(population, "entity"))
+
+
+def panel(spark: SparkSession, sf: str) -> DataFrame:
+    """panel_of() the driver tables."""
+    return panel_of(counts(spark, sf), markets(spark, sf), population(spark, sf))
 
 
 def forecasts(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import VectorAssembler
@@ -59,10 +60,12 @@ def query(sql: str | None = None, name: str | None = None):
 
 def _signal_panel(spark: SparkSession, sf: str, counts: DataFrame | None = None) -> DataFrame:
     """The assembled panel with lag-shifted monthly signals."""
-    monthly = signals.pivot_signals(signals.monthly_mean(I.weekly(spark, sf)), I.KEYWORDS)
-    dims = I.population(spark, sf)
+    return _assembled(I.counts(spark, sf) if counts is None else counts, I.markets(spark, sf), signals.monthly_mean(I.weekly(spark, sf)), I.population(spark, sf))
+
+
+def _assembled(counts: DataFrame, markets: DataFrame, monthly: DataFrame, dims: DataFrame) -> DataFrame:
     income = dims.select(C.normalize_key(F.col("entity")).alias("key"), "income")
-    return panels.assemble_panel(I.counts(spark, sf) if counts is None else counts, I.markets(spark, sf), monthly, dims.select("entity", "population"), income)
+    return panels.assemble_panel(counts, markets, signals.pivot_signals(monthly, I.KEYWORDS), dims.select("entity", "population"), income)
 
 
 PANEL_SQL = I.SQL.rstrip() + """,
@@ -1095,28 +1098,44 @@ FEATURES = [
 ]
 
 
-def _training_rows(spark, sf):
+class _Facts(NamedTuple):
+    """What models and forecasts are made from: a row for each entity or series, and month, whatever the number of rows that they sum up."""
+
+    markets: DataFrame
+    counts: DataFrame
+    population: DataFrame
+    rates: DataFrame
+    monthly: DataFrame
+
+
+def _facts(spark, sf) -> _Facts:
+    """Each is summed up once and written, as training and forecast read them up to three times each."""
+    return _Facts(*[written(rows) for rows in (I.markets(spark, sf), I.counts(spark, sf), I.population(spark, sf), I.rates(spark, sf), _monthly(spark, sf))])
+
+
+def _training_rows(spark, sf, facts: _Facts | None = None):
     """The panel before the target month with all features, complete rows only."""
-    rows = _signal_panel(spark, sf).withColumnsRenamed({f"signal_{k}": k for k in I.KEYWORDS})
+    facts = facts or _facts(spark, sf)
+    rows = _assembled(facts.counts, facts.markets, facts.monthly, facts.population).withColumnsRenamed({f"signal_{k}": k for k in I.KEYWORDS})
     rows = features.add_momentum(features.add_rolling(features.add_lags(rows, I.KEYWORDS), I.KEYWORDS), I.KEYWORDS)
-    rows = features.add_seasonality(panels.join_lagged_rate(rows, I.rates(spark, sf)))
+    rows = features.add_seasonality(panels.join_lagged_rate(rows, facts.rates))
     rows = features.add_logs(rows, {"population": "log_population", "income": "log_income"})
     return written(rows.where(F.col("date") < F.lit(TARGET_MONTH).cast("date")).dropna(subset=[*FEATURES, "rate"]).select("entity", "date", "rate", *FEATURES))
 
 
-def _recent_signals(spark, sf):
+def _recent_signals(facts: _Facts):
     """History up to the last month, its latest twelve months rescaled to the average of those before."""
-    monthly = _monthly(spark, sf).where(F.col("month") <= F.lit(LAST_MONTH).cast("date"))
+    monthly = facts.monthly.where(F.col("month") <= F.lit(LAST_MONTH).cast("date"))
     recent = F.col("month") > F.add_months(F.lit(LAST_MONTH).cast("date"), -12)
     scaled = signals.scale_prediction(monthly.where(recent), signals.scaling_params(monthly.where(~recent))).withColumnRenamed("scaled", "value")
     return signals.combine_history(monthly.withColumnRenamed("avg_value", "value"), scaled, LAST_MONTH)
 
 
-def _forecast_rows(spark, sf, series=None):
+def _forecast_rows(facts: _Facts, series=None):
     if series is None:
-        series = _monthly(spark, sf).withColumnRenamed("avg_value", "value").where("month <= date'2001-06-01'")
-    dims = I.markets(spark, sf).join(I.population(spark, sf), "entity")
-    return forecast.forecast_rows(dims, series, I.rates(spark, sf), I.panel(spark, sf), "2001-07-01", I.KEYWORDS)
+        series = facts.monthly.withColumnRenamed("avg_value", "value").where("month <= date'2001-06-01'")
+    dims = facts.markets.join(facts.population, "entity")
+    return forecast.forecast_rows(dims, series, facts.rates, I.panel_of(facts.counts, facts.markets, facts.population), "2001-07-01", I.KEYWORDS)
 
 
 @query(""", wm AS (SELECT keyword, market, date_trunc('month', date)::DATE AS month, avg(value) AS v FROM weekly GROUP BY 1, 2, 3 HAVING month <= DATE '2001-06-01'),
@@ -1127,7 +1146,7 @@ SELECT m.entity, m.market, """ + ", ".join(f"round({k}_1, 6) AS \"{k}_lag1\", ro
 round(u1, 6) AS unemployment_rate, round(u2, 6) AS unemployment_rate_lag1, round(log10(population), 6) AS log_population, round(log10(greatest(income, 1)), 6) AS log_income
 FROM markets m JOIN population USING (entity) LEFT JOIN s ON s.market = m.market LEFT JOIN u ON u.entity = m.entity""")
 def forecast_rows(spark, sf):
-    return _forecast_rows(spark, sf).drop("date", "month", "quarter", "month_sin", "month_cos", "population", "income")
+    return _forecast_rows(_facts(spark, sf)).drop("date", "month", "quarter", "month_sin", "month_cos", "population", "income")
 
 
 @query("""SELECT h.entity, h.date, h.apps, DATE '2001-07-01' AS next_month, f.n AS next_count, CASE WHEN f.n IS NULL THEN 'No data' ELSE format('{:,}', f.n) END AS shown_next FROM counts h
@@ -1148,15 +1167,17 @@ def _band(rows: DataFrame) -> float:
 
 @query(None)
 def forecast_next(spark, sf):
-    rows = _training_rows(spark, sf)
+    facts = _facts(spark, sf)
+    rows = _training_rows(spark, sf, facts)
     model = backtest.train_regressor(rows, FEATURES, "rate")
-    return forecast.forecast_next(model, _forecast_rows(spark, sf, _recent_signals(spark, sf)), FEATURES, _band(rows))
+    return forecast.forecast_next(model, _forecast_rows(facts, _recent_signals(facts)), FEATURES, _band(rows))
 
 
 @query(None)
 def forecast_next_trees(spark, sf):
     """The band is that of the same trees."""
-    rows = _training_rows(spark, sf)
+    facts = _facts(spark, sf)
+    rows = _training_rows(spark, sf, facts)
     mae, model = _band(rows), boosting.train(rows, FEATURES, "rate", _FORECAST)
-    ahead = _forecast_rows(spark, sf, _recent_signals(spark, sf)).dropna(subset=FEATURES)
+    ahead = _forecast_rows(facts, _recent_signals(facts)).dropna(subset=FEATURES)
     return forecast.scored(ahead.withColumn("predicted", model.column()), mae)

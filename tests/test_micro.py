@@ -242,6 +242,17 @@ def test_forecast_uses_the_whole_model(spark, monkeypatch):
     assert used["mae"] != 0.001 and used["mae"] > 0
 
 
+def test_forecast_sums_up_the_large_tables_once(spark, monkeypatch):
+    made, train = [], backtest.train_regressor
+    for name in ("weekly", "rates", "counts", "population"):
+        monkeypatch.setattr(registry.I, name, lambda *x, name=name, made_of=getattr(registry.I, name): made.append(name) or made_of(*x))
+    monkeypatch.setattr(backtest, "train_regressor", lambda *x: train(*x, trees=1, depth=1))
+    monkeypatch.setattr(registry, "_band", lambda rows: 0.1)
+    forecast = registry.QUERIES["forecast_next"](spark, "/root/testdata/sf0.001")
+    assert sorted(made) == ["counts", "population", "rates", "weekly"]
+    assert not [f for f in forecast.inputFiles() if f.endswith(("lineitem.parquet", "orders.parquet", "customer.parquet"))]
+
+
 @pytest.mark.parametrize("name", ["train_and_predict", "feature_importance"])
 def test_queries_fit_the_production_model(spark, monkeypatch, name):
     fitted = []
